@@ -56,8 +56,8 @@ def lineage_from_statements(statements: DataFrame, with_else: bool = False) -> L
     statements = statements.select("stmt_id", "seq", "sql")
     links = materialize(token_links(statements, with_else).distinct())
     declared = catalog.declared_columns(statements)
-    columns = catalog.copy_schema_like(catalog.known_columns(links, declared), catalog.like_edges(statements))
-    columns = materialize(columns)
+    columns = materialize(catalog.known_columns(links, declared))
+    columns = materialize(catalog.copy_schema_like(columns, catalog.like_edges(statements)))
     loose = materialize(catalog.settle_loose(links, columns))
     settled = catalog.apply_settled(links, loose)
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # Bracketed comment, the two string forms, dotted names (with back-quoted parts and a
 # closing star), operators of two or three signs, and any other single sign.
 TOKEN_PATTERN = (
@@ -33,21 +30,27 @@ CALLABLE_RESERVED = ("left", "right")
 NOT_RELATION_ALIAS = RESERVED + ("tablesample",)
 
 
-def statement_tokens(sql: Column) -> Column:
-    found = F.regexp_extract_all(sql, F.lit(TOKEN_PATTERN), F.lit(0))
-    return F.filter(found, lambda t: ~t.startswith("/*"))
+def words(*groups: tuple[str, ...]) -> str:
+    """A list for SQL ``IN``."""
+    return "(" + ", ".join(f"'{w}'" for group in groups for w in group) + ")"
 
 
-def token_kind(tok: Column) -> Column:
-    first = F.substring(tok, 1, 1)
-    return (
-        F.when((F.length(tok) > 1) & first.isin("'", '"'), "string")
-        .when(tok.rlike(NUMBER_PATTERN), "number")
-        .when(first.rlike(r"[\p{L}\p{N}_$`]"), "word")
-        .otherwise("symbol")
-    )
+def text(pattern: str) -> str:
+    """A pattern as a SQL string, exactly as written."""
+    return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def token_text(tok: Column, kind: Column) -> Column:
-    """Words in lower case without back-quotes; everything else as written."""
-    return F.when(kind == "word", F.lower(F.replace(tok, F.lit("`"), F.lit("")))).otherwise(tok)
+# Comments are tokens only to be dropped.
+TOKENS_SQL = f"filter(regexp_extract_all(sql, {text(TOKEN_PATTERN)}, 0), t -> NOT startswith(t, '/*'))"
+KIND_SQL = f"""
+CASE WHEN length(raw) > 1 AND substring(raw, 1, 1) IN ('\\'', '"') THEN 'string'
+     WHEN raw RLIKE {text(NUMBER_PATTERN)} THEN 'number'
+     WHEN raw RLIKE {text(r"^[\p{L}\p{N}_$`]")} THEN 'word'
+     ELSE 'symbol' END"""
+# Words in lower case without back-quotes; everything else as written.
+TEXT_SQL = "CASE WHEN kind = 'word' THEN lower(replace(raw, '`', '')) ELSE raw END"
+# A literal or alias without its quotes.
+UNQUOTED_SQL = r"""CASE WHEN tok RLIKE '^[\'"]' THEN substring(tok, 2, length(tok) - 2) ELSE tok END"""
+# Parts of a dotted name.
+LAST_PART_SQL = r"element_at(split(tok, '\\.'), -1)"
+QUALIFIER_SQL = r"CASE WHEN size(split(tok, '\\.')) > 1 THEN array_join(slice(split(tok, '\\.'), 1, size(split(tok, '\\.')) - 1), '.') END"

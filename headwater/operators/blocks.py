@@ -8,114 +8,76 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from headwater.functions import tokens as T
 
-SO_FAR = (Window.unboundedPreceding, Window.currentRow)
-WHOLE = (Window.unboundedPreceding, Window.unboundedFollowing)
+BY_POS = "PARTITION BY stmt_id ORDER BY pos"
+BY_LEVEL = "PARTITION BY stmt_id, level ORDER BY pos"
+BY_SELECT_DEPTH = "PARTITION BY stmt_id, select_depth ORDER BY pos"
+BY_BLOCK = "PARTITION BY stmt_id, block_id ORDER BY pos"
+SO_FAR = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+AHEAD = "ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING"
+WHOLE = "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
 
-
-def by_pos() -> WindowSpec:
-    return Window.partitionBy("stmt_id").orderBy("pos")
-
-
-def by_level() -> WindowSpec:
-    return Window.partitionBy("stmt_id", "level").orderBy("pos")
-
-
-def by_select_depth() -> WindowSpec:
-    return Window.partitionBy("stmt_id", "select_depth").orderBy("pos")
-
-
-def by_block() -> WindowSpec:
-    return Window.partitionBy("stmt_id", "block_id").orderBy("pos")
-
-
-def _flag(cond: Column) -> Column:
-    return F.coalesce(cond.cast("int"), F.lit(0))
-
-
-def _is(*texts: str) -> Column:
-    return F.col("tok").isin(*texts)
+# Name given to the relation that ends at this token, or null.
+ALIAS_AFTER = f"""
+CASE WHEN next = 'as' THEN next2
+     WHEN next_kind = 'word' AND next NOT IN {T.words(T.NOT_RELATION_ALIAS)} THEN next END"""
 
 
 def tokenize_statements(statements: DataFrame) -> DataFrame:
     """``tokens(stmt_id, pos, tok, kind)`` plus the columns the statements bring along."""
-    exploded = statements.withColumn("toks", T.statement_tokens(F.col("sql"))).drop("sql")
-    carried = [c for c in exploded.columns if c != "toks"]
+    carried = [c for c in statements.columns if c != "sql"]
     return (
-        exploded.select(*carried, F.posexplode("toks").alias("pos", "raw"))
-        .withColumn("kind", T.token_kind(F.col("raw")))
-        .withColumn("tok", T.token_text(F.col("raw"), F.col("kind")))
-        .drop("raw")
+        statements.selectExpr(*carried, f"posexplode({T.TOKENS_SQL}) AS (pos, raw)")
+        .selectExpr("*", f"{T.KIND_SQL} AS kind")
+        .selectExpr(*carried, "pos", f"{T.TEXT_SQL} AS tok", "kind")
     )
 
 
 def _with_neighbours(tokens: DataFrame) -> DataFrame:
-    opens, closes = _is("(", "case"), _is(")", "end")
-    shift = opens.cast("int") - closes.cast("int")
-    return (
-        tokens.withColumns(
-            {
-                "prev": F.lag("tok", 1).over(by_pos()),
-                "prev2": F.lag("tok", 2).over(by_pos()),
-                "prev_kind": F.lag("kind", 1).over(by_pos()),
-                "next": F.lead("tok", 1).over(by_pos()),
-                "next_kind": F.lead("kind", 1).over(by_pos()),
-                "next2": F.lead("tok", 2).over(by_pos()),
-                "level": (F.sum(shift).over(by_pos().rowsBetween(*SO_FAR)) + closes.cast("int")).cast("int"),
-                "selects_before": F.sum(_flag(_is("select"))).over(by_pos().rowsBetween(*SO_FAR)),
-            }
-        )
-        .withColumn("opens", opens)
-        .withColumn("closes", closes)
+    return tokens.selectExpr("*", "tok IN ('(', 'case') AS opens", "tok IN (')', 'end') AS closes").selectExpr(
+        "*",
+        f"lag(tok, 1) OVER ({BY_POS}) AS prev",
+        f"lag(tok, 2) OVER ({BY_POS}) AS prev2",
+        f"lag(kind, 1) OVER ({BY_POS}) AS prev_kind",
+        f"lead(tok, 1) OVER ({BY_POS}) AS next",
+        f"lead(kind, 1) OVER ({BY_POS}) AS next_kind",
+        f"lead(tok, 2) OVER ({BY_POS}) AS next2",
+        f"CAST(sum(int(opens) - int(closes)) OVER ({BY_POS} {SO_FAR}) + int(closes) AS int) AS level",
+        f"count_if(tok = 'select') OVER ({BY_POS} {SO_FAR}) AS selects_before",
     )
 
 
-def _alias_after() -> Column:
-    """Name given to the relation that ends at this token, or null."""
-    plain = (F.col("next_kind") == "word") & ~F.col("next").isin(*T.NOT_RELATION_ALIAS)
-    return F.when(F.col("next") == "as", F.col("next2")).when(plain, F.col("next"))
-
-
 def _with_openers(tokens: DataFrame) -> DataFrame:
-    """What the innermost open bracket or CASE is, and the name behind its closing mark."""
-    prev, paren = F.col("prev"), _is("(")
-    # The bracket around a whole query, or around one branch of a union, is no scope of its own.
-    around_query = (
-        (F.col("selects_before") == 0)
-        | (prev == "union")
-        | ((prev == "all") & (F.col("prev2") == "union"))
-    )
-    is_block = paren & (F.col("next") == "select") & ~F.coalesce(around_query, F.lit(False))
-    names_call = (F.col("prev_kind") == "word") & (~prev.isin(*T.RESERVED) | prev.isin(*T.CALLABLE_RESERVED))
-    kind = (
-        F.when(_is("case"), "case")
-        .when(prev == "in", "in")
-        .when(prev == "over", "over")
-        .when(prev == "cast", "cast")
-        .when(is_block, "select")
-        .when(names_call, "call")
-        .otherwise("group")
-    )
-    opener = F.struct(
-        "pos",
-        kind.alias("kind"),
-        is_block.alias("is_block"),
-        F.coalesce(prev.isin("from", "join", ","), F.lit(False)).alias("is_relation"),
-        prev.alias("prev"),
-        F.col("prev2").alias("prev2"),
+    """What the innermost open bracket or CASE is, and the name behind its closing mark.
+
+    The bracket around a whole query, or around one branch of a union, is no scope of its own.
+    """
+    around_query = "coalesce(selects_before = 0 OR prev = 'union' OR (prev = 'all' AND prev2 = 'union'), false)"
+    names_call = (
+        f"prev_kind = 'word' AND (prev NOT IN {T.words(T.RESERVED)} OR prev IN {T.words(T.CALLABLE_RESERVED)})"
     )
-    so_far, ahead = by_level().rowsBetween(*SO_FAR), by_level().rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    marks = F.when(F.col("opens") | _is("else", "as"), F.col("tok"))
-    return tokens.withColumns(
-        {
-            "open": F.last(F.when(F.col("opens"), opener), ignorenulls=True).over(so_far),
-            "mark": F.last(marks, ignorenulls=True).over(so_far),
-            "close_alias": F.first(F.when(F.col("closes"), F.struct(_alias_after().alias("name"))), ignorenulls=True).over(ahead)["name"],
-        }
+    kind = f"""
+        CASE WHEN tok = 'case' THEN 'case'
+             WHEN prev IN ('in', 'over', 'cast') THEN prev
+             WHEN is_block THEN 'select'
+             WHEN {names_call} THEN 'call'
+             ELSE 'group' END"""
+    opener = f"""
+        CASE WHEN opens THEN named_struct(
+            'pos', pos, 'kind', {kind}, 'is_block', is_block,
+            'is_relation', coalesce(prev IN ('from', 'join', ','), false), 'prev', prev, 'prev2', prev2) END"""
+    return (
+        tokens.selectExpr("*", f"coalesce(tok = '(' AND next = 'select' AND NOT {around_query}, false) AS is_block")
+        .selectExpr(
+            "*",
+            f"last({opener}, true) OVER ({BY_LEVEL} {SO_FAR}) AS open",
+            f"last(CASE WHEN opens OR tok IN ('else', 'as') THEN tok END, true) OVER ({BY_LEVEL} {SO_FAR}) AS mark",
+            f"first(CASE WHEN closes THEN named_struct('name', {ALIAS_AFTER}) END, true) OVER ({BY_LEVEL} {AHEAD}).name AS close_alias",
+        )
+        .drop("is_block", "selects_before")
     )
 
 
@@ -125,76 +87,68 @@ def _with_depths(tokens: DataFrame) -> DataFrame:
     Value-less are: ELSE parts, type names of casts, IN lists, OVER clauses and
     sub-selects that are no relation of a FROM clause.
     """
-    op, opens, closes = F.col("open"), F.col("opens"), F.col("closes")
-    step = opens.cast("int") - closes.cast("int")
-    dead_open = op["kind"].isin("in", "over") | (op["is_block"] & ~op["is_relation"])
-    inner_mark = F.when(_is("else") & (op["kind"] == "case"), 1).when(_is("as") & (op["kind"] == "cast"), 1).otherwise(0)
-    inner_end = _flag(closes & (((op["kind"] == "case") & (F.col("mark") == "else")) | ((op["kind"] == "cast") & (F.col("mark") == "as"))))
-    skip_step = _flag(dead_open) * step + inner_mark - inner_end
-    else_step = _flag(_is("else") & (op["kind"] == "case")) - _flag(_is("end") & (F.col("mark") == "else"))
-    so_far = by_pos().rowsBetween(*SO_FAR)
-    return tokens.withColumns(
-        {
-            "select_depth": F.sum(_flag(op["is_block"]) * step).over(so_far).cast("int"),
-            "call_depth": F.sum(_flag(op["kind"] == "call") * step).over(so_far).cast("int"),
-            "skip": F.sum(skip_step).over(so_far).cast("int"),
-            "else_depth": F.sum(else_step).over(so_far).cast("int"),
-            "next_level": F.lead("level").over(by_pos()),
-            "root_level": F.first(F.when(_is("select"), F.col("level")), ignorenulls=True).over(by_pos().rowsBetween(*WHOLE)),
-        }
-    )
+    step = "(int(opens) - int(closes))"
+    dead = "(open.kind IN ('in', 'over') OR (open.is_block AND NOT open.is_relation))"
+    ends_else = "(tok = 'end' AND open.kind = 'case' AND mark = 'else')"
+    in_else = "(tok = 'else' AND open.kind = 'case')"
+    in_type = "(tok = 'as' AND open.kind = 'cast')"
+    ends_type = "(tok = ')' AND open.kind = 'cast' AND mark = 'as')"
+    flag = lambda cond: f"coalesce(int({cond}), 0)"
+    skip = f"{flag(dead)} * {step} + {flag(in_else)} + {flag(in_type)} - {flag(ends_else)} - {flag(ends_type)}"
+    return tokens.selectExpr(
+        "*",
+        f"CAST(sum({flag('open.is_block')} * {step}) OVER ({BY_POS} {SO_FAR}) AS int) AS select_depth",
+        f"CAST(sum({flag('open.kind = ' + repr('call'))} * {step}) OVER ({BY_POS} {SO_FAR}) AS int) AS call_depth",
+        f"CAST(sum({skip}) OVER ({BY_POS} {SO_FAR}) AS int) AS skip",
+        f"CAST(sum({flag(in_else)} - {flag(ends_else)}) OVER ({BY_POS} {SO_FAR}) AS int) AS else_depth",
+        f"lead(level) OVER ({BY_POS}) AS next_level",
+        f"first(CASE WHEN tok = 'select' THEN level END, true) OVER ({BY_POS} {WHOLE}) AS root_level",
+    ).drop("mark")
 
 
 def _with_blocks(tokens: DataFrame) -> DataFrame:
-    block = F.last(
-        F.when(F.col("opens") & F.col("open")["is_block"], F.struct("pos", "level", F.col("close_alias").alias("alias"))),
-        ignorenulls=True,
-    ).over(by_select_depth().rowsBetween(*SO_FAR))
+    opener = "CASE WHEN opens AND open.is_block THEN named_struct('pos', pos, 'level', level, 'alias', close_alias) END"
     return (
-        tokens.withColumn("block", block)
-        .withColumn("block_id", F.coalesce(F.col("block")["pos"], F.lit(-1)))
-        .withColumn("block_level", F.coalesce(F.col("block")["level"], F.col("root_level"), F.lit(0)))
-        .withColumn("block_alias", F.col("block")["alias"])
-        .drop("block", "root_level")
+        tokens.selectExpr("*", f"last({opener}, true) OVER ({BY_SELECT_DEPTH} {SO_FAR}) AS block")
+        .selectExpr(
+            "*",
+            "coalesce(block.pos, -1) AS block_id",
+            "coalesce(block.level, root_level, 0) AS block_level",
+            "block.alias AS block_alias",
+        )
+        .drop("block", "root_level", "select_depth")
     )
 
 
 def _with_clauses(tokens: DataFrame) -> DataFrame:
     """Clause, union branch and select item of every token, inside its own block."""
-    at_level = (F.col("level") == F.col("block_level")) & ~F.col("opens") & ~F.col("closes")
-    clause_word = (
-        F.when(_is(*T.CLAUSE_WORDS) & (F.col("kind") == "word"), F.col("tok"))
-        .when(_is(*T.CLAUSE_WORDS_BY) & (F.col("next") == "by"), F.col("tok"))
-    )
-    union = _is("union") & (F.col("kind") == "word") & (F.col("level") <= F.col("block_level"))
-    so_far = by_block().rowsBetween(*SO_FAR)
-    tagged = tokens.withColumns(
-        {
-            "at_level": at_level,
-            "clause": F.last(F.when(at_level | union, clause_word), ignorenulls=True).over(so_far),
-            "from_part": F.last(F.when(at_level & _is("from", "join", ",", "on", "using"), F.col("tok")), ignorenulls=True).over(so_far),
-            "branch": F.sum(_flag(union)).over(so_far).cast("int"),
-        }
+    union = "(tok = 'union' AND level <= block_level)"
+    clause_word = f"""
+        CASE WHEN NOT (at_level OR {union}) THEN NULL
+             WHEN kind = 'word' AND tok IN {T.words(T.CLAUSE_WORDS)} THEN tok
+             WHEN next = 'by' AND tok IN {T.words(T.CLAUSE_WORDS_BY)} THEN tok END"""
+    from_word = "CASE WHEN at_level AND tok IN ('from', 'join', ',', 'on', 'using') THEN tok END"
+    return (
+        tokens.selectExpr("*", "level = block_level AND NOT opens AND NOT closes AS at_level")
+        .selectExpr(
+            "*",
+            f"last({clause_word}, true) OVER ({BY_BLOCK} {SO_FAR}) AS clause",
+            f"last({from_word}, true) OVER ({BY_BLOCK} {SO_FAR}) AS from_part",
+            f"CAST(count_if({union}) OVER ({BY_BLOCK} {SO_FAR}) AS int) AS branch",
+        )
+        .selectExpr("*", f"count_if(at_level AND tok = ',' AND clause = 'select') OVER ({BY_BLOCK} {SO_FAR}) AS commas")
+        .selectExpr(
+            "*",
+            f"CAST(commas - last(CASE WHEN at_level AND tok = 'select' THEN commas END, true) OVER ({BY_BLOCK} {SO_FAR}) AS int) AS item_no",
+        )
+        .drop("commas")
     )
-    comma = _flag(F.col("at_level") & _is(",") & (F.col("clause") == "select"))
-    counted = tagged.withColumn("commas", F.sum(comma).over(so_far))
-    at_select = F.last(F.when(F.col("at_level") & _is("select"), F.col("commas")), ignorenulls=True).over(so_far)
-    return counted.withColumn("item_no", (F.col("commas") - at_select).cast("int")).drop("commas")
 
 
 def nest_blocks(statements: DataFrame) -> DataFrame:
     """Every token with its nesting, block, clause and item."""
-    by_statement = statements.repartition("stmt_id")
     steps = (tokenize_statements, _with_neighbours, _with_openers, _with_depths, _with_blocks, _with_clauses)
-    return reduce(lambda df, step: step(df), steps, by_statement)
-
-
-def _split_name(name: Column) -> dict[str, Column]:
-    parts = F.split(name, r"\.")
-    return {
-        "tbl": F.element_at(parts, -1),
-        "db": F.when(F.size(parts) > 1, F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), ".")),
-    }
+    return reduce(lambda df, step: step(df), steps, statements.repartition("stmt_id"))
 
 
 def with_relations(nested: DataFrame) -> DataFrame:
@@ -202,77 +156,45 @@ def with_relations(nested: DataFrame) -> DataFrame:
 
     A named table sits on its name, a derived table on its closing bracket.
     """
-    in_from = (F.col("clause") == "from") & ~F.col("from_part").isin("on", "using") & (F.col("skip") == 0)
-    named = (
-        in_from
-        & F.col("at_level")
-        & (F.col("kind") == "word")
-        & F.col("prev").isin("from", "join", ",")
-        & ~_is(*T.RESERVED)
-        & F.coalesce(F.col("next") != "(", F.lit(True))
-    )
-    derived = in_from & _is(")") & F.col("open")["is_block"] & F.col("open")["is_relation"]
-    name = _split_name(F.col("tok"))
-    none = F.lit(None).cast("string")
-    return nested.withColumn(
-        "relation",
-        F.when(
-            named,
-            F.struct(
-                F.col("branch"),
-                F.col("pos").alias("ord"),
-                name["db"].alias("db"),
-                name["tbl"].alias("tbl"),
-                _alias_after().alias("alias"),
-                F.lit(None).cast("int").alias("derived_block"),
-            ),
-        ).when(
-            derived,
-            F.struct(
-                F.col("branch"),
-                F.col("pos").alias("ord"),
-                none.alias("db"),
-                none.alias("tbl"),
-                F.col("close_alias").alias("alias"),
-                F.col("open")["pos"].alias("derived_block"),
-            ),
-        ),
+    in_from = "clause = 'from' AND from_part NOT IN ('on', 'using') AND skip = 0"
+    named = f"""{in_from} AND at_level AND kind = 'word' AND prev IN ('from', 'join', ',')
+        AND tok NOT IN {T.words(T.RESERVED)} AND coalesce(next <> '(', true)"""
+    derived = f"{in_from} AND tok = ')' AND open.is_block AND open.is_relation"
+    return nested.selectExpr(
+        "*",
+        f"""
+        CASE WHEN {named} THEN named_struct(
+                 'branch', branch, 'ord', pos, 'db', {T.QUALIFIER_SQL}, 'tbl', {T.LAST_PART_SQL},
+                 'alias', {ALIAS_AFTER}, 'derived_block', CAST(NULL AS int))
+             WHEN {derived} THEN named_struct(
+                 'branch', branch, 'ord', pos, 'db', CAST(NULL AS string), 'tbl', CAST(NULL AS string),
+                 'alias', close_alias, 'derived_block', open.pos) END AS relation""",
     )
 
 
 def with_item_roles(nested: DataFrame) -> DataFrame:
     """Part each token of a select list plays: ref, star, call, literal, alias or other."""
-    next_is = lambda *words: F.coalesce(F.col("next").isin(*words), F.lit(False))
-    ends_clause = next_is(*T.CLAUSE_WORDS) & (F.col("next_kind") == "word") & (F.col("next_level") <= F.col("block_level"))
-    ends_item = (
-        F.col("next").isNull()
-        | (next_is(",", ")") & (F.col("next_level") == F.col("block_level")))
-        | ends_clause
-        | (F.col("next") == ";")
-    )
-    in_list = (F.col("clause") == "select") & ~(F.col("at_level") & _is("select", ","))
-    free_word = (F.col("kind") == "word") & ~_is(*T.RESERVED)
-    after_operand = (
-        (F.col("prev_kind").isin("number", "string") | F.col("prev").isin(")", "end", "null", "true", "false"))
-        | ((F.col("prev_kind") == "word") & ~F.col("prev").isin(*T.RESERVED))
-    )
-    named = F.col("kind").isin("word", "string") & (F.col("prev") == "as")
-    alias = F.col("at_level") & ends_item & (named | (free_word & after_operand))
-    is_call = (F.col("kind") == "word") & next_is("(") & (free_word | _is(*T.CALLABLE_RESERVED))
-    bare_star = _is("*") & F.col("prev").isin("select", "distinct", "all", ",", "(")
-    null_test = _is("null") & ((F.col("prev") == "is") | ((F.col("prev") == "not") & (F.col("prev2") == "is")))
-    literal = F.col("kind").isin("number", "string") | (_is(*T.CONSTANT_WORDS) & ~null_test)
-    typed = _is(*T.TYPED_LITERAL_WORDS) & (F.col("next_kind") == "string")
-    role = (
-        F.when(alias, "alias")
-        .when(_is("(", ")"), "bracket")
-        .when(bare_star & (F.col("prev") == "(") & (F.col("open")["kind"] == "call"), "literal")
-        .when(bare_star | ((F.col("kind") == "word") & F.col("tok").endswith(".*")), "star")
-        .when(is_call, "call")
-        .when(literal, "literal")
-        .when(free_word & ~typed & ~_is(*T.CONSTANT_WORDS), "ref")
-        .when(_is("distinct", "all") & (F.col("prev") == "select"), "bracket")
-        .otherwise("other")
+    ends_item = f"""(next IS NULL OR next = ';' OR (next IN (',', ')') AND next_level = block_level)
+        OR (next_kind = 'word' AND next IN {T.words(T.CLAUSE_WORDS)} AND next_level <= block_level))"""
+    in_list = "(clause = 'select' AND NOT (at_level AND tok IN ('select', ',')))"
+    free_word = f"(kind = 'word' AND tok NOT IN {T.words(T.RESERVED)})"
+    after_operand = f"""(prev_kind IN ('number', 'string') OR prev IN (')', 'end', 'null', 'true', 'false')
+        OR (prev_kind = 'word' AND prev NOT IN {T.words(T.RESERVED)}))"""
+    role = f"""
+        CASE WHEN at_level AND {ends_item} AND ((kind IN ('word', 'string') AND prev = 'as') OR ({free_word} AND {after_operand})) THEN 'alias'
+             WHEN tok IN ('(', ')') OR (tok IN ('distinct', 'all') AND prev = 'select') THEN 'bracket'
+             WHEN tok = '*' AND prev = '(' AND open.kind = 'call' THEN 'literal'
+             WHEN tok = '*' AND prev IN ('select', 'distinct', 'all', ',', '(') THEN 'star'
+             WHEN kind = 'word' AND endswith(tok, '.*') THEN 'star'
+             WHEN kind = 'word' AND next = '(' AND ({free_word} OR tok IN {T.words(T.CALLABLE_RESERVED)}) THEN 'call'
+             WHEN kind IN ('number', 'string') THEN 'literal'
+             WHEN tok = 'null' AND (prev = 'is' OR (prev = 'not' AND prev2 = 'is')) THEN 'other'
+             WHEN tok IN {T.words(T.CONSTANT_WORDS)} THEN 'literal'
+             WHEN tok IN {T.words(T.TYPED_LITERAL_WORDS)} AND next_kind = 'string' THEN 'other'
+             WHEN {free_word} THEN 'ref'
+             ELSE 'other' END"""
+    return nested.selectExpr(
+        "*",
+        f"CASE WHEN {in_list} THEN {role} END AS role",
+        f"coalesce({in_list} AND {ends_item}, false) AS ends_item",
     )
-    listed = F.coalesce(in_list, F.lit(False))
-    return nested.withColumn("role", F.when(listed, role)).withColumn("ends_item", listed & ends_item)

@@ -59,7 +59,10 @@ def copy_schema_like(columns: DataFrame, likes: DataFrame) -> DataFrame:
     """
     step = likes.select(
         F.col("source_db").alias("s_db"), F.col("source_tbl").alias("s_tbl"), "db", "tbl", F.col("seq").alias("like_seq")
-    ).where("s_db is not null and db is not null")
+    )
+    step = materialize(step.where("s_db is not null and db is not null"))
+    if step.isEmpty():
+        return columns
     fresh = columns.where("scope is null and col <> '*'").select("db", "tbl", "col", "first_seq")
     added = None
     while True:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from headwater.operators.blocks import SO_FAR, WHOLE, by_block, nest_blocks, with_item_roles, with_relations
+from headwater.functions import tokens as T
+from headwater.operators.blocks import BY_BLOCK, SO_FAR, WHOLE, nest_blocks, with_item_roles, with_relations
 
 # Fixed value: output name of an expression that has no alias.
 UNNAMED = "unresolvedalias"
@@ -127,54 +128,45 @@ def source_relations(statements: DataFrame) -> DataFrame:
 
 def scope_names(statements: DataFrame) -> DataFrame:
     """The name each relation goes by in its scope, and what stands behind the name."""
-    return source_relations(statements).select(
+    return source_relations(statements).selectExpr(
         "stmt_id",
         "block_id",
         "branch",
-        F.coalesce("alias", "tbl").alias("scope_name"),
-        F.when(F.col("derived_block").isNotNull(), "derived").when(F.col("alias").isNotNull(), "alias").otherwise("table").alias("scope_kind"),
-        F.concat_ws(".", "db", "tbl").alias("behind"),
+        "coalesce(alias, tbl) AS scope_name",
+        "CASE WHEN derived_block IS NOT NULL THEN 'derived' WHEN alias IS NOT NULL THEN 'alias' ELSE 'table' END AS scope_kind",
+        "concat_ws('.', db, tbl) AS behind",
     )
 
 
-def unquoted(tok: Column) -> Column:
-    """Text of a literal or alias token, without its quotes."""
-    return F.when(tok.rlike(r"^['\"]"), F.expr("substring(tok, 2, length(tok) - 2)")).otherwise(tok)
-
-
-def last_part(name: Column) -> Column:
-    return F.element_at(F.split(name, r"\."), -1)
-
-
 def with_items(tokens: DataFrame) -> DataFrame:
     """Alias, output name and shape of the select item each listed token is part of."""
-    relations = F.collect_list("relation").over(by_block().rowsBetween(*WHOLE))
-    listed = (
-        tokens.withColumn("relations", F.filter(relations, lambda r: r["branch"] == F.col("branch")))
-        .withColumn("n_branches", F.max("branch").over(by_block().rowsBetween(*WHOLE)) + 1)
-        .where("role is not null or relation is not null")
-    )
-    item = Window.partitionBy("stmt_id", "block_id", "item_no", "branch")
-    content = ~F.col("role").isin("bracket")
-    shaped = listed.withColumns(
-        {
-            "alias": F.max(F.when(F.col("role") == "alias", F.lower(unquoted(F.col("tok"))))).over(item),
-            "n_content": F.count(F.when(content, 1)).over(item),
-            "only_name": F.max(F.when(F.col("role").isin("ref", "star"), last_part(F.col("tok")))).over(item),
-        }
-    )
-    plain = F.col("alias").isNull() & (F.col("n_content") == 1) & F.col("only_name").isNotNull()
-    named = shaped.withColumn("is_plain", plain).withColumn(
-        "out_name", F.coalesce("alias", F.when(plain, F.col("only_name")), F.lit(UNNAMED))
+    item = "PARTITION BY stmt_id, block_id, item_no, branch"
+    return (
+        tokens.selectExpr(
+            "*",
+            f"collect_list(relation) OVER ({BY_BLOCK} {WHOLE}) AS block_relations",
+            f"max(branch) OVER ({BY_BLOCK} {WHOLE}) + 1 AS n_branches",
+        )
+        .where("role IS NOT NULL OR relation IS NOT NULL")
+        .selectExpr(
+            "*",
+            "filter(block_relations, r -> r.branch = branch) AS relations",
+            f"max(CASE WHEN role = 'alias' THEN lower({T.UNQUOTED_SQL}) END) OVER ({item}) AS alias",
+            f"count_if(role <> 'bracket') OVER ({item}) AS n_content",
+            f"max(CASE WHEN role IN ('ref', 'star') THEN {T.LAST_PART_SQL} END) OVER ({item}) AS only_name",
+        )
+        .selectExpr("*", "alias IS NULL AND n_content = 1 AND only_name IS NOT NULL AS is_plain")
+        .selectExpr("*", f"coalesce(alias, CASE WHEN is_plain THEN only_name END, '{UNNAMED}') AS out_name")
+        .selectExpr("*", "min_by(out_name, branch) OVER (PARTITION BY stmt_id, block_id, item_no) AS first_name")
+        .drop("block_relations", "n_content", "only_name")
     )
-    return named.withColumn("first_name", F.min_by("out_name", "branch").over(Window.partitionBy("stmt_id", "block_id", "item_no"))).drop("n_content", "only_name")
 
 
 def with_calls(items: DataFrame) -> DataFrame:
     """Name and place of the nearest function call around each token, or null."""
-    depth = Window.partitionBy("stmt_id", "call_depth").orderBy("pos")
-    opener = F.when((F.col("tok") == "(") & (F.col("open")["kind"] == "call"), F.struct((F.col("pos") - 1).alias("pos"), F.col("prev").alias("name")))
-    return items.withColumn("call", F.last(opener, ignorenulls=True).over(depth.rowsBetween(*SO_FAR)))
+    opener = "CASE WHEN tok = '(' AND open.kind = 'call' THEN named_struct('pos', pos - 1, 'name', prev) END"
+    by_depth = f"PARTITION BY stmt_id, call_depth ORDER BY pos {SO_FAR}"
+    return items.selectExpr("*", f"last({opener}, true) OVER ({by_depth}) AS call")
 
 
 def item_tokens(statements: DataFrame) -> DataFrame:
@@ -183,38 +175,32 @@ def item_tokens(statements: DataFrame) -> DataFrame:
 
 def select_items(statements: DataFrame) -> DataFrame:
     """``items(stmt_id, block_id, branch, item_no, out_name, is_star, star_qualifier)``."""
-    rows = with_items(select_tokens(statements)).where("role is not null and skip = 0")
-    star = F.col("is_plain") & (F.col("out_name") == "*")
-    qualifier = F.when((F.col("role") == "star") & (F.col("tok") != "*"), F.expr("substring(tok, 1, length(tok) - 2)"))
+    rows = with_items(select_tokens(statements)).where("role IS NOT NULL AND skip = 0")
     return rows.groupBy("stmt_id", "block_id", "branch", "item_no").agg(
         F.first("out_name").alias("out_name"),
-        F.bool_or(star).alias("is_star"),
-        F.max(qualifier).alias("star_qualifier"),
+        F.expr("bool_or(is_plain AND out_name = '*')").alias("is_star"),
+        F.expr("max(CASE WHEN role = 'star' AND tok <> '*' THEN substring(tok, 1, length(tok) - 2) END)").alias("star_qualifier"),
     )
 
 
 def item_references(statements: DataFrame, with_else: bool = False) -> DataFrame:
     """Every ref, star, call and literal whose value reaches a select item.
 
-    ``case_part`` tells WHEN, THEN and ELSE apart; ELSE is left out unless asked for.
+    ``case_part`` tells ELSE apart; it is left out unless asked for.
     """
-    live = F.col("skip") - (F.col("else_depth") if with_else else F.lit(0)) == 0
-    rows = item_tokens(statements).where(F.col("role").isin("ref", "star", "call", "literal") & live)
-    parts = F.split("tok", r"\.")
-    qualified = F.col("role").isin("ref", "star") & (F.size(parts) > 1)
-    return rows.select(
+    live = "skip = else_depth" if with_else else "skip = 0"
+    rows = item_tokens(statements).where(f"role IN ('ref', 'star', 'call', 'literal') AND {live}")
+    return rows.selectExpr(
         "stmt_id",
         "block_id",
         "branch",
         "item_no",
         "pos",
         "role",
-        F.when(qualified, F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), ".")).alias("qualifier"),
-        F.when(F.col("role").isin("ref", "star"), F.element_at(parts, -1))
-        .when(F.col("role") == "call", F.concat("tok", F.lit("()")))
-        .otherwise(F.lower(unquoted(F.col("tok"))))
-        .alias("name"),
-        F.col("call")["pos"].alias("func_pos"),
-        F.when(F.col("else_depth") > 0, "else").otherwise("value").alias("case_part"),
+        f"CASE WHEN role IN ('ref', 'star') THEN {T.QUALIFIER_SQL} END AS qualifier",
+        f"""CASE role WHEN 'call' THEN concat(tok, '()') WHEN 'literal' THEN lower({T.UNQUOTED_SQL})
+            ELSE {T.LAST_PART_SQL} END AS name""",
+        "call.pos AS func_pos",
+        "CASE WHEN else_depth > 0 THEN 'else' ELSE 'value' END AS case_part",
         "out_name",
     )

@@ -7,11 +7,12 @@ and stars are expanded last, when every column is known.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from headwater.functions import tokens as T
 from headwater.functions.text import full_name
-from headwater.operators.facts import item_tokens, last_part, unquoted
+from headwater.operators.facts import item_tokens
 
 # A vertex is (scope, db, tbl, col). Scope is null for objects named with a database; all
 # other objects live in the statement, block or item that mentions them.
@@ -20,62 +21,59 @@ MARK = "\u0001"
 UNNAMED_DERIVED = "__subquery"
 
 
-def packed(scope: Column | None, db: Column | None, tbl: Column | None, col: Column | None) -> Column:
-    """A vertex as one string; absent parts are empty."""
-    return F.concat_ws(MARK, *(F.lit("") if p is None else F.coalesce(p, F.lit("")) for p in (scope, db, tbl, col)))
+def packed(scope: str, db: str, tbl: str, col: str) -> str:
+    """SQL for a vertex as one string; absent parts are empty."""
+    return f"concat_ws('{MARK}', " + ", ".join(f"coalesce({p}, '')" for p in (scope, db, tbl, col)) + ")"
 
 
-def unpacked(name: str) -> Column:
-    """The struct of a packed vertex, null for null."""
-    parts = F.split(name, MARK)
-    fields = (F.nullif(F.element_at(parts, i + 1), F.lit("")).alias(p) for i, p in enumerate(PARTS))
-    return F.when(F.col(name).isNotNull(), F.struct(*fields))
+def unpacked(name: str) -> str:
+    """SQL for the struct of a packed vertex, null for null."""
+    fields = ", ".join(f"'{p}', nullif(element_at(split({name}, '{MARK}'), {i + 1}), '')" for i, p in enumerate(PARTS))
+    return f"CASE WHEN {name} IS NOT NULL THEN named_struct({fields}) END"
 
 
-def _owned_rows(statements: DataFrame, live: Column) -> DataFrame:
+# A relation of the scope as lineage sees it: where its columns live and what it answers to.
+_DESCRIBED = f"""transform(relations, r -> named_struct(
+    'scope', CASE WHEN r.derived_block IS NOT NULL THEN concat(stmt_scope, '/d', r.derived_block)
+                  WHEN r.db IS NULL THEN branch_scope END,
+    'db', r.db,
+    'tbl', CASE WHEN r.derived_block IS NOT NULL THEN coalesce(r.alias, '{UNNAMED_DERIVED}') ELSE r.tbl END,
+    'alias', CASE WHEN r.derived_block IS NULL THEN r.alias END,
+    'name', coalesce(r.alias, r.tbl, '{UNNAMED_DERIVED}'),
+    'full', CASE WHEN r.alias IS NULL THEN concat_ws('.', r.db, r.tbl) END))"""
+
+
+def _owned_rows(statements: DataFrame, live: str) -> DataFrame:
     """Live tokens, each with the relation that owns it: one row per relation for a star.
 
     ``owner`` is null where the token is no reference or its owner is not sure;
     ``candidates`` then holds the relations it could belong to.
     """
-    parts = F.split("tok", r"\.")
-    qualifier = F.when(F.size(parts) > 1, F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "."))
-    named = lambda r: (r["name"] == F.col("qualifier")) | (r["full"] == F.col("qualifier"))
-    is_name = F.col("role").isin("ref", "star")
-    statement, branch = F.col("stmt_scope"), F.col("branch_scope")
-
-    def described(r: Column) -> Column:
-        derived = r["derived_block"].isNotNull()
-        return F.struct(
-            F.when(derived, F.concat(statement, F.lit("/d"), r["derived_block"].cast("string")))
-            .when(r["db"].isNull(), branch)
-            .alias("scope"),
-            r["db"].alias("db"),
-            F.when(derived, F.coalesce(r["alias"], F.lit(UNNAMED_DERIVED))).otherwise(r["tbl"]).alias("tbl"),
-            F.when(~derived, r["alias"]).alias("alias"),
-            F.coalesce(r["alias"], r["tbl"], F.lit(UNNAMED_DERIVED)).alias("name"),
-            F.when(r["alias"].isNull(), F.concat_ws(".", r["db"], r["tbl"])).alias("full"),
-        )
-
-    number = lambda *names: F.concat_ws("/", *(F.col(n).cast("string") for n in names))
-    scoped = (
-        item_tokens(statements)
-        .where(live & (F.col("role").isin("ref", "star", "call", "literal") | F.col("ends_item") | F.col("relation").isNotNull()))
-        .withColumn("stmt_scope", F.concat(F.lit("#"), F.col("stmt_id").cast("string")))
-        .withColumn("branch_scope", F.concat(F.lit("#"), number("stmt_id", "block_id", "branch")))
-        .withColumn("qualifier", F.when(is_name, qualifier))
-    )
-    in_scope = F.when(is_name, F.transform("relations", described))
-    owners = F.when(F.col("qualifier").isNull(), F.col("in_scope")).otherwise(F.filter("in_scope", named))
-    sure = F.when((F.col("role") == "star") | (F.size("owners") == 1), F.col("owners")).when(
-        F.col("qualifier").isNotNull(), F.slice("owners", 1, 1)
-    )
-    open_ = (F.col("role") == "ref") & F.col("qualifier").isNull() & (F.size("owners") > 1)
+    sure = """
+        CASE WHEN role = 'star' OR size(owners) = 1 THEN owners
+             WHEN qualifier IS NOT NULL THEN slice(owners, 1, 1) END"""
+    open_ = "role = 'ref' AND qualifier IS NULL AND size(owners) > 1"
     return (
-        scoped.withColumn("in_scope", in_scope)
-        .withColumn("owners", owners)
-        .withColumn("candidates", F.when(open_, F.transform("owners", lambda r: F.struct(r["scope"], r["db"], r["tbl"]))))
-        .withColumn("owner", F.explode_outer(sure))
+        item_tokens(statements)
+        .where(f"{live} AND (role IN ('ref', 'star', 'call', 'literal') OR ends_item OR relation IS NOT NULL)")
+        .selectExpr(
+            "*",
+            "role IN ('ref', 'star') AS is_name",
+            "concat('#', stmt_id) AS stmt_scope",
+            "concat('#', stmt_id, '/', block_id, '/', branch) AS branch_scope",
+            f"CASE WHEN role IN ('ref', 'star') THEN {T.QUALIFIER_SQL} END AS qualifier",
+        )
+        .selectExpr("*", f"CASE WHEN is_name THEN {_DESCRIBED} END AS in_scope")
+        .selectExpr(
+            "*",
+            """CASE WHEN qualifier IS NULL THEN in_scope
+                    ELSE filter(in_scope, r -> r.name = qualifier OR r.full = qualifier) END AS owners""",
+        )
+        .selectExpr(
+            "*",
+            f"CASE WHEN {open_} THEN transform(owners, r -> named_struct('scope', r.scope, 'db', r.db, 'tbl', r.tbl)) END AS candidates",
+            f"explode_outer({sure}) AS owner",
+        )
         .drop("relations", "in_scope", "owners")
     )
 
@@ -85,75 +83,70 @@ def token_links(statements: DataFrame, with_else: bool = False) -> DataFrame:
 
     A link without ``dst`` only says that its ``src`` is mentioned.
     """
-    role, owner = F.col("role"), F.col("owner")
-    is_name = role.isin("ref", "star")
-    rows = _owned_rows(statements, F.col("skip") - (F.col("else_depth") if with_else else F.lit(0)) == 0)
-
     # Where a select item's value goes next: onto the union, the derived table or the target.
-    in_union = F.col("n_branches") > 1
-    flow_name = F.when(in_union, F.col("first_name")).otherwise(F.col("out_name"))
-    derived_scope = F.concat(F.col("stmt_scope"), F.lit("/d"), F.col("block_id").cast("string"))
-    union_scope = F.concat_ws("/", "stmt_scope", F.col("block_id").cast("string"), F.lit("u"), F.col("item_no").cast("string"))
-    onward = F.when(
-        F.col("block_id") >= 0, packed(derived_scope, None, F.coalesce("block_alias", F.lit(UNNAMED_DERIVED)), flow_name)
-    ).when(
-        F.col("target_tbl").isNotNull(),
-        packed(F.when(F.col("target_db").isNull(), F.col("stmt_scope")), F.col("target_db"), F.col("target_tbl"), flow_name),
-    )
-    item_scope = F.concat_ws("/", "branch_scope", F.col("item_no").cast("string"))
-    call_at = lambda pos: F.concat_ws("@", "stmt_scope", pos.cast("string"))
-    placed = (
-        rows.withColumn("onward", onward)
-        .withColumn("joint", F.when(in_union, packed(union_scope, None, None, F.col("first_name"))))
-        .withColumn("output", packed(item_scope, None, None, F.col("out_name")))
-        .withColumn("leaves", F.coalesce("joint", "onward"))
-    )
-
+    flow_name = "CASE WHEN n_branches > 1 THEN first_name ELSE out_name END"
+    onward = f"""
+        CASE WHEN block_id >= 0
+             THEN {packed("concat(stmt_scope, '/d', block_id)", "NULL", f"coalesce(block_alias, '{UNNAMED_DERIVED}')", flow_name)}
+             WHEN target_tbl IS NOT NULL
+             THEN {packed("CASE WHEN target_db IS NULL THEN stmt_scope END", "target_db", "target_tbl", flow_name)} END"""
+    joint = packed("concat(stmt_scope, '/', block_id, '/u/', item_no)", "NULL", "NULL", "first_name")
+    item_scope = "concat(branch_scope, '/', item_no)"
     # What the token itself feeds: the call around it, else the item's output, else straight on.
-    feeds = (
-        F.when(F.col("call").isNotNull(), packed(call_at(F.col("call.pos")), None, None, F.concat("call.name", F.lit("()"))))
-        .when(F.col("is_plain"), F.col("leaves"))
-        .otherwise(F.col("output"))
-    )
-    name = last_part(F.col("tok"))
-    base = packed(owner["scope"], owner["db"], owner["tbl"], name)
-    seen = packed(F.col("branch_scope"), None, owner["alias"], name)
-    value = (
-        F.when(is_name & owner["alias"].isNotNull(), F.col("seen"))
-        .when(is_name & owner.isNotNull(), F.col("base"))
-        .when(role == "ref", packed(F.col("branch_scope"), None, None, name))
-        .when(role == "call", packed(call_at(F.col("pos")), None, None, F.concat("tok", F.lit("()"))))
-        .when(role == "literal", packed(item_scope, None, None, F.lower(unquoted(F.col("tok")))))
-    )
-    closes = F.col("ends_item") & ~F.col("is_plain") & role.isNotNull()
-    table = F.col("relation")
+    feeds = f"""
+        CASE WHEN call IS NOT NULL THEN {packed("concat(stmt_scope, '@', call.pos)", "NULL", "NULL", "concat(call.name, '()')")}
+             WHEN is_plain THEN leaves
+             ELSE output END"""
+    value = f"""
+        CASE WHEN seen IS NOT NULL THEN seen
+             WHEN base IS NOT NULL THEN base
+             WHEN role = 'ref' THEN {packed("branch_scope", "NULL", "NULL", T.LAST_PART_SQL)}
+             WHEN role = 'call' THEN {packed("concat(stmt_scope, '@', pos)", "NULL", "NULL", "concat(tok, '()')")}
+             WHEN role = 'literal' THEN {packed(item_scope, "NULL", "NULL", f"lower({T.UNQUOTED_SQL})")} END"""
+    table = packed("CASE WHEN relation.db IS NULL THEN branch_scope END", "relation.db", "relation.tbl", "NULL")
     ends = (
-        placed.withColumn("feeds", feeds)
-        .withColumn("base", F.when(is_name & owner.isNotNull(), base))
-        .withColumn("seen", F.when(is_name & owner["alias"].isNotNull(), seen))
-        .withColumn("value", value)
-        .withColumn("closing", F.when(closes, F.col("output")))
-        .withColumn("joint", F.when(closes | (is_name & F.col("is_plain")), F.col("joint")))
-        .withColumn(
+        _owned_rows(statements, "skip = else_depth" if with_else else "skip = 0")
+        .selectExpr(
+            "*",
+            f"{onward} AS onward",
+            f"CASE WHEN n_branches > 1 THEN {joint} END AS joint",
+            f"{packed(item_scope, 'NULL', 'NULL', 'out_name')} AS output",
+            f"CASE WHEN is_name AND owner IS NOT NULL THEN {packed('owner.scope', 'owner.db', 'owner.tbl', T.LAST_PART_SQL)} END AS base",
+            f"CASE WHEN is_name AND owner.alias IS NOT NULL THEN {packed('branch_scope', 'NULL', 'owner.alias', T.LAST_PART_SQL)} END AS seen",
+            f"CASE WHEN relation.tbl IS NOT NULL THEN {table} END AS table",
+            "ends_item AND NOT is_plain AND role IS NOT NULL AS ends_output",
+        )
+        .selectExpr("*", "coalesce(joint, onward) AS leaves")
+        .selectExpr(
+            "stmt_id",
+            "seq",
+            "base",
+            "seen",
+            f"{value} AS value",
+            f"{feeds} AS feeds",
+            "CASE WHEN ends_output THEN output END AS closing",
+            "leaves",
+            "CASE WHEN ends_output OR (is_name AND is_plain) THEN joint END AS joint",
+            "onward",
             "table",
-            F.when(table["tbl"].isNotNull(), packed(F.when(table["db"].isNull(), F.col("branch_scope")), table["db"], table["tbl"], None)),
+            "candidates",
         )
-        .select("stmt_id", "seq", "base", "seen", "value", "feeds", "closing", "leaves", "joint", "onward", "table", "candidates")
     )
-    none = F.lit(None).cast("string")
-    no_candidates = F.lit(None).cast("array<struct<scope:string,db:string,tbl:string>>")
-    link = lambda rule, src, dst, cand=no_candidates: F.struct(
-        F.lit(rule).alias("rule"), F.col(src).alias("src"), dst.alias("dst"), cand.alias("candidates")
+    link = lambda rule, src, dst, candidates="NULL": (
+        f"named_struct('rule', '{rule}', 'src', {src}, 'dst', {dst}, 'candidates', {candidates})"
+    )
+    links = ", ".join(
+        (
+            link("value", "value", "feeds", "candidates"),
+            link("alias", "base", "seen"),
+            link("output", "closing", "leaves"),
+            link("union", "joint", "onward"),
+            link("table", "table", "NULL"),
+        )
     )
-    links = F.array(
-        link("alias", "base", F.col("seen")),
-        link("value", "value", F.col("feeds"), F.col("candidates")),
-        link("output", "closing", F.col("leaves")),
-        link("union", "joint", F.col("onward")),
-        link("table", "table", none),
+    return ends.selectExpr("stmt_id", "seq", f"inline(filter(array({links}), l -> l.src IS NOT NULL))").selectExpr(
+        "stmt_id", "seq", "rule", f"{unpacked('src')} AS src", f"{unpacked('dst')} AS dst", "candidates"
     )
-    found = ends.select("stmt_id", "seq", F.inline(F.filter(links, lambda l: l["src"].isNotNull())))
-    return found.withColumns({"src": unpacked("src"), "dst": unpacked("dst")})
 
 
 def with_full_names(links: DataFrame) -> DataFrame:
