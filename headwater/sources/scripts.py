@@ -7,28 +7,25 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_BREAK = r"(\r\n|\r|\n)"
 
-def scan_script_lines(spark: SparkSession, paths: str | Iterable[str]) -> DataFrame:
-    """``lines(file, line_no, line)`` of every script under ``paths``.
 
-    Line numbers come from each file's own order, so the file is read as one record and
-    cut afterwards; the line break may be of either kind. Unreadable files are skipped.
+def split_script_text(scripts: DataFrame) -> DataFrame:
+    """``lines(file, line_no, line)`` of ``scripts(file, body)``.
+
+    Line numbers come from each script's own order. A break at the very end opens no line.
     """
-    reader = spark.read.option("wholetext", True).option("ignoreMissingFiles", True)
-    files = reader.option("ignoreCorruptFiles", True).text(paths if isinstance(paths, str) else list(paths))
-    body = F.regexp_replace("value", r"\r?\n\z", "")
-    return files.select(
-        F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"),
-        F.posexplode(F.split(body, r"\r?\n")).alias("line_no", "line"),
-    ).withColumn("line_no", F.col("line_no").cast("bigint"))
+    body = F.regexp_replace("body", _BREAK + r"\z", "")
+    cut = scripts.where("body <> ''").select("file", F.posexplode(F.split(body, _BREAK)).alias("line_no", "line"))
+    return cut.withColumn("line_no", F.col("line_no").cast("bigint"))
 
 
-def split_script_text(scripts: DataFrame) -> DataFrame:
-    """``lines`` from ``scripts(file, body)`` that another table already holds."""
-    return scripts.select(
-        "file",
-        F.posexplode(F.split(F.regexp_replace("body", r"\r?\n\z", ""), r"\r?\n")).alias("line_no", "line"),
-    ).withColumn("line_no", F.col("line_no").cast("bigint"))
+def scan_script_lines(spark: SparkSession, paths: str | Iterable[str]) -> DataFrame:
+    """``lines`` of every script file under ``paths``; files that cannot be read are skipped."""
+    reader = spark.read.option("wholetext", True).option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True)
+    files = reader.text(paths if isinstance(paths, str) else list(paths))
+    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    return split_script_text(files.select(name.alias("file"), F.col("value").alias("body")))
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
