@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from headwater.operators import catalog, stars
 from headwater.operators.facts import statement_targets
 from headwater.operators.lineage import PARTS, token_links
+from headwater.operators.numbering import global_row_number
 from headwater.operators.prepare import number_statements, prepare_scripts
 from headwater.session import materialize
 from headwater.sources.scripts import manifest_scripts, read_manifest, scan_script_lines
@@ -95,12 +96,11 @@ def lineage_from_sql(spark: SparkSession, sqls: Iterable[str], with_else: bool =
 
 
 def lineage_from_files(spark: SparkSession, paths: str | Iterable[str], manifest: DataFrame | None = None) -> LineageResult:
-    """Lineage of script files; ``manifest(file, ord)`` picks and orders them."""
+    """Lineage of script files; ``manifest(file, ord)`` picks and orders them, else their names do."""
     lines = scan_script_lines(spark, paths)
     if manifest is None:
-        listed = lines.withColumn("ord", F.lit(0).cast("bigint"))
-    else:
-        listed = manifest_scripts(lines, manifest)
+        manifest = global_row_number(lines.select("file").distinct(), ["file"], "ord")
+    listed = manifest_scripts(lines, manifest)
     return lineage_from_statements(number_statements(prepare_scripts(listed, ("file", "ord"))))
 
 

@@ -49,8 +49,8 @@ CASE WHEN length(raw) > 1 AND substring(raw, 1, 1) IN ('\\'', '"') THEN 'string'
      ELSE 'symbol' END"""
 # Words in lower case without back-quotes; everything else as written.
 TEXT_SQL = "CASE WHEN kind = 'word' THEN lower(replace(raw, '`', '')) ELSE raw END"
-# A literal or alias without its quotes.
-UNQUOTED_SQL = r"""CASE WHEN tok RLIKE '^[\'"]' THEN substring(tok, 2, length(tok) - 2) ELSE tok END"""
+# A literal or alias without its quotes; the star of count(*) counts as the literal 1.
+UNQUOTED_SQL = r"""CASE WHEN tok = '*' THEN '1' WHEN tok RLIKE '^[\'"]' THEN substring(tok, 2, length(tok) - 2) ELSE tok END"""
 # Parts of a dotted name.
 LAST_PART_SQL = r"element_at(split(tok, '\\.'), -1)"
 QUALIFIER_SQL = r"CASE WHEN size(split(tok, '\\.')) > 1 THEN array_join(slice(split(tok, '\\.'), 1, size(split(tok, '\\.')) - 1), '.') END"

@@ -6,18 +6,16 @@ inside one statement, so no token ever crosses the network and no join is needed
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 
 from headwater.functions import tokens as T
+from headwater.session import shuffle_width
 
 BY_POS = "PARTITION BY stmt_id ORDER BY pos"
 BY_LEVEL = "PARTITION BY stmt_id, level ORDER BY pos"
 BY_SELECT_DEPTH = "PARTITION BY stmt_id, select_depth ORDER BY pos"
 BY_BLOCK = "PARTITION BY stmt_id, block_id ORDER BY pos"
 SO_FAR = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
-AHEAD = "ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING"
 WHOLE = "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
 
 # Name given to the relation that ends at this token, or null.
@@ -26,6 +24,10 @@ CASE WHEN next = 'as' THEN next2
      WHEN next_kind = 'word' AND next NOT IN {T.words(T.NOT_RELATION_ALIAS)} THEN next END"""
 
 
+def _flag(cond: str) -> str:
+    return f"coalesce(int({cond}), 0)"
+
+
 def tokenize_statements(statements: DataFrame) -> DataFrame:
     """``tokens(stmt_id, pos, tok, kind)`` plus the columns the statements bring along."""
     carried = [c for c in statements.columns if c != "sql"]
@@ -36,8 +38,9 @@ def tokenize_statements(statements: DataFrame) -> DataFrame:
     )
 
 
-def _with_neighbours(tokens: DataFrame) -> DataFrame:
-    return tokens.selectExpr("*", "tok IN ('(', 'case') AS opens", "tok IN (')', 'end') AS closes").selectExpr(
+def with_neighbours(tokens: DataFrame) -> DataFrame:
+    """Tokens with those around them, and how many brackets and CASEs are open."""
+    return tokens.selectExpr("*", "CASE WHEN tok IN ('(', 'case') THEN 1 WHEN tok IN (')', 'end') THEN -1 ELSE 0 END AS step").selectExpr(
         "*",
         f"lag(tok, 1) OVER ({BY_POS}) AS prev",
         f"lag(tok, 2) OVER ({BY_POS}) AS prev2",
@@ -45,69 +48,109 @@ def _with_neighbours(tokens: DataFrame) -> DataFrame:
         f"lead(tok, 1) OVER ({BY_POS}) AS next",
         f"lead(kind, 1) OVER ({BY_POS}) AS next_kind",
         f"lead(tok, 2) OVER ({BY_POS}) AS next2",
-        f"CAST(sum(int(opens) - int(closes)) OVER ({BY_POS} {SO_FAR}) + int(closes) AS int) AS level",
+        f"CAST(sum(step) OVER ({BY_POS} {SO_FAR}) - least(step, 0) AS int) AS level",
         f"count_if(tok = 'select') OVER ({BY_POS} {SO_FAR}) AS selects_before",
     )
 
 
-def _with_openers(tokens: DataFrame) -> DataFrame:
+def with_openers(tokens: DataFrame) -> DataFrame:
     """What the innermost open bracket or CASE is, and the name behind its closing mark.
 
     The bracket around a whole query, or around one branch of a union, is no scope of its own.
     """
     around_query = "coalesce(selects_before = 0 OR prev = 'union' OR (prev = 'all' AND prev2 = 'union'), false)"
+    is_block = f"coalesce(tok = '(' AND next = 'select' AND NOT {around_query}, false)"
     names_call = (
         f"prev_kind = 'word' AND (prev NOT IN {T.words(T.RESERVED)} OR prev IN {T.words(T.CALLABLE_RESERVED)})"
     )
     kind = f"""
         CASE WHEN tok = 'case' THEN 'case'
              WHEN prev IN ('in', 'over', 'cast') THEN prev
-             WHEN is_block THEN 'select'
+             WHEN {is_block} THEN 'select'
              WHEN {names_call} THEN 'call'
              ELSE 'group' END"""
     opener = f"""
-        CASE WHEN opens THEN named_struct(
-            'pos', pos, 'kind', {kind}, 'is_block', is_block,
+        CASE WHEN step = 1 THEN named_struct(
+            'pos', pos, 'kind', {kind}, 'is_block', {is_block},
             'is_relation', coalesce(prev IN ('from', 'join', ','), false), 'prev', prev, 'prev2', prev2) END"""
-    return (
-        tokens.selectExpr("*", f"coalesce(tok = '(' AND next = 'select' AND NOT {around_query}, false) AS is_block")
-        .selectExpr(
-            "*",
-            f"last({opener}, true) OVER ({BY_LEVEL} {SO_FAR}) AS open",
-            f"last(CASE WHEN opens OR tok IN ('else', 'as') THEN tok END, true) OVER ({BY_LEVEL} {SO_FAR}) AS mark",
-            f"first(CASE WHEN closes THEN named_struct('name', {ALIAS_AFTER}) END, true) OVER ({BY_LEVEL} {AHEAD}).name AS close_alias",
-        )
-        .drop("is_block", "selects_before")
+    return tokens.selectExpr("*", f"{opener} AS opener", f"{ALIAS_AFTER} AS alias_after").selectExpr(
+        "*",
+        f"last(opener, true) OVER ({BY_LEVEL} {SO_FAR}) AS open",
+        f"last(CASE WHEN step = 1 OR tok IN ('else', 'as') THEN tok END, true) OVER ({BY_LEVEL} {SO_FAR}) AS mark",
+        f"(lead(CASE WHEN step = -1 THEN named_struct('name', alias_after) END, 1) IGNORE NULLS OVER ({BY_LEVEL})).name AS close_alias",
     )
 
 
-def _with_depths(tokens: DataFrame) -> DataFrame:
-    """Depth in selects and calls, and how many value-less surroundings a token stands in.
+def _without_neighbours(tokens: DataFrame, carried: list[str]) -> DataFrame:
+    """Turn all that depends on words and neighbours into a few small columns.
 
-    Value-less are: ELSE parts, type names of casts, IN lists, OVER clauses and
-    sub-selects that are no relation of a FROM clause.
+    The sorts that follow then move only those, and no word list is looked at again.
+    Value-less surroundings are: ELSE parts, type names of casts, IN lists, OVER clauses
+    and sub-selects that are no relation of a FROM clause.
     """
-    step = "(int(opens) - int(closes))"
     dead = "(open.kind IN ('in', 'over') OR (open.is_block AND NOT open.is_relation))"
-    ends_else = "(tok = 'end' AND open.kind = 'case' AND mark = 'else')"
-    in_else = "(tok = 'else' AND open.kind = 'case')"
-    in_type = "(tok = 'as' AND open.kind = 'cast')"
-    ends_type = "(tok = ')' AND open.kind = 'cast' AND mark = 'as')"
-    flag = lambda cond: f"coalesce(int({cond}), 0)"
-    skip = f"{flag(dead)} * {step} + {flag(in_else)} + {flag(in_type)} - {flag(ends_else)} - {flag(ends_type)}"
+    in_else, ends_else = "(tok = 'else' AND open.kind = 'case')", "(tok = 'end' AND open.kind = 'case' AND mark = 'else')"
+    in_type, ends_type = "(tok = 'as' AND open.kind = 'cast')", "(tok = ')' AND open.kind = 'cast' AND mark = 'as')"
+    clause_word = f"""
+        CASE WHEN kind = 'word' AND tok IN {T.words(T.CLAUSE_WORDS)} THEN tok
+             WHEN next = 'by' AND tok IN {T.words(T.CLAUSE_WORDS_BY)} THEN tok END"""
+    ends = f"""
+        CASE WHEN next IS NULL OR next = ';' THEN 'always'
+             WHEN next IN (',', ')') THEN 'same level'
+             WHEN next_kind = 'word' AND next IN {T.words(T.CLAUSE_WORDS)} THEN 'clause' END"""
+    free_word = f"(kind = 'word' AND tok NOT IN {T.words(T.RESERVED)})"
+    after_operand = f"""(prev_kind IN ('number', 'string') OR prev IN (')', 'end', 'null', 'true', 'false')
+        OR (prev_kind = 'word' AND prev NOT IN {T.words(T.RESERVED)}))"""
+    role = f"""
+        CASE WHEN tok IN ('(', ')') OR (tok IN ('distinct', 'all') AND prev = 'select') THEN 'bracket'
+             WHEN tok = '*' AND prev = '(' AND open.kind = 'call' THEN 'literal'
+             WHEN tok = '*' AND prev IN ('select', 'distinct', 'all', ',', '(') THEN 'star'
+             WHEN kind = 'word' AND endswith(tok, '.*') THEN 'star'
+             WHEN kind = 'word' AND next = '(' AND ({free_word} OR tok IN {T.words(T.CALLABLE_RESERVED)}) THEN 'call'
+             WHEN kind IN ('number', 'string') THEN 'literal'
+             WHEN tok = 'null' AND (prev = 'is' OR (prev = 'not' AND prev2 = 'is')) THEN 'other'
+             WHEN tok IN {T.words(T.CONSTANT_WORDS)} THEN 'literal'
+             WHEN tok IN {T.words(T.TYPED_LITERAL_WORDS)} AND next_kind = 'string' THEN 'other'
+             WHEN {free_word} THEN 'ref'
+             ELSE 'other' END"""
+    return tokens.selectExpr(
+        *carried,
+        "pos",
+        "tok",
+        "level",
+        "step",
+        f"{_flag('open.is_block')} * step AS block_step",
+        f"{_flag('open.kind = ' + repr('call'))} * step AS call_step",
+        f"{_flag(dead)} * step + {_flag(in_else)} + {_flag(in_type)} - {_flag(ends_else)} - {_flag(ends_type)} AS skip_step",
+        f"{_flag(in_else)} - {_flag(ends_else)} AS else_step",
+        "CASE WHEN step = 1 AND open.kind = 'call' THEN prev END AS call_name",
+        "CASE WHEN step = -1 AND open.is_block AND open.is_relation THEN open.pos END AS derived_block",
+        f"{free_word} AND coalesce(prev IN ('from', 'join', ',') AND coalesce(next <> '(', true), false) AS may_be_table",
+        f"coalesce((kind IN ('word', 'string') AND prev = 'as') OR ({free_word} AND {after_operand}), false) AS may_be_alias",
+        "alias_after",
+        "close_alias",
+        f"{clause_word} AS clause_word",
+        f"{ends} AS ends",
+        f"{role} AS role",
+    )
+
+
+def _with_depths(tokens: DataFrame) -> DataFrame:
+    """Depth in selects and calls, and how many value-less surroundings a token stands in."""
+    depth = lambda step: f"CAST(sum({step}) OVER ({BY_POS} {SO_FAR}) AS int)"
     return tokens.selectExpr(
         "*",
-        f"CAST(sum({flag('open.is_block')} * {step}) OVER ({BY_POS} {SO_FAR}) AS int) AS select_depth",
-        f"CAST(sum({flag('open.kind = ' + repr('call'))} * {step}) OVER ({BY_POS} {SO_FAR}) AS int) AS call_depth",
-        f"CAST(sum({skip}) OVER ({BY_POS} {SO_FAR}) AS int) AS skip",
-        f"CAST(sum({flag(in_else)} - {flag(ends_else)}) OVER ({BY_POS} {SO_FAR}) AS int) AS else_depth",
+        f"{depth('block_step')} AS select_depth",
+        f"{depth('call_step')} AS call_depth",
+        f"{depth('skip_step')} AS skip",
+        f"{depth('else_step')} AS else_depth",
         f"lead(level) OVER ({BY_POS}) AS next_level",
         f"first(CASE WHEN tok = 'select' THEN level END, true) OVER ({BY_POS} {WHOLE}) AS root_level",
-    ).drop("mark")
+    ).drop("call_step", "skip_step", "else_step")
 
 
 def _with_blocks(tokens: DataFrame) -> DataFrame:
-    opener = "CASE WHEN opens AND open.is_block THEN named_struct('pos', pos, 'level', level, 'alias', close_alias) END"
+    opener = "CASE WHEN block_step = 1 THEN named_struct('pos', pos, 'level', level, 'alias', close_alias) END"
     return (
         tokens.selectExpr("*", f"last({opener}, true) OVER ({BY_SELECT_DEPTH} {SO_FAR}) AS block")
         .selectExpr(
@@ -116,85 +159,68 @@ def _with_blocks(tokens: DataFrame) -> DataFrame:
             "coalesce(block.level, root_level, 0) AS block_level",
             "block.alias AS block_alias",
         )
-        .drop("block", "root_level", "select_depth")
+        .selectExpr(
+            "*",
+            "level = block_level AND step = 0 AS at_level",
+            "level <= block_level AS at_most_level",
+            """coalesce(ends = 'always' OR (ends = 'same level' AND next_level = block_level)
+               OR (ends = 'clause' AND next_level <= block_level), false) AS ends_item""",
+        )
+        .drop("block", "root_level", "select_depth", "block_step", "block_level", "next_level", "ends", "close_alias", "step")
     )
 
 
 def _with_clauses(tokens: DataFrame) -> DataFrame:
     """Clause, union branch and select item of every token, inside its own block."""
-    union = "(tok = 'union' AND level <= block_level)"
-    clause_word = f"""
-        CASE WHEN NOT (at_level OR {union}) THEN NULL
-             WHEN kind = 'word' AND tok IN {T.words(T.CLAUSE_WORDS)} THEN tok
-             WHEN next = 'by' AND tok IN {T.words(T.CLAUSE_WORDS_BY)} THEN tok END"""
+    clause_word = "CASE WHEN at_level OR (tok = 'union' AND at_most_level) THEN clause_word END"
     from_word = "CASE WHEN at_level AND tok IN ('from', 'join', ',', 'on', 'using') THEN tok END"
     return (
-        tokens.selectExpr("*", "level = block_level AND NOT opens AND NOT closes AS at_level")
-        .selectExpr(
+        tokens.selectExpr(
             "*",
             f"last({clause_word}, true) OVER ({BY_BLOCK} {SO_FAR}) AS clause",
             f"last({from_word}, true) OVER ({BY_BLOCK} {SO_FAR}) AS from_part",
-            f"CAST(count_if({union}) OVER ({BY_BLOCK} {SO_FAR}) AS int) AS branch",
+            f"CAST(count_if(tok = 'union' AND at_most_level) OVER ({BY_BLOCK} {SO_FAR}) AS int) AS branch",
         )
         .selectExpr("*", f"count_if(at_level AND tok = ',' AND clause = 'select') OVER ({BY_BLOCK} {SO_FAR}) AS commas")
         .selectExpr(
             "*",
             f"CAST(commas - last(CASE WHEN at_level AND tok = 'select' THEN commas END, true) OVER ({BY_BLOCK} {SO_FAR}) AS int) AS item_no",
         )
-        .drop("commas")
+        .drop("commas", "clause_word", "at_most_level")
     )
 
 
 def nest_blocks(statements: DataFrame) -> DataFrame:
-    """Every token with its nesting, block, clause and item."""
-    steps = (tokenize_statements, _with_neighbours, _with_openers, _with_depths, _with_blocks, _with_clauses)
-    return reduce(lambda df, step: step(df), steps, statements.repartition("stmt_id"))
+    """Every token with its nesting, block, clause and item.
+
+    The number of tasks is set, not left to the planner: tokens take many times the room of
+    the text they come from, so tasks sized by the text would be far too few.
+    """
+    spread = statements.repartition(shuffle_width(statements.sparkSession), "stmt_id")
+    carried = [c for c in statements.columns if c != "sql"]
+    opened = with_openers(with_neighbours(tokenize_statements(spread)))
+    return _with_clauses(_with_blocks(_with_depths(_without_neighbours(opened, carried))))
 
 
-def with_relations(nested: DataFrame) -> DataFrame:
-    """Mark the token that carries each relation of a FROM clause as struct ``relation``.
+def with_roles(nested: DataFrame) -> DataFrame:
+    """Mark relations of FROM clauses and the part each token of a select list plays.
 
-    A named table sits on its name, a derived table on its closing bracket.
+    ``relation`` sits on the name of a table or on the closing bracket of a derived table.
+    ``role`` is ref, star, call, literal, alias, bracket or other inside a select list, and
+    null elsewhere.
     """
     in_from = "clause = 'from' AND from_part NOT IN ('on', 'using') AND skip = 0"
-    named = f"""{in_from} AND at_level AND kind = 'word' AND prev IN ('from', 'join', ',')
-        AND tok NOT IN {T.words(T.RESERVED)} AND coalesce(next <> '(', true)"""
-    derived = f"{in_from} AND tok = ')' AND open.is_block AND open.is_relation"
-    return nested.selectExpr(
-        "*",
+    in_list = "coalesce(clause = 'select' AND NOT (at_level AND tok IN ('select', ',')), false)"
+    none = "CAST(NULL AS string)"
+    return nested.withColumnsRenamed({"role": "own_role", "ends_item": "may_end"}).selectExpr(
+        "* EXCEPT (own_role, may_end, may_be_table, may_be_alias, alias_after, derived_block, from_part)",
         f"""
-        CASE WHEN {named} THEN named_struct(
+        CASE WHEN {in_from} AND at_level AND may_be_table THEN named_struct(
                  'branch', branch, 'ord', pos, 'db', {T.QUALIFIER_SQL}, 'tbl', {T.LAST_PART_SQL},
-                 'alias', {ALIAS_AFTER}, 'derived_block', CAST(NULL AS int))
-             WHEN {derived} THEN named_struct(
-                 'branch', branch, 'ord', pos, 'db', CAST(NULL AS string), 'tbl', CAST(NULL AS string),
-                 'alias', close_alias, 'derived_block', open.pos) END AS relation""",
-    )
-
-
-def with_item_roles(nested: DataFrame) -> DataFrame:
-    """Part each token of a select list plays: ref, star, call, literal, alias or other."""
-    ends_item = f"""(next IS NULL OR next = ';' OR (next IN (',', ')') AND next_level = block_level)
-        OR (next_kind = 'word' AND next IN {T.words(T.CLAUSE_WORDS)} AND next_level <= block_level))"""
-    in_list = "(clause = 'select' AND NOT (at_level AND tok IN ('select', ',')))"
-    free_word = f"(kind = 'word' AND tok NOT IN {T.words(T.RESERVED)})"
-    after_operand = f"""(prev_kind IN ('number', 'string') OR prev IN (')', 'end', 'null', 'true', 'false')
-        OR (prev_kind = 'word' AND prev NOT IN {T.words(T.RESERVED)}))"""
-    role = f"""
-        CASE WHEN at_level AND {ends_item} AND ((kind IN ('word', 'string') AND prev = 'as') OR ({free_word} AND {after_operand})) THEN 'alias'
-             WHEN tok IN ('(', ')') OR (tok IN ('distinct', 'all') AND prev = 'select') THEN 'bracket'
-             WHEN tok = '*' AND prev = '(' AND open.kind = 'call' THEN 'literal'
-             WHEN tok = '*' AND prev IN ('select', 'distinct', 'all', ',', '(') THEN 'star'
-             WHEN kind = 'word' AND endswith(tok, '.*') THEN 'star'
-             WHEN kind = 'word' AND next = '(' AND ({free_word} OR tok IN {T.words(T.CALLABLE_RESERVED)}) THEN 'call'
-             WHEN kind IN ('number', 'string') THEN 'literal'
-             WHEN tok = 'null' AND (prev = 'is' OR (prev = 'not' AND prev2 = 'is')) THEN 'other'
-             WHEN tok IN {T.words(T.CONSTANT_WORDS)} THEN 'literal'
-             WHEN tok IN {T.words(T.TYPED_LITERAL_WORDS)} AND next_kind = 'string' THEN 'other'
-             WHEN {free_word} THEN 'ref'
-             ELSE 'other' END"""
-    return nested.selectExpr(
-        "*",
-        f"CASE WHEN {in_list} THEN {role} END AS role",
-        f"coalesce({in_list} AND {ends_item}, false) AS ends_item",
+                 'alias', alias_after, 'derived_block', CAST(NULL AS int))
+             WHEN {in_from} AND derived_block IS NOT NULL THEN named_struct(
+                 'branch', branch, 'ord', pos, 'db', {none}, 'tbl', {none},
+                 'alias', alias_after, 'derived_block', derived_block) END AS relation""",
+        f"CASE WHEN NOT {in_list} THEN NULL WHEN at_level AND may_end AND may_be_alias THEN 'alias' ELSE own_role END AS role",
+        f"{in_list} AND may_end AS ends_item",
     )

@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from headwater.functions.text import full_name
-from headwater.operators.blocks import nest_blocks
+from headwater.operators.blocks import tokenize_statements, with_neighbours, with_openers
 from headwater.operators.facts import like_statements, schema_statements
 from headwater.operators.lineage import MARK, PARTS
 from headwater.operators.skew import lookup_join
-from headwater.session import materialize, materialize_layout
+from headwater.session import materialize, materialize_layout, shuffle_width
 
 
 def table_key(scope: Column, db: Column, tbl: Column) -> Column:
@@ -35,13 +35,12 @@ def declared_columns(statements: DataFrame) -> DataFrame:
     A column name is the first word of an entry in the bracket that follows the table
     name, or in the one that follows PARTITIONED BY.
     """
-    made = schema_statements(statements)
-    tokens = nest_blocks(made.select("stmt_id", "seq", F.col("target_db").alias("db"), F.col("target_tbl").alias("tbl"), "sql"))
-    bracket = F.col("open")
-    of_table = bracket["prev"] == full_name(F.col("db"), F.col("tbl"))
-    of_partition = (bracket["prev"] == "by") & (bracket["prev2"] == "partitioned")
-    named = (F.col("level") == 1) & (of_table | of_partition) & F.col("prev").isin("(", ",") & (F.col("kind") == "word")
-    return tokens.where(named).select("stmt_id", "seq", "db", "tbl", F.col("tok").alias("col"))
+    made = schema_statements(statements).selectExpr("stmt_id", "seq", "target_db AS db", "target_tbl AS tbl", "sql")
+    spread = made.repartition(shuffle_width(statements.sparkSession), "stmt_id")
+    tokens = with_openers(with_neighbours(tokenize_statements(spread)))
+    listed = "open.prev = concat_ws('.', db, tbl) OR (open.prev = 'by' AND open.prev2 = 'partitioned')"
+    named = tokens.where(f"level = 1 AND kind = 'word' AND prev IN ('(', ',') AND ({listed})")
+    return named.selectExpr("stmt_id", "seq", "db", "tbl", "tok AS col")
 
 
 def like_edges(statements: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from headwater.functions import tokens as T
-from headwater.operators.blocks import BY_BLOCK, SO_FAR, WHOLE, nest_blocks, with_item_roles, with_relations
+from headwater.operators.blocks import BY_BLOCK, SO_FAR, WHOLE, nest_blocks, with_roles
 
 # Fixed value: output name of an expression that has no alias.
 UNNAMED = "unresolvedalias"
@@ -117,7 +117,7 @@ def select_tokens(statements: DataFrame) -> DataFrame:
     """Tokens of readable statements with relations and select-list roles marked."""
     order = ["seq"] if "seq" in statements.columns else []
     query = readable(statements).select("stmt_id", *order, "target_db", "target_tbl", "sql")
-    return with_item_roles(with_relations(nest_blocks(query)))
+    return with_roles(nest_blocks(query))
 
 
 def source_relations(statements: DataFrame) -> DataFrame:
@@ -164,7 +164,7 @@ def with_items(tokens: DataFrame) -> DataFrame:
 
 def with_calls(items: DataFrame) -> DataFrame:
     """Name and place of the nearest function call around each token, or null."""
-    opener = "CASE WHEN tok = '(' AND open.kind = 'call' THEN named_struct('pos', pos - 1, 'name', prev) END"
+    opener = "CASE WHEN call_name IS NOT NULL THEN named_struct('pos', pos - 1, 'name', call_name) END"
     by_depth = f"PARTITION BY stmt_id, call_depth ORDER BY pos {SO_FAR}"
     return items.selectExpr("*", f"last({opener}, true) OVER ({by_depth}) AS call")
 

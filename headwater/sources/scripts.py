@@ -22,8 +22,8 @@ def split_script_text(scripts: DataFrame) -> DataFrame:
 
 def scan_script_lines(spark: SparkSession, paths: str | Iterable[str]) -> DataFrame:
     """``lines`` of every script file under ``paths``; files that cannot be read are skipped."""
-    reader = spark.read.option("wholetext", True).option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True)
-    files = reader.text(paths if isinstance(paths, str) else list(paths))
+    reader = spark.read.option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True)
+    files = reader.text(paths if isinstance(paths, str) else list(paths), wholetext=True)
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
     return split_script_text(files.select(name.alias("file"), F.col("value").alias("body")))
 
