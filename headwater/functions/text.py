@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 ERASED_TEXT = ("STORED AS PARQUET",)
 BLANKS = "".join(chr(i) for i in range(33))
 
-# One alternative per thing a line can hold next: a comment mark, a lone dash with the
-# character it protects, plain text, a closed string, an unclosed string, a final dash.
-_LINE_PIECES = r"""--|-[^\-]|[^'"\-]+|'[^']*'|"[^"]*"|['"][^\n]*|-"""
+# What may stand before a comment mark: plain text, a lone dash with the character it
+# protects, closed strings. Nothing is given back once matched, so long lines cost neither
+# time nor stack, and an unclosed string hides what follows it.
+_COMMENT = r"""(?s)^((?:[^'"\-]++|-[^\-]|'[^']*+'|"[^"]*+")*+)--.*$"""
 
 
 def drop_hash_line(line: Column) -> Column:
@@ -20,14 +21,8 @@ def drop_hash_line(line: Column) -> Column:
 
 
 def strip_dash_comment(line: Column) -> Column:
-    """Cut a line at the first ``--`` outside a quoted string.
-
-    Most lines hold no dash pair at all, so the pieces are only built for those that do.
-    """
-    pieces = F.regexp_extract_all(line, F.lit(_LINE_PIECES), F.lit(0))
-    mark = F.array_position(pieces, "--").cast("int")
-    kept = F.array_join(F.slice(pieces, F.lit(1), mark - 1), "")
-    return F.when(line.contains("--") & (mark > 0), kept).otherwise(line)
+    """Cut a line at the first ``--`` outside a quoted string."""
+    return F.when(line.contains("--"), F.regexp_replace(line, _COMMENT, "$1")).otherwise(line)
 
 
 def erase_keywords(line: Column) -> Column:

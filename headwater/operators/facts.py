@@ -141,16 +141,18 @@ def scope_names(statements: DataFrame) -> DataFrame:
 def with_items(tokens: DataFrame) -> DataFrame:
     """Alias, output name and shape of the select item each listed token is part of."""
     item = "PARTITION BY stmt_id, block_id, item_no, branch"
+    # Only names look relations up, so only they carry them through the sorts that follow.
+    in_scope = "CASE WHEN role IN ('ref', 'star') THEN filter(block_relations, r -> r.branch = branch) END AS relations"
     return (
-        tokens.selectExpr(
+        tokens.where("role IS NOT NULL OR relation IS NOT NULL")
+        .selectExpr(
             "*",
             f"collect_list(relation) OVER ({BY_BLOCK} {WHOLE}) AS block_relations",
             f"max(branch) OVER ({BY_BLOCK} {WHOLE}) + 1 AS n_branches",
         )
-        .where("role IS NOT NULL OR relation IS NOT NULL")
+        .selectExpr("* EXCEPT (block_relations)", in_scope)
         .selectExpr(
             "*",
-            "filter(block_relations, r -> r.branch = branch) AS relations",
             f"max(CASE WHEN role = 'alias' THEN lower({T.UNQUOTED_SQL}) END) OVER ({item}) AS alias",
             f"count_if(role <> 'bracket') OVER ({item}) AS n_content",
             f"max(CASE WHEN role IN ('ref', 'star') THEN {T.LAST_PART_SQL} END) OVER ({item}) AS only_name",
@@ -158,7 +160,7 @@ def with_items(tokens: DataFrame) -> DataFrame:
         .selectExpr("*", "alias IS NULL AND n_content = 1 AND only_name IS NOT NULL AS is_plain")
         .selectExpr("*", f"coalesce(alias, CASE WHEN is_plain THEN only_name END, '{UNNAMED}') AS out_name")
         .selectExpr("*", "min_by(out_name, branch) OVER (PARTITION BY stmt_id, block_id, item_no) AS first_name")
-        .drop("block_relations", "n_content", "only_name")
+        .drop("n_content", "only_name")
     )
 
 

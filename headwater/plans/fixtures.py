@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from headwater.plans.registry import table
+from headwater.session import shuffle_width
 
 
 def _s(expr: str) -> str:
@@ -75,8 +76,19 @@ _GRAPH_EDGES = (
 )
 
 
+def _source(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    """The columns a corpus is made from, in at least as many parts as there are tasks.
+
+    Text takes many times the room of its keys, so a table small enough to be read as one
+    part is spread while it is still narrow. Larger ones come in enough parts already.
+    """
+    rows = table(spark, folder, name).select(*columns)
+    width = shuffle_width(spark)
+    return rows.repartition(width) if rows.rdd.getNumPartitions() < width else rows
+
+
 def lines(spark: SparkSession, folder: str) -> DataFrame:
-    exploded = table(spark, folder, "orders").selectExpr(
+    exploded = _source(spark, folder, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority").selectExpr(
         f"{SCRIPT} AS file", "o_orderkey", f"posexplode(array({', '.join(LINES)})) AS (n, line)"
     )
     return exploded.selectExpr("file", "o_orderkey * 10 + n AS line_no", "line")
@@ -102,14 +114,14 @@ MANIFEST_SQL = f"""manifest AS (SELECT {_MANIFEST_CUSTOMER}, c_custkey AS ord FR
 
 def _of_orders(text: str):
     def make(spark: SparkSession, folder: str) -> DataFrame:
-        return table(spark, folder, "orders").selectExpr("o_orderkey AS stmt_id", f"{SCRIPT} AS file", "o_orderkey AS seq", f"{text} AS sql")
+        return _source(spark, folder, "orders", "o_orderkey", "o_custkey").selectExpr("o_orderkey AS stmt_id", f"{SCRIPT} AS file", "o_orderkey AS seq", f"{text} AS sql")
 
     return make, f"st AS (SELECT o_orderkey AS stmt_id, {SCRIPT} AS file, o_orderkey AS seq, {text} AS sql FROM orders)"
 
 
 def _of_customers(text: str):
     def make(spark: SparkSession, folder: str) -> DataFrame:
-        return table(spark, folder, "customer").selectExpr("c_custkey AS stmt_id", "c_custkey AS seq", f"{text} AS sql")
+        return _source(spark, folder, "customer", "c_custkey", "c_nationkey").selectExpr("c_custkey AS stmt_id", "c_custkey AS seq", f"{text} AS sql")
 
     return make, f"st AS (SELECT c_custkey AS stmt_id, c_custkey AS seq, {text} AS sql FROM customer)"
 
