@@ -10,7 +10,7 @@ from headwater.operators.blocks import tokenize_statements, with_neighbours, wit
 from headwater.operators.facts import like_statements, schema_statements
 from headwater.operators.lineage import MARK, PARTS
 from headwater.operators.skew import lookup_join
-from headwater.session import materialize, materialize_layout, shuffle_width
+from headwater.session import materialize, shuffle_width
 
 
 def table_key(scope: Column, db: Column, tbl: Column) -> Column:
@@ -72,8 +72,8 @@ def copy_schema_like(columns: DataFrame, likes: DataFrame) -> DataFrame:
             .groupBy("db", "tbl", "col")
             .agg(F.min("like_seq").alias("first_seq"))
         )
-        fresh, size = materialize_layout(copied)
-        if not size:
+        fresh = materialize(copied)
+        if fresh.isEmpty():
             break
         added = fresh if added is None else added.union(fresh)
     if added is None:

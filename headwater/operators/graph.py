@@ -5,11 +5,11 @@ from __future__ import annotations
 from functools import reduce
 from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from headwater.operators.skew import HOT_ROWS, hot_keys, replicate, spread
-from headwater.session import materialize, materialize_layout, shuffle_width
+from headwater.session import materialize, materialize_layout, parts_for
 
 # A frontier is broadcast only while its counted rows stay below this.
 FRONTIER_BROADCAST_ROWS = 200_000
@@ -83,10 +83,16 @@ def reach(edges: DataFrame, seeds: DataFrame, direction: str = "down", at_least:
     load = [c for c in seeds.columns if c != "node"]
     keys = ["node", *load]
 
+    spark = edges.sparkSession
     turned = _turned(edges, direction)
-    hot, n_hot = materialize_layout(hot_keys(turned, "near", at_least))
+    counted = Observation()
+    hot = materialize(hot_keys(turned.observe(counted, F.count(F.lit(1)).alias("n")), "near", at_least))
+    n_hot = hot.count()
+    # What travels along multiplies the visited rows; a table seldom has fewer columns than this.
+    rows = counted.get["n"]
+    width = parts_for(spark, (rows + seeds.count()) * 16 if load else rows)
     salted = spread(turned, hot, "near", "far") if n_hot else turned.withColumn("salt", F.lit(0))
-    laid_out, _ = materialize_layout(salted.repartition(shuffle_width(edges.sparkSession), "near", "salt"))
+    laid_out, _ = materialize_layout(salted.repartition(width, "near", "salt"), width)
     hot_nodes = hot.withColumnRenamed("near", "node")
 
     # Distinct rows come out partitioned by all their columns but ``hops``, the layout the
@@ -97,12 +103,12 @@ def reach(edges: DataFrame, seeds: DataFrame, direction: str = "down", at_least:
         if seen:
             known = reduce(DataFrame.union, [s.select(*keys) for s in seen])
             entered = entered.join(known.hint("merge"), keys, "left_anti")
-        frontier, size = materialize_layout(entered.withColumn("hops", F.lit(hops)))
+        frontier, size = materialize_layout(entered.withColumn("hops", F.lit(hops)), width)
         seen.append(frontier)
         if size == 0:
             return reduce(DataFrame.union, seen)
         if len(seen) > MERGE_EVERY:
-            seen = [materialize_layout(reduce(DataFrame.union, seen))[0]]
+            seen = [materialize_layout(reduce(DataFrame.union, seen), width)[0]]
         nodes = frontier.select(*keys)
         if size <= FRONTIER_BROADCAST_ROWS:
             met = laid_out.join(F.broadcast(nodes.withColumnRenamed("node", "near")), "near")

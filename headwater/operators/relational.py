@@ -47,9 +47,13 @@ def latest_rows(rows: DataFrame, key: str, at: str) -> DataFrame:
 
 
 def top_then_least(rows: DataFrame, key: str, value: str, ident: str) -> DataFrame:
-    """Per key the largest value and, among the rows that have it, the smallest ident."""
-    best = F.max(F.struct(F.col(value), (-F.col(ident)).alias("neg")))
-    return rows.groupBy(key).agg(best.alias("best")).select(key, F.col(f"best.{value}").alias(value), (-F.col("best.neg")).alias(ident))
+    """Per key the largest value and, among the rows that have it, the smallest ident.
+
+    The smallest ident of each value comes first, so that the second step has no ties; both
+    are hash aggregates on plain numbers, and a large key is spread by its values.
+    """
+    least = rows.groupBy(key, value).agg(F.min(ident).alias(ident))
+    return least.groupBy(key).agg(F.max(value).alias("_top"), F.max_by(ident, value).alias(ident)).withColumnRenamed("_top", value)
 
 
 def pivot_times(rows: DataFrame, key: str, kind: str, at: str, wanted: dict[str, tuple[str, str]]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from headwater.operators.graph import reach
-from headwater.session import materialize_layout, shuffle_width
+from headwater.session import materialize, materialize_layout, parts_for
 
 
 def find_stars(columns: DataFrame) -> DataFrame:
@@ -39,12 +39,12 @@ def unresolvable_stars(star_edges: DataFrame) -> DataFrame:
     Stars with no open star above them are taken away, round by round; what is left when a
     round takes none away can never be resolved.
     """
-    width = shuffle_width(star_edges.sparkSession)
-    edges = star_edges.select(F.col("src_tbl").alias("src"), F.col("dst_tbl").alias("dst")).distinct()
-    open_edges, size = materialize_layout(edges.repartition(width, "src"))
+    edges = materialize(star_edges.select(F.col("src_tbl").alias("src"), F.col("dst_tbl").alias("dst")).distinct())
+    width = parts_for(edges.sparkSession, edges.count())
+    open_edges, size = materialize_layout(edges.repartition(width, "src"), width)
     while size:
         below = open_edges.select(F.col("dst").alias("src")).distinct()
-        kept, left = materialize_layout(open_edges.join(below.hint("merge"), "src", "left_semi"))
+        kept, left = materialize_layout(open_edges.join(below.hint("merge"), "src", "left_semi"), width)
         if left == size:
             break
         open_edges, size = kept, left

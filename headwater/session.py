@@ -17,6 +17,10 @@ SESSION_CONF = {
 }
 
 
+# A stored graph layout has about this many rows per part.
+ROWS_PER_PART = 250_000
+
+
 def build_session(app: str = "headwater", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings above; ``master`` stays unset on a cluster."""
     builder = SparkSession.builder.appName(app)
@@ -51,23 +55,32 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def materialize_layout(df: DataFrame) -> tuple[DataFrame, int]:
-    """Store ``df`` so that later plans still know how it is partitioned; also its row count.
+def materialize_layout(df: DataFrame, width: int) -> tuple[DataFrame, int]:
+    """Store ``df`` in a layout that later plans still know; also its row count.
 
-    Adaptive execution hides the partitioning of what it ran, so it is off for this one
-    write; the rows are counted while they are written.
+    Adaptive execution hides the partitioning of what it ran and picks its own number of
+    parts, so it is off for this one write and shuffles make ``width`` parts. The rows are
+    counted while they are written.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     seen = Observation()
-    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    fixed = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": str(width)}
+    before = {key: spark.conf.get(key) for key in fixed}
     try:
+        for key, value in fixed.items():
+            spark.conf.set(key, value)
         stored = df.observe(seen, F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
     finally:
-        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     return stored, seen.get["n"]
 
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def parts_for(spark: SparkSession, rows: int) -> int:
+    """Parts for a stored layout of this many rows: no more than the session shuffles into."""
+    return max(1, min(shuffle_width(spark), -(-rows // ROWS_PER_PART)))
