@@ -48,14 +48,19 @@ def fold_is(key: Column, modulus: int, rest: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % modulus == rest, F.lit(False))
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.Table | pa.RecordBatch | None], schema: str) -> DataFrame:
-    """Run ``fn`` on each Arrow batch; what it returns must have the columns of ``schema``."""
+# Rows of texts that are Python objects at one time in a worker.
+ROWS_AT_ONCE = 1000
+
+
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """Run ``fn`` on slices of each Arrow batch; what it returns must have the columns of ``schema``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = fn(batch)
-            if out is not None and out.num_rows:
-                yield from out.to_batches() if isinstance(out, pa.Table) else [out]
+            for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+                out = fn(batch.slice(start, ROWS_AT_ONCE))
+                if out is not None and out.num_rows:
+                    yield out
 
     return df.mapInArrow(run, schema)
 
