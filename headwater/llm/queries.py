@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from headwater.llm import pieces
+from headwater.llm import pieces, quality
 from headwater.llm.common import table
 from headwater.llm.token_counts import count_tokens
 
@@ -27,3 +27,11 @@ def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_pieces"] = op7_pieces
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge_quality(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op8_quality_rules"] = op8_quality_rules
+ORACLES["op8_quality_rules"] = quality.ORACLE
