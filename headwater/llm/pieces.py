@@ -34,8 +34,8 @@ NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
 # Cuts and pairs that a Python worker keeps; beyond that it starts anew.
-KEPT_CUTS = 300_000
-KEPT_PAIRS = 1_500_000
+KEPT_CUTS = 200_000
+KEPT_PAIRS = 500_000
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
