@@ -21,7 +21,9 @@ from tokenizers import Tokenizer
 from headwater.llm.common import map_batches, texts_of
 
 # Pieces whose counts a Python worker keeps; beyond that it starts anew.
-KEPT_PIECES = 600_000
+KEPT_PIECES = 200_000
+# Words that go through the merges at one time; the library's answers are large.
+MERGED_AT_ONCE = 2_000
 # Python's split() also cuts at these four, which are not white space to the library.
 SEPARATORS = regex.compile("[\x1c-\x1f]")
 BLANKS = regex.compile(r"\p{White_Space}+")
@@ -100,7 +102,10 @@ class Counter:
             counts[piece] = n
         words = list({token for _, token in rest})
         # Every word is a pre-token already, so each stands alone here.
-        merged = {w: len(e.ids) for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True)}
+        merged: dict[str, int] = {}
+        for start in range(0, len(words), MERGED_AT_ONCE):
+            some = words[start : start + MERGED_AT_ONCE]
+            merged.update((w, len(e)) for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True))
         for piece, token in rest:
             counts[piece] += merged[token]
         self.known.update(counts)
