@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from headwater.llm import pieces, quality
+from headwater.llm import pieces, quality, secrets
 from headwater.llm.common import table
 from headwater.llm.token_counts import count_tokens
 
@@ -35,3 +35,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op8_quality_rules"] = op8_quality_rules
 ORACLES["op8_quality_rules"] = quality.ORACLE
+
+
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op5_secret_scans"] = op5_secret_scans
