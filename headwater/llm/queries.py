@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from headwater.llm import pieces, quality, secrets
+from headwater.llm import language, pieces, quality, secrets
 from headwater.llm.common import table
 from headwater.llm.token_counts import count_tokens
 
@@ -42,3 +42,10 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_secret_scans"] = op5_secret_scans
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_held_out(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op1_language_id"] = op1_language_id
