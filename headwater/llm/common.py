@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 from uuid import uuid4
 
 import pyarrow as pa
@@ -48,6 +51,20 @@ def fold_is(key: Column, modulus: int, rest: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % modulus == rest, F.lit(False))
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the workers this package, which the driver may have from a path that they do not know. Once per context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_headwater_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    name = Path(tempfile.mkdtemp(prefix="headwater-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(name, "w", zipfile.ZIP_DEFLATED) as package:
+        for file in sorted(root.rglob("*.py")):
+            package.write(file, file.relative_to(root.parent))
+    sc.addPyFile(str(name))
+    sc._headwater_shipped = True
+
+
 # Rows of texts that are Python objects at one time in a worker.
 ROWS_AT_ONCE = 1000
 
@@ -55,6 +72,8 @@ ROWS_AT_ONCE = 1000
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """Run ``fn`` on slices of each Arrow batch; what it returns must have the columns of ``schema``."""
 
+    ship_package(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS_AT_ONCE):
