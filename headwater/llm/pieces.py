@@ -34,7 +34,7 @@ NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
 # Cuts and pairs that a Python worker keeps; beyond that it starts anew.
-KEPT_CUTS = 200_000
+KEPT_CUTS = 400_000
 KEPT_PAIRS = 500_000
 
 
@@ -96,22 +96,39 @@ class Transducer:
             if self.kinds[i] == BYTE:
                 self.byte_ids[int(p[1:-1], 16)] = i
         self.scores = {p: scores[i] for p, i in self.ids.items()}
-        self.longest = max(map(len, self.ids), default=1)
         # Arcs of the piece transducer.
         self.weights = dict.fromkeys(self.ids, 0.0) if self.kind == BPE else {p: -s for p, s in self.scores.items()}
         self.fallback = 0.0 if self.kind == BPE else UNKNOWN_PENALTY - min(self.scores.values(), default=0.0)
         self.pairs: dict[str, dict[str, bool]] = {}
         self.n_pairs = 0
         self.cuts: dict[str, tuple[int, ...]] = {}
-        # A cut ends where a mark follows another character, unless some piece has that inside, and
-        # around characters that no piece contains.
-        if any(MARK in p.lstrip(MARK) for p in self.ids):
-            self.cut = re.compile(r"[\s\S]+").findall
-        else:
-            alone = "".join(c for c in "\n\t\r" if not any(c in p for p in self.ids))
-            self.cut = re.compile(f"{MARK}*[^{MARK}{re.escape(alone)}]+|{MARK}+" + (f"|[{re.escape(alone)}]" if alone else "")).findall
+        self.starts = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
+        self.cut = re.compile(self._cuts()).findall
         self.spelt = [bytes([int(p[1:-1], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else p.encode() for p, k in zip(self.pieces, self.kinds, strict=True)]
 
+    def _cuts(self) -> str:
+        """A pattern for stretches that no piece reaches across.
+
+        A stretch ends where a mark follows another character, before punctuation that follows
+        something else, and around line ends and tabs, each unless some piece of this model has
+        that inside.
+        """
+        if any(MARK in p.lstrip(MARK) for p in self.ids):
+            return r"[\s\S]+"
+        alone = "".join(c for c in "\n\t\r" if not any(c in p for p in self.ids))
+        opening, before = None, {c for p in self.ids for c in p if c != MARK and not c.isalpha() and not c.isdecimal()}
+        while before != opening:
+            opening = before
+            before = opening - {p[k] for p in self.ids for k in range(1, len(p)) if p[k - 1] != MARK and p[k - 1] not in opening}
+        # Only plain punctuation cuts, so that the pattern stays fast.
+        points = re.escape("".join(sorted(c for c in opening if c.isascii())))
+        like_points = re.escape("".join(sorted(c for c in opening if re.match(r"[^\W_]", c))))
+        pattern = f"{MARK}*[^{MARK}{alone}]+|{MARK}+"
+        if points:
+            behind = f"(?<![{like_points}])" if like_points else ""
+            pattern = f"{MARK}*[{points}]*[^\\W_]+{behind}(?=[{points}])|{pattern}"
+        return pattern + (f"|[{alone}]" if alone else "")
+
     def normalise(self, text: str) -> str:
         """The first transducer: blanks squeezed if the model says so, prefix, marks."""
         if self.squeeze:
@@ -145,34 +162,50 @@ class Transducer:
 
     def shortest_path(self, text: str) -> list[str]:
         """Pieces of the path of least weight through the composition with ``text``, a cut."""
-        size, weights, pairs, paired = len(text), self.weights, self.pairs, self.kind == BPE
-        # For each position: state -> (weight so far, position before, state before).
-        reached: list[dict] = [{} for _ in range(size + 1)]
-        reached[0][""] = (0.0, -1, "")
+        return self._lightest(text) if self.kind == UNIGRAM else self._standing(text)
+
+    def _lightest(self, text: str) -> list[str]:
+        size, weights, starts = len(text), self.weights, self.starts
+        weight = [0.0] + [float("inf")] * size
+        before = [0] * (size + 1)
+        for i in range(size):
+            for j in range(i + 1, size + 1):
+                piece = text[i:j]
+                step = weights.get(piece)
+                if step is None and j == i + 1:
+                    step = self.fallback
+                if step is not None and weight[i] + step < weight[j]:
+                    weight[j], before[j] = weight[i] + step, i
+                if piece not in starts:
+                    break
+        out, at = [], size
+        while at:
+            out.append(text[before[at] : at])
+            at = before[at]
+        return out[::-1]
+
+    def _standing(self, text: str) -> list[str]:
+        """With pair weights of nothing or infinity: the first path that reaches a position is the only finite one."""
+        size, weights, starts, pairs = len(text), self.weights, self.starts, self.pairs
+        last: list[str | None] = [""] + [None] * size
         for i in range(size):
-            for j in range(i + 1, min(size, i + self.longest) + 1):
+            state = last[i]
+            known = pairs.get(state, {}) if state else None
+            for j in range(i + 1, size + 1):
                 piece = text[i:j]
-                weight = weights.get(piece)
-                if weight is None:
-                    if j > i + 1:
-                        continue
-                    weight = self.fallback
-                for state, (so_far, _, _) in reached[i].items():
-                    if paired and state:
-                        known = pairs.get(state)
-                        stands = known.get(piece) if known is not None else None
-                        if not (self._stands(state, piece) if stands is None else stands):
-                            continue
-                    then = piece if paired else "."
-                    old = reached[j].get(then)
-                    if old is None or so_far + weight < old[0]:
-                        reached[j][then] = (so_far + weight, i, state)
+                if last[j] is None and (piece in weights or j == i + 1):
+                    if known is None:
+                        last[j] = piece
+                    else:
+                        stands = known.get(piece)
+                        if self._stands(state, piece) if stands is None else stands:
+                            last[j] = piece
+                if piece not in starts:
+                    break
         out, at = [], size
-        state = min(reached[size], key=lambda s: reached[size][s][0])
         while at:
-            _, before, state = reached[at][state]
-            out.append(text[before:at])
-            at = before
+            out.append(last[at])
+            at -= len(last[at])
         return out[::-1]
 
     def _cut_ids(self, cut: str) -> tuple[int, ...]:
