@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from headwater.llm import language, pieces, quality, secrets, toxicity
+from headwater.llm import jaccard, language, pieces, quality, secrets, toxicity
 from headwater.llm.common import table
 from headwater.llm.token_counts import count_tokens
 
@@ -56,3 +56,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_toxicity"] = op2_toxicity
+
+
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op3_jaccard_join"] = op3_jaccard_join
