@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from headwater.llm import jaccard, language, pieces, quality, secrets, toxicity
+from headwater.llm import brown, jaccard, language, pieces, quality, secrets, toxicity
 from headwater.llm.common import table
 from headwater.llm.token_counts import count_tokens
 
@@ -63,3 +63,10 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_jaccard_join"] = op3_jaccard_join
+
+
+def op4_brown_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score_held_out(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op4_brown_scores"] = op4_brown_scores
