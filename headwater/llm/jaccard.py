@@ -145,7 +145,7 @@ def groups_of(df: DataFrame, keys: list[str], fn: Callable[[tuple, pa.Table], li
     def out(rows: list[tuple], like: pa.Schema) -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict({n: list(c) for n, c in zip(names, zip(*rows, strict=True), strict=True)}, schema=like)
 
-    types = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}
+    types = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}
     like = pa.schema([(f.split()[0], types[f.split()[1]]) for f in schema.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from headwater.llm import brown, jaccard, language, pieces, quality, secrets, toxicity
+from headwater.llm import brown, jaccard, language, neighbours, pieces, quality, secrets, toxicity
 from headwater.llm.common import table
 from headwater.llm.token_counts import count_tokens
 
@@ -70,3 +71,10 @@ def op4_brown_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_brown_scores"] = op4_brown_scores
+
+
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+QUERIES["op9_nearest_neighbours"] = op9_nearest_neighbours
