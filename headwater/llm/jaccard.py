@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -54,22 +55,43 @@ def mixed(x: np.ndarray) -> np.ndarray:
 _word_hashes: dict[str, int] = {}
 
 
-def shingle_set(text: str) -> np.ndarray:
-    """Sorted distinct hashes of the runs of five words (all words if there are fewer); words are cut at white space, letter case is ignored."""
-    words = text.lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
+def shingle_sets(texts: list[str]) -> list[np.ndarray]:
+    """Per text the sorted distinct hashes of its runs of five words (of all its words if there are fewer).
+
+    Words are cut at white space, and letter case is ignored. The runs of all texts are hashed
+    together; those that would reach into the next text are left out.
+    """
+    cut = [t.lower().split() for t in texts]
     known = _word_hashes
     if len(known) > KEPT_WORDS:
         known.clear()
-    for w in {*words} - known.keys():
-        known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
-    hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    n = max(len(hashes) - WORDS + 1, 1)
-    out = np.full(n, min(len(hashes), WORDS), np.uint64)
-    for k in range(min(len(hashes), WORDS)):
-        out = mixed(out ^ hashes[k : k + n])
-    return np.unique(out)
+    for words in cut:
+        for w in words:
+            if w not in known:
+                known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
+    sizes = [len(words) for words in cut]
+    hashes = np.fromiter(map(known.__getitem__, chain.from_iterable(cut)), np.uint64, sum(sizes))
+
+    def runs(of: np.ndarray, words: int) -> np.ndarray:
+        n = max(len(of) - words + 1, 0)
+        out = np.full(n, words, np.uint64)
+        for k in range(words):
+            out = mixed(out ^ of[k : k + n])
+        return out
+
+    long_runs = runs(hashes, WORDS)
+    sets, at = [], 0
+    for size in sizes:
+        if size >= WORDS:
+            sets.append(np.unique(long_runs[at : at + size - WORDS + 1]))
+        else:
+            sets.append(runs(hashes[at : at + size], size) if size else np.empty(0, np.uint64))
+        at += size
+    return sets
+
+
+def shingle_set(text: str) -> np.ndarray:
+    return shingle_sets([text])[0]
 
 
 @cache
@@ -90,7 +112,7 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
 
 def _set_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
     """Per document: id, size and two checksums of its set, sketch (null for an empty set)."""
-    sets = [shingle_set(t) for t in texts_of(batch.column(1))]
+    sets = shingle_sets(texts_of(batch.column(1)))
     full = [i for i, s in enumerate(sets) if len(s)]
     tokens: list[bytes | None] = [None] * len(sets)
     if full:
@@ -353,7 +375,7 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
     def hashes(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         # Rows of one key may have other texts too; the checksums tell them apart.
-        fit = [(r, c, s.tobytes()) for r, n, k, c, s in zip(*(batch.column(x).to_pylist() for x in (0, 1, 2, 4)), map(shingle_set, texts_of(batch.column(5))), strict=True) if len(s) == n and int(s.sum(dtype=np.uint64).astype(np.int64)) == k]
+        fit = [(r, c, s.tobytes()) for r, n, k, c, s in zip(*(batch.column(x).to_pylist() for x in (0, 1, 2, 4)), shingle_sets(texts_of(batch.column(5))), strict=True) if len(s) == n and int(s.sum(dtype=np.uint64).astype(np.int64)) == k]
         if not fit:
             return None
         recs, copies, found = zip(*fit, strict=True)

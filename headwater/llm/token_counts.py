@@ -112,7 +112,7 @@ class Counter:
 
     def count(self, texts: list[str]) -> list[int]:
         cut = [self.pieces(t) for t in texts]
-        new = set().union(*(p for p, _ in cut)) - self.known.keys()
+        new = {p for p in set().union(*(p for p, _ in cut)) if p not in self.known}
         if len(self.known) + len(new) > KEPT_PIECES:
             self.known.clear()
             new = set().union(*(p for p, _ in cut))

@@ -109,7 +109,7 @@ class Model:
     def judge(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Expected severity, and P(grade > 0)."""
         weights = self.weights
-        scores = np.array([sum(weights[w] for w in words(t) & weights.keys()) for t in texts])
+        scores = np.array([sum(weights[w] for w in words(t) if w in weights) for t in texts])
         above = _sigmoid(scores[:, None] - self.thresholds[None, :]) if len(texts) else np.zeros((0, len(self.thresholds)))
         return above.sum(axis=1), above[:, 0] if len(self.thresholds) else np.zeros(len(texts))
 
