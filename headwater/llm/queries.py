@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headwater.llm import brown, jaccard, language, neighbours, pieces, quality, secrets, toxicity
+from headwater.llm import brown, jaccard, language, mixing, neighbours, pieces, quality, secrets, toxicity
 from headwater.llm.common import table
 from headwater.llm.token_counts import count_tokens
 
@@ -78,3 +78,10 @@ def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_nearest_neighbours"] = op9_nearest_neighbours
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES["op6_source_mixing"] = op6_source_mixing
