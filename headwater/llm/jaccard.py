@@ -208,7 +208,7 @@ def groups_of(df: DataFrame, keys: list[str], fn: Callable[[tuple, pa.Table], li
 
 
 def _candidates(key: tuple, part: pa.Table) -> list[tuple]:
-    """Records of a bucket with the partners to check here: enough tokens shared, and no earlier bucket shared."""
+    """Records of a bucket that have pairs to check here, each with its later partners: enough tokens shared, and no earlier bucket shared."""
     leaf, one, two = key
     recs, sizes, blocks = part.column("rec").to_numpy(), part.column("n").to_numpy(), part.column("block").to_numpy()
     tokens = _token_matrix(part.column("tokens"))
@@ -366,11 +366,7 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text")
     dealt = member.select("leaf", "rec", "n", "tokens", "leaves", "block", other).withColumns({"one": F.least("block", "other"), "two": F.greatest("block", "other")}).drop("other")
     candidates = scratch.keep(groups_of(dealt, ["leaf", "one", "two"], _candidates, "leaf bigint, one int, two int, rec bigint, partners array<bigint>"), "candidates")
 
-    # A partner needs its set in the bucket as well.
-    asked = candidates.select("leaf", "one", "two", "rec", "partners")
-    named = candidates.select("leaf", "one", "two", F.explode("partners").alias("rec")).distinct()
-    needed = named.join(asked, ["leaf", "one", "two", "rec"], "full").select("leaf", "one", "two", "rec", F.coalesce("partners", F.array().cast("array<bigint>")).alias("partners"))
-    wanted = records.join(needed.select("rec").distinct(), "rec", "left_semi").select("rec", "n", "k1", "k2", "copies", F.col("first").alias("id"))
+    wanted = records.join(candidates.select("rec").distinct(), "rec", "left_semi").select("rec", "n", "k1", "k2", "copies", F.col("first").alias("id"))
     texts = given.join(wanted, "id").select("rec", "n", "k1", "k2", "copies", "text")
 
     def hashes(batch: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -381,7 +377,7 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text")
         recs, copies, found = zip(*fit, strict=True)
         return pa.record_batch([pa.array(recs, pa.int64()), pa.array(copies, pa.int64()), pa.array(found, pa.binary())], ["rec", "copies", "hashes"])
 
-    with_sets = needed.join(map_batches(texts, hashes, "rec bigint, copies bigint, hashes binary"), "rec").select("leaf", "one", "two", "rec", "partners", "copies", "hashes")
+    with_sets = candidates.join(map_batches(texts, hashes, "rec bigint, copies bigint, hashes binary"), "rec").select("leaf", "one", "two", "rec", "partners", "copies", "hashes")
     links = scratch.keep(groups_of(with_sets, ["leaf", "one", "two"], _links, "rec bigint, links bigint, root bigint"), "links")
     roots = components(links.select("rec", "root"), scratch)
     counted = records.join(links.groupBy("rec").agg(F.sum("links").alias("links")), "rec", "left").join(roots, "rec", "left")
