@@ -3,30 +3,37 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headwater.operators import catalog, stars
-from headwater.operators.facts import statement_targets
-from headwater.operators.lineage import PARTS, token_links
+from headwater.operators.facts import classify_statements, reject_reasons, statement_targets
+from headwater.operators.lineage import PARTS, token_links, with_full_names
 from headwater.operators.numbering import global_row_number
 from headwater.operators.prepare import number_statements, prepare_scripts
 from headwater.session import materialize
-from headwater.sources.scripts import manifest_scripts, read_manifest, scan_script_lines
+from headwater.sources.scripts import missing_scripts, read_manifest, scan_script_lines, script_files, split_script_text
 from headwater.sources.sinks import write_graph_js
 
 
 @dataclass(frozen=True)
 class LineageResult:
     """``vertices(id, name, full_name, kind, scope, db, tbl)``, ``edges(src, dst, relation)``,
-    ``columns(scope, db, tbl, col, first_seq)`` and ``loose(src, n_owners, owner)``."""
+    ``columns(scope, db, tbl, col, first_seq)`` and ``loose(src, n_owners, owner)``.
+
+    What gave nothing is listed as well: ``rejects(stmt_id, seq, reason)`` for statements,
+    ``unresolved_stars(src, dst, reason)`` for stars by the full names of their ends, and
+    ``missing(file, ord)`` for listed scripts that are not there (None without a list)."""
 
     vertices: DataFrame
     edges: DataFrame
     columns: DataFrame
     loose: DataFrame
+    rejects: DataFrame
+    unresolved_stars: DataFrame
+    missing: DataFrame | None = None
 
 
 def _star_vertex(key: str, col: str):
@@ -52,9 +59,29 @@ def _expanded(links: DataFrame, columns: DataFrame) -> DataFrame:
     return made.select(_star_vertex("src_tbl", "col").alias("src"), _star_vertex("dst_tbl", "col").alias("dst"))
 
 
+def unresolved_stars(links: DataFrame) -> DataFrame:
+    """``(src, dst, reason)``: star links with an end that is no table, and those into a table whose star never becomes free."""
+    found = catalog.star_edges(links)
+    loose_end = F.col("src.tbl").isNull() | F.col("dst.tbl").isNull()
+    key = lambda v: catalog.table_key(*(F.col(f"{v}.{p}") for p in PARTS[:3]))
+    tables = materialize(found.where(~loose_end).select("src", "dst", key("src").alias("src_tbl"), key("dst").alias("dst_tbl")))
+    bound = stars.unresolvable_stars(tables.select("src_tbl", "dst_tbl")).select(F.col("tbl").alias("dst_tbl"))
+    cyclic = tables.join(bound, "dst_tbl", "left_semi").select("src", "dst", F.lit("cycle").alias("reason"))
+    # A star that is read and goes nowhere: no later part of its statement takes its columns.
+    dropped = links.where("src.col = '*' AND (dst IS NULL OR dst.col IS NULL OR dst.col <> '*')").select("src", "dst", F.lit("not passed on").alias("reason"))
+    every = found.where(loose_end).select("src", "dst", F.lit("no table").alias("reason")).unionByName(cyclic).unionByName(dropped)
+    return with_full_names(every.distinct()).select("src", "dst", "reason")
+
+
+def statement_rejects(statements: DataFrame) -> DataFrame:
+    """``(stmt_id, seq, reason)`` of the statements that give no lineage though they are no plain command."""
+    return reject_reasons(classify_statements(statements)).where("reject IS NOT NULL").select("stmt_id", "seq", F.col("reject").alias("reason"))
+
+
 def lineage_from_statements(statements: DataFrame, with_else: bool = False) -> LineageResult:
     """Lineage of ``statements(stmt_id, seq, sql)``, all in one catalog, ``seq`` giving the order."""
-    statements = statements.select("stmt_id", "seq", "sql")
+    # Stored, since the facts, the catalog and the targets each read it.
+    statements = materialize(statements.select("stmt_id", "seq", "sql"))
     links = materialize(token_links(statements, with_else).distinct())
     declared = catalog.declared_columns(statements)
     columns = materialize(catalog.known_columns(links, declared))
@@ -84,29 +111,46 @@ def lineage_from_statements(statements: DataFrame, with_else: bool = False) -> L
         .select(catalog.vertex_id("src").alias("src"), catalog.vertex_id("dst").alias("dst"), F.lit("used for").alias("relation"))
         .distinct()
     )
-    return LineageResult(vertices, catalog.contains_edges(vertices).unionByName(used), columns, loose)
+    edges = catalog.contains_edges(vertices).unionByName(used)
+    return LineageResult(vertices, edges, columns, loose, statement_rejects(statements), unresolved_stars(settled))
 
 
 def lineage_from_sql(spark: SparkSession, sqls: Iterable[str], with_else: bool = False) -> LineageResult:
-    """Lineage of statements given as text, in the order given."""
-    rows = [(i, text) for i, text in enumerate(sqls)]
-    lines = spark.createDataFrame(rows, "line_no bigint, line string")
-    numbered = lines.select(F.lit("given").alias("file"), F.col("line_no").alias("ord"), F.lit(0).cast("bigint").alias("line_no"), F.concat("line", F.lit(";")).alias("line"))
-    return lineage_from_statements(number_statements(prepare_scripts(numbered, ("file", "ord"))), with_else)
-
-
-def lineage_from_files(spark: SparkSession, paths: str | Iterable[str], manifest: DataFrame | None = None) -> LineageResult:
-    """Lineage of script files; ``manifest(file, ord)`` picks and orders them, else their names do."""
-    lines = scan_script_lines(spark, paths)
+    """Lineage of statements given as text, each of one or more lines, in the order given."""
+    texts = spark.createDataFrame([(i, text) for i, text in enumerate(sqls)], "ord bigint, body string")
+    lines = split_script_text(texts.withColumn("file", F.col("ord").cast("string")))
+    statements = prepare_scripts(lines).withColumn("ord", F.col("file").cast("bigint"))
+    return lineage_from_statements(number_statements(statements), with_else)
+
+
+def lineage_from_files(spark: SparkSession, paths: str | Iterable[str], manifest: DataFrame | None = None, root: str | None = None) -> LineageResult:
+    """Lineage of script files; ``manifest(file, ord)`` picks and orders them, else their names do.
+
+    Names are paths below ``root``, or whole paths without one. Scripts are cut into
+    statements before they meet the manifest: there is one row per statement to join then, and
+    none of the steps before it gathers a script.
+    """
+    prepared = prepare_scripts(scan_script_lines(spark, paths, root))
+    missing = None
     if manifest is None:
-        manifest = global_row_number(lines.select("file").distinct(), ["file"], "ord")
-    listed = manifest_scripts(lines, manifest)
-    return lineage_from_statements(number_statements(prepare_scripts(listed, ("file", "ord"))))
+        prepared = materialize(prepared)
+        manifest = global_row_number(prepared.select("file").distinct(), ["file"], "ord")
+    else:
+        missing = missing_scripts(script_files(spark, paths, root), manifest)
+    found = lineage_from_statements(number_statements(prepared.join(manifest, "file")))
+    return replace(found, missing=missing)
+
 
+def run_folder(spark: SparkSession, folder: str, out: str, reports: str | None = None) -> LineageResult:
+    """Read ``input.conf`` and the scripts it lists under ``sql/``, write the graph to ``out``.
 
-def run_folder(spark: SparkSession, folder: str, out: str) -> LineageResult:
-    """Read ``input.conf`` and the scripts it lists under ``sql/``, write the graph to ``out``."""
+    ``reports``: a folder for what gave nothing, as JSON lines in ``rejects``, ``unresolved_stars``
+    and ``missing``.
+    """
     manifest = read_manifest(spark, f"{folder}/input.conf")
-    result = lineage_from_files(spark, f"{folder}/sql", manifest)
+    result = lineage_from_files(spark, f"{folder}/sql", manifest, f"{folder}/sql")
     write_graph_js(result.vertices, result.edges, out)
+    if reports:
+        for name in ("rejects", "unresolved_stars", "missing"):
+            getattr(result, name).write.mode("overwrite").json(f"{reports}/{name}")
     return result

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-# Bracketed comment, the two string forms, dotted names (with back-quoted parts and a
+# Bracketed comment, the two string forms, numbers with an exponent or a leading dot, dotted names (with back-quoted parts and a
 # closing star), operators of two or three signs, and any other single sign.
 TOKEN_PATTERN = (
     r"/\*[\s\S]*?\*/"
     r"|'(?:[^'\\]++|\\[\s\S])*+'"
     r'|"(?:[^"\\]++|\\[\s\S])*+"'
+    r"|(?:[0-9]+(?:\.[0-9]*)?[eE][+-]?[0-9]+|\.[0-9]+(?:[eE][+-]?[0-9]+)?)(?:[lLsSyYdDfF]|[bB][dD])?(?![\p{L}\p{N}_$.])"
     r"|(?:[\p{L}\p{N}_$]+|`[^`]*`)(?:\.(?:[\p{L}\p{N}_$]+|`[^`]*`|\*))*"
     r"|<=>|<>|!=|<=|>=|==|\|\||&&"
     r"|\S"
 )
-NUMBER_PATTERN = r"^[0-9]+(\.[0-9]*)?([eE][0-9]+)?([lLsSyYdDfF]|[bB][dD])?$"
+NUMBER_PATTERN = r"^(\.[0-9]+|[0-9]+(\.[0-9]*)?)([eE][+-]?[0-9]+)?([lLsSyYdDfF]|[bB][dD])?$"
 
 # Words of the SQL dialect.
 CLAUSE_WORDS = ("select", "from", "where", "having", "union", "limit", "lateral", "intersect", "except", "minus", "window")

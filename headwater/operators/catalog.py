@@ -38,8 +38,11 @@ def declared_columns(statements: DataFrame) -> DataFrame:
     made = schema_statements(statements).selectExpr("stmt_id", "seq", "target_db AS db", "target_tbl AS tbl", "sql")
     spread = made.repartition(shuffle_width(statements.sparkSession), "stmt_id")
     tokens = with_openers(with_neighbours(tokenize_statements(spread)))
+    # Commas between angle brackets part the fields of one type.
+    angle = "sum(CASE tok WHEN '<' THEN 1 WHEN '>' THEN -1 ELSE 0 END) OVER (PARTITION BY stmt_id ORDER BY pos)"
+    tokens = tokens.withColumn("angle", F.expr(angle))
     listed = "open.prev = concat_ws('.', db, tbl) OR (open.prev = 'by' AND open.prev2 = 'partitioned')"
-    named = tokens.where(f"level = 1 AND kind = 'word' AND prev IN ('(', ',') AND ({listed})")
+    named = tokens.where(f"level = 1 AND angle = 0 AND kind = 'word' AND prev IN ('(', ',') AND ({listed})")
     return named.selectExpr("stmt_id", "seq", "db", "tbl", "tok AS col")
 
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from functools import reduce
 from itertools import count
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from headwater.operators.skew import HOT_ROWS, hot_keys, replicate, spread
+from headwater.operators.skew import HOT_ROWS, hot_of, replicate, spread
 from headwater.session import materialize, materialize_layout, parts_for
 
 # A frontier is broadcast only while its counted rows stay below this.
@@ -85,11 +85,11 @@ def reach(edges: DataFrame, seeds: DataFrame, direction: str = "down", at_least:
 
     spark = edges.sparkSession
     turned = _turned(edges, direction)
-    counted = Observation()
-    hot = materialize(hot_keys(turned.observe(counted, F.count(F.lit(1)).alias("n")), "near", at_least))
+    degrees = materialize(turned.groupBy("near").agg(F.count("*").alias("n")))
+    hot = hot_of(degrees, "near", at_least)
     n_hot = hot.count()
+    rows = degrees.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     # What travels along multiplies the visited rows; a table seldom has fewer columns than this.
-    rows = counted.get["n"]
     width = parts_for(spark, (rows + seeds.count()) * 16 if load else rows)
     salted = spread(turned, hot, "near", "far") if n_hot else turned.withColumn("salt", F.lit(0))
     laid_out, _ = materialize_layout(salted.repartition(width, "near", "salt"), width)

@@ -35,7 +35,7 @@ def split_statements(lines: DataFrame, keys: tuple[str, ...] = ("file",)) -> Dat
     keyed = lines.select(
         *keys,
         "line_no",
-        F.floor(F.col("line_no") / LINE_BLOCK).alias("block"),
+        F.expr(f"line_no div {LINE_BLOCK}").alias("block"),
         F.split("line", ";").alias("parts"),
     ).withColumn("cuts", F.size("parts") - 1)
 
@@ -74,7 +74,10 @@ def prepare_scripts(lines: DataFrame, keys: tuple[str, ...] = ("file",)) -> Data
 def number_statements(statements: DataFrame) -> DataFrame:
     """Give ``stmt_id`` and a corpus-wide ``seq`` from script order and place in the script.
 
-    Both are one number: script order in the high half, place in the low half.
+    Both are one number: script order in the high half, place in the low half. Either half
+    overflowing stops the job rather than mixing up statements.
     """
+    fits = (F.col("ord") < F.lit(1 << 31)) & (F.col("seq") < F.lit(1 << 32))
+    statements = statements.where(F.when(fits, True).otherwise(F.raise_error(F.lit("script order or statement number out of range")).cast("boolean")))
     place = F.shiftleft(F.col("ord").cast("bigint"), 32) + F.col("seq")
     return statements.withColumn("seq", place).withColumn("stmt_id", F.col("seq"))

@@ -5,31 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot from this many rows on; fewer rows fit one task without harm.
+# A key is split into as many parts as it has multiples of this many rows.
 HOT_ROWS = 1_000_000
-# At most this many keys are treated as hot, which bounds what is broadcast. Any other
-# key holds less than one part in HOT_KEYS of the rows.
-HOT_KEYS = 1024
-# Tasks a hot key is spread over.
-SALTS = 64
 
 
 def hot_keys(rows: DataFrame, key: str, at_least: int = HOT_ROWS) -> DataFrame:
-    """``(key, is_hot)`` for the keys with the most rows; never more than ``HOT_KEYS`` rows."""
-    counts = rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= at_least)
-    return counts.orderBy(F.desc("n"), key).limit(HOT_KEYS).select(key, F.lit(True).alias("is_hot"))
+    """``(key, salts)`` for every key with ``at_least`` rows or more: the parts it is spread over."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("n"))
+    return hot_of(counts, key, at_least)
+
+
+def hot_of(counts: DataFrame, key: str, at_least: int = HOT_ROWS) -> DataFrame:
+    """The same from ``counts(key, n)``."""
+    return counts.where(F.col("n") >= at_least).select(key, (F.ceil(F.col("n") / at_least) + 1).cast("int").alias("salts"))
 
 
 def spread(rows: DataFrame, hot: DataFrame, key: str, by: str) -> DataFrame:
-    """Give the rows of a hot key a ``salt`` from column ``by``; other rows get 0."""
-    salted = F.when(F.col("is_hot"), F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).otherwise(0)
-    return rows.join(F.broadcast(hot), key, "left").withColumn("salt", F.coalesce(salted, F.lit(0))).drop("is_hot")
+    """Give the rows of a hot key a ``salt`` from column ``by``; other rows get 0.
+
+    Hot keys are few (each has ``HOT_ROWS`` rows); whether they are broadcast is left to their size.
+    """
+    salted = F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64(by), F.col("salts")).cast("int")).otherwise(0)
+    return rows.join(hot, key, "left").withColumn("salt", salted).drop("salts")
 
 
 def replicate(rows: DataFrame, hot: DataFrame, key: str) -> DataFrame:
     """One copy per salt for hot keys, so that every spread row finds its partner."""
-    salts = F.when(F.col("is_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    return rows.join(F.broadcast(hot), key, "left").withColumn("salt", F.explode(salts)).drop("is_hot")
+    salts = F.sequence(F.lit(0), F.coalesce(F.col("salts"), F.lit(1)) - 1)
+    return rows.join(hot, key, "left").withColumn("salt", F.explode(salts)).drop("salts")
 
 
 def lookup_join(facts: DataFrame, lookup: DataFrame, key: str, by: str, how: str = "inner", at_least: int = HOT_ROWS) -> DataFrame:

@@ -57,9 +57,9 @@ SCOPES = f"""CASE WHEN o_orderkey % 2 = 0
   ELSE concat('SELECT c', {_s('o_orderkey % 3')}, ', d FROM raw.s', {CUST}, ', raw.s', {_s('o_custkey + 1')}) END"""
 
 DDL = f"""CASE c_custkey % 3
-  WHEN 0 THEN concat('CREATE EXTERNAL TABLE db.d', {_s('c_custkey')}, ' (FLUX STRING, MT DECIMAL(15,2), SEG', {_s('c_nationkey')}, ' INT) LOCATION ''tmp''')
+  WHEN 0 THEN concat('CREATE EXTERNAL TABLE db.d', {_s('c_custkey')}, ' (CODE STRING, PRICE DECIMAL(12,3), SEG', {_s('c_nationkey')}, ' INT) LOCATION ''/data/raw''')
   WHEN 1 THEN concat('CREATE TABLE db.d', {_s('c_custkey')}, ' LIKE db.d', {_s('c_custkey - 1')})
-  ELSE concat('INSERT INTO db.d', {_s('c_custkey - 1')}, ' SELECT s.flux, s.mt FROM db.d', {_s('c_custkey - 2')}, ' s') END"""
+  ELSE concat('INSERT INTO db.d', {_s('c_custkey - 1')}, ' SELECT s.code, s.price FROM db.d', {_s('c_custkey - 2')}, ' s') END"""
 
 STARS = f"""CASE WHEN c_custkey = 0 THEN 'SELECT z.c0 FROM lake.t0 z'
   ELSE concat('CREATE TABLE lake.t', {_s('c_custkey')}, ' AS SELECT * FROM lake.t', {_s('CAST(floor(c_custkey / 2) AS BIGINT)')}) END"""
@@ -172,6 +172,13 @@ def star_rings(spark: SparkSession, folder: str) -> DataFrame:
     return ring.unionByName(suppliers.selectExpr(f"concat('s', {near}) AS src_tbl", f"concat('below', {near}) AS dst_tbl"))
 
 
+def ring_statements(spark: SparkSession, folder: str) -> DataFrame:
+    """The rings as statements, one per supplier."""
+    far = _s("CAST(floor(s_suppkey / 10) * 10 AS BIGINT) + (s_suppkey + 1) % 10")
+    made = f"concat('CREATE TABLE lake.s', {far}, ' AS SELECT * FROM lake.s', {_s('s_suppkey')}) AS sql"
+    return table(spark, folder, "supplier").selectExpr("s_suppkey AS stmt_id", "s_suppkey AS seq", made)
+
+
 def graph_vertices(spark: SparkSession, folder: str) -> DataFrame:
     parts = [
         table(spark, folder, t).selectExpr(i.format(k=_s(k)), n, f"'{kind}' AS kind") for t, i, k, n, kind in _GRAPH_VERTICES

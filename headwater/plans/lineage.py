@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from headwater.api import statement_rejects, unresolved_stars
 from headwater.functions.text import full_name
 from headwater.operators import catalog, prepare, stars
-from headwater.operators.facts import source_relations, statement_targets
+from headwater.operators.facts import select_tokens, source_relations, statement_targets
 from headwater.operators.graph import table_lineage as distinct_pairs
 from headwater.operators.lineage import token_links, with_full_names
 from headwater.plans import fixtures as fx
 from headwater.plans.registry import query, table
 
 from headwater.session import materialize
-from headwater.sources.scripts import manifest_scripts
 
 _T = "concat('mart.t', o_orderkey)"
 _S = "concat('raw.s', o_custkey)"
@@ -117,7 +117,7 @@ def resolve_by_known_columns(spark, folder):
 
 
 _DECLARED = _rows(
-    {0: [("concat('d', c_custkey)", "'flux'"), ("concat('d', c_custkey)", "'mt'"), ("concat('d', c_custkey)", "concat('seg', c_nationkey)")]},
+    {0: [("concat('d', c_custkey)", "'code'"), ("concat('d', c_custkey)", "'price'"), ("concat('d', c_custkey)", "concat('seg', c_nationkey)")]},
     ("tbl", "col"), 3, "c_custkey", "customer",
 )
 
@@ -132,7 +132,7 @@ def declared_columns(spark, folder):
     f"""WITH made AS ({_DECLARED}),
       copied AS (SELECT l.c_custkey AS seq, concat('d', l.c_custkey) AS tbl, made.col FROM customer l
                  JOIN made ON made.tbl = concat('d', l.c_custkey - 1) WHERE l.c_custkey % 3 = 1),
-      filled AS (SELECT c_custkey AS seq, concat('d', c_custkey - d) AS tbl, col FROM customer, (VALUES (1), (2)) t(d), (VALUES ('flux'), ('mt')) u(col)
+      filled AS (SELECT c_custkey AS seq, concat('d', c_custkey - d) AS tbl, col FROM customer, (VALUES (1), (2)) t(d), (VALUES ('code'), ('price')) u(col)
                  WHERE c_custkey % 3 = 2)
       SELECT tbl, col, min(seq) AS first_seq FROM
         (SELECT stmt_id AS seq, tbl, col FROM made UNION ALL SELECT * FROM copied UNION ALL SELECT * FROM filled) GROUP BY tbl, col""",
@@ -231,10 +231,12 @@ def lineage_function(spark, folder):
     return flows.where("endswith(src, '()') OR endswith(dst, '()')").select("stmt_id", "src", "dst")
 
 
-@query("lineage_aggregate", _rows({1: _VALUE[1] + _ALIAS[1] + _INTO_TARGET[1]}, ("src", "dst")))
+_EVERY_FLOW = {f: _VALUE.get(f, []) + _ALIAS.get(f, []) + _INTO_TARGET.get(f, []) for f in range(1, 5)}
+
+
+@query("lineage_aggregate", f"SELECT DISTINCT * FROM ({_rows(_EVERY_FLOW, ('src', 'dst'))})")
 def lineage_aggregate(spark, folder):
-    grouped = fx.statements(spark, folder).where("sql LIKE '% GROUP BY %'")
-    return _flows(_links(grouped)).select("stmt_id", "src", "dst")
+    return _flows(_links(fx.statements(spark, folder))).select("stmt_id", "src", "dst").distinct()
 
 
 @query(
@@ -261,22 +263,22 @@ def lineage_union(spark, folder):
 
 @query(
     "lineage_passthrough",
-    _rows({1: [("'n.id'", "'x.id'"), ("'n.b'", "'x.b'")]}, ("src", "dst"), 2),
+    _rows({0: [("'id'", "'u.id'")], 1: [("'n.id'", "'x.id'"), ("'n.b'", "'x.b'")]}, ("src", "dst"), 2),
 )
 def lineage_passthrough(spark, folder):
-    links = _links(fx.nested(spark, folder).where("sql LIKE '%DISTINCT%'")).where("dst.scope LIKE '%/d%'")
+    links = _links(fx.nested(spark, folder)).where("dst.scope LIKE '%/d%'")
     return _flows(links).select("stmt_id", "src", "dst")
 
 
-@query("lineage_ctas", _rows({f: _INTO_TARGET[f] for f in (1, 2)}, ("src", "dst")))
+@query("lineage_ctas", _rows({f: _INTO_TARGET[f] for f in (1, 2, 3)}, ("src", "dst")))
 def lineage_ctas(spark, folder):
-    links = _links(fx.statements(spark, folder).where("sql LIKE 'CREATE%'")).where("dst.db = 'mart'")
+    links = _links(fx.statements(spark, folder)).where("dst.db = 'mart'")
     return _flows(links).select("stmt_id", "src", "dst")
 
 
 @query(
     "lineage_insert",
-    _rows({2: [(f"'s.{c}'", f"concat('db.d', c_custkey - 1, '.{c}')") for c in ("flux", "mt")]}, ("src", "dst"), 3, "c_custkey", "customer"),
+    _rows({2: [(f"'s.{c}'", f"concat('db.d', c_custkey - 1, '.{c}')") for c in ("code", "price")]}, ("src", "dst"), 3, "c_custkey", "customer"),
 )
 def lineage_insert(spark, folder):
     links = _links(fx.ddl(spark, folder)).where("dst.db = 'db'")
@@ -313,8 +315,8 @@ def unresolvable_stars(spark, folder):
 
 
 def _numbered(spark, folder) -> DataFrame:
-    listed = manifest_scripts(fx.lines(spark, folder), fx.manifest(spark, folder))
-    return prepare.number_statements(prepare.prepare_scripts(listed, ("file", "ord")))
+    statements = prepare.prepare_scripts(fx.lines(spark, folder)).join(fx.manifest(spark, folder), "file")
+    return prepare.number_statements(statements)
 
 
 _FILE = "CASE WHEN o_orderkey % 3 = 0 OR o_custkey > 0 THEN TRUE ELSE FALSE END"
@@ -327,15 +329,32 @@ _FILE = "CASE WHEN o_orderkey % 3 = 0 OR o_custkey > 0 THEN TRUE ELSE FALSE END"
 )
 def table_lineage(spark, folder):
     """Which table feeds which, over the whole listed script corpus."""
-    statements = _numbered(spark, folder)
-    sources = source_relations(statements).where("derived_block IS NULL")
-    targets = statement_targets(statements).where("kind IN ('ctas', 'insert')")
-    pairs = sources.select("stmt_id", full_name(F.col("db"), F.col("tbl")).alias("src_table")).join(
-        targets.select("stmt_id", full_name(F.col("db"), F.col("tbl")).alias("dst_table")), "stmt_id"
+    read = select_tokens(_numbered(spark, folder)).where("relation IS NOT NULL AND relation.derived_block IS NULL AND target_tbl IS NOT NULL")
+    pairs = read.select(
+        full_name(F.col("relation.db"), F.col("relation.tbl")).alias("src_table"), full_name(F.col("target_db"), F.col("target_tbl")).alias("dst_table")
     )
     return distinct_pairs(pairs)
 
 
+@query(
+    "lineage_rejects",
+    """SELECT o_orderkey AS stmt_id, CASE o_orderkey % 6 WHEN 3 THEN 'limit' ELSE 'statement' END AS reason
+       FROM orders WHERE o_orderkey % 6 IN (3, 5)""",
+)
+def lineage_rejects(spark, folder):
+    statements = fx.expressions(spark, folder).withColumn("seq", F.col("stmt_id"))
+    return statement_rejects(statements).select("stmt_id", "reason")
+
+
+@query(
+    "unresolved_star_report",
+    """SELECT concat('s', CAST(floor(s_suppkey / 10) * 10 AS BIGINT) + (s_suppkey + 1) % 10) AS dst, 'cycle' AS reason FROM supplier""",
+)
+def unresolved_star_report(spark, folder):
+    """Stars read from statements in which each table takes all columns of the next in its ring."""
+    return unresolved_stars(_links(fx.ring_statements(spark, folder))).select(F.regexp_replace("dst", r"^lake\.(.*)\.\*$", "$1").alias("dst"), "reason").where("reason = 'cycle'")
+
+
 @query(
     "merge_scripts",
     f"""SELECT DISTINCT name FROM (SELECT concat('raw.s', o_custkey, '.k') AS name FROM orders WHERE {_FILE}

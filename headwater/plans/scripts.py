@@ -251,22 +251,44 @@ def case_roles(spark, folder):
     return found.where("out_name = 'q'").select("stmt_id", "name", "case_part")
 
 
-@query("value_only_filter", _by_form({1: [(_q("a"), _q("k")), (_q("b"), _q("v"))]}, 5, "qualifier, name"))
+@query(
+    "value_only_filter",
+    _by_form(
+        {1: [(_q("a"), _q("k")), (_q("b"), _q("v"))], 2: [(_q(None), _q(n)) for n in ("id", "m", "n")],
+         3: [(_q("b"), _q("id"))] * 2, 4: [(_q("u"), _q("a")), (_q("u"), _q("b"))]},
+        5, "qualifier, name",
+    ),
+)
 def value_only_filter(spark, folder):
-    found = facts.item_references(fx.statements(spark, folder).where("sql LIKE '% WHERE %'"))
+    found = facts.item_references(fx.statements(spark, folder))
     return found.where("role = 'ref'").select("stmt_id", "qualifier", "name")
 
 
-@query("in_value_only", _by_form({0: [(_q("hit"), _q("x")), (_q("y"), _q("y"))]}, 6, "out_name, name"))
+# What each form of the expressions feeds into its outputs; keys of literals are the statement's own.
+_INPUTS = {
+    0: [("hit", "x"), ("y", "y")],
+    1: [("rn", "row_number()")],
+    2: [("z", "x"), ("z", "y"), ("nf", "f"), ("h", "g")],
+    4: [("c", "w"), ("c", "x"), ("c", "y"), ("c", "o"), ("c", "n"), ("unresolvedalias", "x"), ("unresolvedalias", "1")],
+}
+_INPUTS_SQL = _by_form({f: [(_q(o), _q(n)) for o, n in rows] for f, rows in _INPUTS.items()}, 6, "out_name, name") + """
+    UNION ALL SELECT o_orderkey, 'z', CAST(o_orderkey AS STRING) FROM orders WHERE o_orderkey % 6 = 2"""
+
+
+def _inputs(spark, folder):
+    return facts.item_references(fx.expressions(spark, folder)).select("stmt_id", "out_name", F.lower("name").alias("name"))
+
+
+@query("in_value_only", _INPUTS_SQL)
 def in_value_only(spark, folder):
-    found = facts.item_references(fx.expressions(spark, folder).where("sql LIKE '% IN (%'"))
-    return found.select("stmt_id", "out_name", "name")
+    """Whole corpus: of ``x IN (…)`` only x is among the inputs."""
+    return _inputs(spark, folder)
 
 
-@query("window_function_only", _by_form({1: [(_q("rn"), _q("row_number()"))]}, 6, "out_name, name"))
+@query("window_function_only", f"SELECT * FROM ({_INPUTS_SQL}) WHERE out_name <> 'hit'")
 def window_function_only(spark, folder):
-    found = facts.item_references(fx.expressions(spark, folder).where("sql LIKE '% OVER (%'"))
-    return found.select("stmt_id", "out_name", "name")
+    """Whole corpus: of ``f() OVER (…)`` only f is among the inputs."""
+    return _inputs(spark, folder).where("out_name <> 'hit'")
 
 
 @query(

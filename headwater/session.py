@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 # Read by every job below; a cluster deployment overrides them at submit time.
 SESSION_CONF = {
@@ -14,6 +14,7 @@ SESSION_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -35,7 +36,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder the cluster names; make one only for a local master.
 
     Checkpoints outlive an executor only if every executor can read them, so a
-    machine-local folder is refused anywhere but in local mode.
+    machine-local folder is refused anywhere but in one-process local mode, where it goes with
+    the process.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir():
@@ -43,8 +45,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         sc.setCheckpointDir(shared)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="headwater-ckpt-"))
+    elif re.fullmatch(r"local(\[.*\])?", sc.master):
+        folder = tempfile.mkdtemp(prefix="headwater-ckpt-")
+        sc.setCheckpointDir(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
 
@@ -60,21 +65,20 @@ def materialize_layout(df: DataFrame, width: int) -> tuple[DataFrame, int]:
 
     Adaptive execution hides the partitioning of what it ran and picks its own number of
     parts, so it is off for this one write and shuffles make ``width`` parts. The rows are
-    counted while they are written.
+    counted on the stored copy: an empty plan may be folded away before it runs.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    seen = Observation()
     fixed = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": str(width)}
     before = {key: spark.conf.get(key) for key in fixed}
     try:
         for key, value in fixed.items():
             spark.conf.set(key, value)
-        stored = df.observe(seen, F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
+        stored = df.checkpoint(eager=True)
     finally:
         for key, value in before.items():
             spark.conf.set(key, value)
-    return stored, seen.get["n"]
+    return stored, stored.count()
 
 
 def shuffle_width(spark: SparkSession) -> int:

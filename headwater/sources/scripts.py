@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _BREAK = r"(\r\n|\r|\n)"
@@ -20,12 +21,34 @@ def split_script_text(scripts: DataFrame) -> DataFrame:
     return cut.withColumn("line_no", F.col("line_no").cast("bigint"))
 
 
-def scan_script_lines(spark: SparkSession, paths: str | Iterable[str]) -> DataFrame:
-    """``lines`` of every script file under ``paths``; files that cannot be read are skipped."""
-    reader = spark.read.option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True)
-    files = reader.text(paths if isinstance(paths, str) else list(paths), wholetext=True)
-    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    return split_script_text(files.select(name.alias("file"), F.col("value").alias("body")))
+def scan_script_lines(spark: SparkSession, paths: str | Iterable[str], root: str | None = None) -> DataFrame:
+    """``lines`` of every script file under ``paths``, at any depth; ``file`` is its path below ``root``.
+
+    Without a root ``file`` is the whole path, so that scripts of one name in several folders
+    stay apart. Names are as the file system has them, blanks included. A file that breaks while
+    it is read stops the job; one that is listed and not there is for ``missing_scripts``.
+    """
+    files = spark.read.option("recursiveFileLookup", True).text(paths if isinstance(paths, str) else list(paths), wholetext=True)
+    return split_script_text(files.select(_below(F.col("_metadata.file_path"), root).alias("file"), F.col("value").alias("body")))
+
+
+def _below(path: Column, root: str | None) -> Column:
+    """The decoded path, without its scheme, and without ``root`` if it begins so."""
+    plus = F.regexp_replace(path, r"\+", "%2B")
+    plain = F.regexp_replace(F.url_decode(plus), r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    if root is None:
+        return plain
+    stem = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", root).rstrip("/") + "/"
+    return F.when(F.startswith(plain, F.lit(stem)), F.substr(plain, F.lit(len(stem) + 1))).otherwise(plain)
+
+
+def script_files(spark: SparkSession, paths: str | Iterable[str], root: str | None = None) -> DataFrame:
+    """``(file)`` of every script that is there, empty ones too; their texts are not read.
+
+    The names are those of the reader's own file list, which the driver holds in any case.
+    """
+    found = spark.read.option("recursiveFileLookup", True).text(paths if isinstance(paths, str) else list(paths), wholetext=True).inputFiles()
+    return spark.createDataFrame([(f,) for f in found], "path string").select(_below(F.col("path"), root).alias("file"))
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:

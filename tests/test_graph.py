@@ -43,7 +43,7 @@ def test_lookup_join_splits_hot_keys(spark):
     lookup = spark.createDataFrame([("hot", 1), *((f"k{i}", i) for i in range(9))], "k string, v int")
     plain = {tuple(r) for r in facts.join(lookup, "k", "left").select("id", "v").collect()}
     assert {tuple(r) for r in skew.lookup_join(facts, lookup, "k", "id", "left", at_least=50).select("id", "v").collect()} == plain
-    assert skew.spread(facts, skew.hot_keys(facts, "k", 50), "k", "id").where("k = 'hot'").select("salt").distinct().count() > 5
+    assert skew.spread(facts, skew.hot_keys(facts, "k", 10), "k", "id").where("k = 'hot'").select("salt").distinct().count() > 5
 
 
 def test_global_row_number(spark):
@@ -61,3 +61,26 @@ def test_star_chain_and_rings(spark):
         ("r1", "z", False), ("r2", "z", True), ("below", "z", True),
     }
     assert {r.tbl for r in stars.unresolvable_stars(edges).collect()} == {"r1", "r2", "below"}
+
+
+@pytest.mark.parametrize("kind", ["none", "one", "range"])
+def test_closures_on_few_edges(spark, tmp_path, kind):
+    edges = {
+        "none": spark.createDataFrame([(1, 2)], "src long, dst long").where("src > 5"),
+        "one": spark.createDataFrame([(0, 1)], "src long, dst long"),
+        "range": spark.range(50).selectExpr("id AS src", "id + 1 AS dst"),
+    }[kind]
+    if kind == "none":
+        edges.write.parquet(str(tmp_path / "e"))
+        edges = spark.read.parquet(str(tmp_path / "e"))
+    seeds = spark.createDataFrame([(0,)], "node long")
+    found = {r.node for r in graph.downstream_closure(edges, seeds).collect()}
+    assert found == set(range({"none": 1, "one": 2, "range": 51}[kind]))
+
+
+def test_hot_keys_have_no_limit(spark):
+    rows = spark.range(3000).selectExpr("id % 1500 AS k", "id AS v").unionByName(spark.range(40).selectExpr("7L AS k", "id AS v"))
+    hot = {r.k: r.salts for r in skew.hot_keys(rows, "k", 2).collect()}
+    assert len(hot) == 1500 and hot[7] == 22 and hot[8] == 2
+    joined = skew.lookup_join(rows, spark.range(1500).selectExpr("id AS k", "-id AS w"), "k", "v", at_least=2)
+    assert joined.where("w = -k").count() == 3040

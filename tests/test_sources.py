@@ -22,7 +22,7 @@ def script_folder(tmp_path):
 
 def test_scan_keeps_line_numbers(spark, tmp_path):
     folder = script_folder(tmp_path)
-    lines = scripts.scan_script_lines(spark, str(folder / "sql"))
+    lines = scripts.scan_script_lines(spark, str(folder / "sql"), str(folder / "sql"))
     got = [(r.line_no, r.line) for r in lines.where("file = 'one.sql'").orderBy("line_no").collect()]
     assert got == [(0, "#@ title ;"), (1, "DROP TABLE x.t;"), (2, "CREATE TABLE x.t AS -- why"), (3, "SELECT a, b.* FROM ${RAW}.s b;")]
     assert [r.line for r in lines.where("file = 'two.sql'").orderBy("line_no").collect()] == ["select c, d from raw.s;", ""]
@@ -30,7 +30,7 @@ def test_scan_keeps_line_numbers(spark, tmp_path):
 
 def test_manifest_and_summary(spark, tmp_path):
     folder = script_folder(tmp_path)
-    lines = scripts.scan_script_lines(spark, str(folder / "sql"))
+    lines = scripts.scan_script_lines(spark, str(folder / "sql"), str(folder / "sql"))
     manifest = scripts.read_manifest(spark, str(folder / "input.conf"))
     assert [(r.file, r.ord) for r in scripts.missing_scripts(lines, manifest).collect()] == [("missing.sql", 2)]
     listed = scripts.manifest_scripts(lines, manifest)
@@ -52,7 +52,24 @@ def test_folder_to_viewer_script(spark, tmp_path):
     links = [(label[e["from"]], label[e["to"]]) for e in data["edges"]]
     assert ("x", "t") in links and links.count(("d", "d")) == 2
     assert "nope" not in label.values()
-    run_folder(spark, str(folder), str(out))
+    run_folder(spark, str(folder), str(out), str(tmp_path / "reports"))
+    assert [r.file for r in spark.read.json(str(tmp_path / "reports/missing")).collect()] == ["missing.sql"]
+
+
+def test_names_are_paths(spark, tmp_path):
+    root = tmp_path / "my scripts+100%"
+    write(root, "a/job.sql", "create table x.t as\nselect a from r.q;")
+    write(root, "b/job.sql", "create table y.u as\nselect b from r.q;")
+    write(root, "b/my job.sql", "select c from r.q;")
+    write(root, "empty.sql", "")
+    lines = scripts.scan_script_lines(spark, str(root), str(root))
+    assert {r.file for r in lines.select("file").distinct().collect()} == {"a/job.sql", "b/job.sql", "b/my job.sql"}
+    assert {r.file for r in scripts.script_files(spark, str(root), str(root)).collect()} == {"a/job.sql", "b/job.sql", "b/my job.sql", "empty.sql"}
+    manifest = spark.createDataFrame([("b/my job.sql", 0), ("a/job.sql", 1), ("empty.sql", 2), ("c.sql", 3)], "file string, ord long")
+    result = lineage_from_files(spark, str(root), manifest, str(root))
+    names = {r.full_name for r in result.vertices.collect()}
+    assert {"r.q.c", "x.t.a"} <= names and "y.u.b" not in names
+    assert [r.file for r in result.missing.collect()] == ["c.sql"]
 
 
 def test_files_without_manifest(spark, tmp_path):
