@@ -393,7 +393,8 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
 
     Rows with a null id stay. Of rows that share id and class one stays.
     """
-    found = similar_documents(docs).where("doc_id = class_id").select(F.col("doc_id").alias("keep")).distinct()
-    kept = docs.join(found, F.col("doc_id") == F.col("keep"), "left_semi")
-    once = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]) if "doc_id" in docs.columns else kept
-    return once.unionByName(docs.where("doc_id IS NULL"))
+    heads = similar_documents(docs).where("doc_id = class_id").groupBy(F.col("doc_id").alias("_head")).agg(F.count(F.lit(1)).alias("_rows"))
+    kept = docs.join(heads, F.col("doc_id") == F.col("_head")).select("_rows", *(docs[c] for c in docs.columns))
+    # Only ids that stand in several rows need their rows compared; all others pass without another shuffle.
+    once = kept.where(F.col("_rows") == 1).unionByName(kept.where(F.col("_rows") > 1).dropDuplicates(["doc_id"]))
+    return once.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
