@@ -18,8 +18,9 @@ BLANKS = b" \t\n\v\f\r"
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
 # Per metric: the least spread that counts (values that all agree must not make every other value
-# an outlier) and whether low values fail as well. Metrics are scaled integers.
-METRICS = {"word_length": (40, True), "symbols": (200, False), "dup_lines": (200, False), "repeats": (200, False)}
+# an outlier; repeats get no stricter limit than the base rule has) and whether low values fail as
+# well. Metrics are scaled integers.
+METRICS = {"word_length": (40, True), "symbols": (200, False), "dup_lines": (600, False), "repeats": (400, False)}
 # How many spreads from the median a value may lie.
 REACH = 5
 # A group with fewer documents takes the sketch of its language, then that of all documents.
