@@ -10,7 +10,7 @@ FOLDER = Path("/root/testdata/sf0.001")
 # The others take the same path through the library; tools/check.py runs all of them.
 SAMPLE = [
     "prepare_scripts", "run_summary", "nest_blocks", "source_relations", "literal_references", "reject_report",
-    "resolve_by_known_columns", "copy_schema_like", "catalog_vertices", "lineage_union", "expand_stars", "table_lineage",
+    "resolve_by_known_columns", "copy_schema_like", "catalog_vertices", "lineage_union", "expand_stars", "lineage_rejects", "unresolved_star_report", "value_only_filter", "in_value_only", "lineage_aggregate", "table_lineage",
     "triplets", "upstream_closure_cycles", "ego_lineage_edges", "full_outer_multiway", "span_rate", "presence_flags", "stage_delays", "staged_tables",
 ]
 
