@@ -11,14 +11,16 @@ from headwater.session import materialize, shuffle_width
 def global_row_number(rows: DataFrame, order: list[str], name: str = "row_number") -> DataFrame:
     """Number rows 1, 2, … in the order of ``order``, whose values must tell rows apart.
 
-    Rows are cut into ranges and stored, so both passes see the same cut; the offsets are
-    one row per range, which bounds their broadcast.
+    Rows are cut into ranges, sorted inside them and stored, so both passes see the same places;
+    the offsets are one row per range, which bounds their broadcast.
     """
     width = shuffle_width(rows.sparkSession)
-    ranged = materialize(rows.repartitionByRange(width, *order).withColumn("range_no", F.spark_partition_id()))
-    ranges = ranged.groupBy("range_no").agg(F.count("*").alias("n"))
+    ranged = rows.repartitionByRange(width, *order).sortWithinPartitions(*order)
+    # The id holds the range above 33 bits, and below them the place in it.
+    placed = materialize(ranged.withColumn("place", F.monotonically_increasing_id()))
+    split = placed.withColumns({"range_no": F.shiftright("place", 33), "in_range": F.col("place").bitwiseAND(F.lit((1 << 33) - 1)) + 1})
+    ranges = split.groupBy("range_no").agg(F.count("*").alias("n"))
     before = Window.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ranges.select("range_no", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("range_no").orderBy(*order)
-    numbered = ranged.withColumn("in_range", F.row_number().over(inside)).join(F.broadcast(offsets), "range_no")
-    return numbered.withColumn(name, (F.col("offset") + F.col("in_range")).cast("bigint")).drop("range_no", "in_range", "offset")
+    numbered = split.join(F.broadcast(offsets), "range_no")
+    return numbered.withColumn(name, (F.col("offset") + F.col("in_range")).cast("bigint")).drop("place", "range_no", "in_range", "offset")
