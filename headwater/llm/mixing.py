@@ -85,8 +85,11 @@ class Rates:
         return self._walk(membership)[1]
 
 
-def learn_domains(labelled: DataFrame) -> Domains:
-    """Fit on ``labelled(key, domain, text)``; domains are few, and their names and sizes come to the driver."""
+def learn_domains(labelled: DataFrame, docs: DataFrame) -> Domains:
+    """Fit on ``labelled(key, domain)`` and the texts of ``docs``; domains are few, and their names and sizes come to the driver.
+
+    Keys are drawn first, so only the sample, which is bounded, is joined with texts.
+    """
     spark = labelled.sparkSession
     scratch = Scratch(spark)
     named = labelled.where("domain IS NOT NULL")
@@ -96,7 +99,10 @@ def learn_domains(labelled: DataFrame) -> Domains:
     buckets = 1 << 30
     cuts = spark.createDataFrame([(d, i, min(buckets, LEARNING_DOCS * buckets // n)) for i, (d, n) in enumerate(sizes)], "domain string, number int, cut long")
     draw = F.pmod(F.xxhash64("key"), F.lit(buckets))
-    sample = named.join(F.broadcast(cuts), "domain").where(draw < F.col("cut")).select("number", (F.pmod(F.xxhash64("key", F.lit("temper")), F.lit(5)) == 0).alias("tempers"), "text")
+    drawn = named.join(F.broadcast(cuts), "domain").where(draw < F.col("cut")).select("key", "number", (F.pmod(F.xxhash64("key", F.lit("temper")), F.lit(5)) == 0).alias("tempers"))
+    # A key with several rows is drawn with each of them, and must not be multiplied by itself.
+    once = drawn.groupBy("key").agg(F.min("number").alias("number"), F.first("tempers").alias("tempers"))
+    sample = docs.select(F.col("doc_id").alias("key"), "text").join(F.broadcast(once), "key").select("number", "tempers", "text")
 
     def split(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [features_of(t.lower()) for t in texts_of(batch.column(2))]
@@ -190,9 +196,9 @@ def fit_rates(found: DataFrame, shares_to: dict[str, float], names: list[str]) -
 
 
 def domain_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(key, domain, text)`` of labelled documents: language and quality."""
+    """``(key, domain)`` of labelled documents: language and quality."""
     one = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").alias("key")).agg(F.min("quality").alias("quality"))
-    return docs.select(F.col("doc_id").alias("key"), "text", "lang").join(one, "key").select("key", F.concat_ws(":", F.coalesce("lang", F.lit("?")), F.col("quality").cast("string")).alias("domain"), "text")
+    return docs.select(F.col("doc_id").alias("key"), "lang").join(one, "key").select("key", F.concat_ws(":", F.coalesce("lang", F.lit("?")), F.col("quality").cast("string")).alias("domain"))
 
 
 def quality_targets(names: list[str], totals: np.ndarray) -> dict[str, float]:
@@ -210,7 +216,7 @@ def quality_targets(names: list[str], totals: np.ndarray) -> dict[str, float]:
 def learn_mix(docs: DataFrame, labels: DataFrame, row: Column) -> tuple[Domains, Rates, DataFrame]:
     """Classifier, rates and the stored memberships with ``row``."""
     scratch = Scratch(docs.sparkSession)
-    model = learn_domains(domain_labels(docs, labels))
+    model = learn_domains(domain_labels(docs, labels), docs)
     found = scratch.keep(memberships(docs, model, row), "memberships")
     k = len(model.names)
     totals, _, _ = _sums(found, docs.sparkSession.sparkContext.broadcast(Rates(0.0)), k)
