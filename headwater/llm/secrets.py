@@ -24,12 +24,13 @@ WINDOW = 20
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 CLASSES = ((r"^[0-9]+$", 9.0), (r"^[0-9A-Fa-f]+$", 3.1), (r"^[0-9A-Za-z]+$", 3.7), (r"", 3.9))
 # What is not a secret however random it looks: words and names in letters only (joined or not), identifiers
-# in the form of a UUID, dates, paths with an extension or several parts, placeholders.
+# in the form of a UUID, dates, paths with an extension or several parts, placeholders. Loops are over single
+# characters or possessive, so that Java neither recurses nor steps back, however long the candidate is.
 ALLOWED = (
-    r"^[A-Za-z]+([-_/=+]*[A-Za-z]+)*[-_/=+]*$",
+    r"^[A-Za-z][A-Za-z/_=+-]*+$",
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
     r"[0-9]{4}-[0-9]{2}-[0-9]{2}",
-    r"^/?[a-z0-9_-]+(/[a-z0-9_-]+){2,}/?$",
+    r"^/?[a-z0-9_-]++(?:/[a-z0-9_-]++){2,}+/?$",
     r"(?i)example|placeholder|changeme|your[-_]|xxxx|0000",
     r"^[-_=+/]+|[-_=+/]{4}",
 )

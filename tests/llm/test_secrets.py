@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
@@ -65,3 +66,18 @@ def test_redaction(spark):
     got = {r.doc_id: r.text for r in out.collect()}
     assert got[1] is None and got[2] == "nothing here" and got[3] == "é [SECRET]' x"
     assert all(r.spans == "" for r in secrets.find_secrets(out).collect())
+
+
+def test_long_candidates(spark):
+    n = 100_000
+    texts = ["ab-" * n, "ab/" * n, "/ab" * n + "/", "a1/" * n, "a1/" * n + "A", "a" * n + "1", "/x" + "a" * n + "!", "ab-" * n + RANDOM, "aB" * n + "1/+"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert sorted(map(tuple, secrets.find_secrets(df).collect())) == [(i, *brute(t)) for i, t in enumerate(texts)]
+
+
+def test_allow_list_without_loops_gives_the_same_verdicts():
+    rng = random.Random(4)
+    looped = (r"^[A-Za-z]+([-_/=+]*[A-Za-z]+)*[-_/=+]*$", r"^/?[a-z0-9_-]+(/[a-z0-9_-]+){2,}/?$")
+    for _ in range(20_000):
+        hit = "".join(rng.choices("aZ1-_/=+", (9, 2, 1, 2, 1, 6, 1, 1), k=rng.randrange(1, 12)))
+        assert [bool(re.search(p, hit)) for p in looped] == [bool(re.search(secrets.ALLOWED[i], hit)) for i in (0, 3)], hit
