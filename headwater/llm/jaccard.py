@@ -147,11 +147,15 @@ def _first_paths(runs: int) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
 
 
 def _split_paths(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """A path samples its own positions, the same for all its records."""
+    """A path samples its own positions, the same for all its records and different from each other, so that no child comes twice."""
     paths, recs, tokens = batch.column(0).to_numpy().astype(np.uint64), batch.column(1).to_numpy(), _token_matrix(batch.column(2))
-    out = []
+    out, taken = [], np.empty((0, len(paths)), np.int64)
     for k in range(FANOUT):
-        positions = (mixed(paths + np.uint64(k + 1)) % np.uint64(TOKENS)).astype(np.int64)
+        # One of the positions that are left: a number below their count, moved past each smaller one that is taken.
+        positions = (mixed(paths + np.uint64(k + 1)) % np.uint64(TOKENS - k)).astype(np.int64)
+        for before in taken:
+            positions += positions >= before
+        taken = np.sort(np.vstack([taken, positions]), axis=0)
         out.append(_path(paths, positions, tokens[np.arange(len(recs)), positions]))
     return pa.record_batch([pa.array(np.concatenate(out).astype(np.int64)), pa.array(np.tile(recs, FANOUT))], ["path", "rec"])
 

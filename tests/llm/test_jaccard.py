@@ -2,6 +2,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from headwater.llm import jaccard
@@ -91,6 +92,25 @@ def test_large_buckets_split_and_fall_into_blocks(spark, monkeypatch):
     assert answer(spark, rows) == brute(rows)
 
 
+def test_split_gives_different_children():
+    rng = np.random.default_rng(3)
+    paths = rng.integers(-(2**62), 2**62, 20_000)
+    tokens = np.tile(np.arange(jaccard.TOKENS, dtype=np.uint16), (len(paths), 1))
+    batch = pa.record_batch([pa.array(paths), pa.array(np.arange(len(paths))), pa.array([t.tobytes() for t in tokens], pa.binary())], ["path", "rec", "tokens"])
+    out = jaccard._split_paths(batch)
+    rows = set(zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True))
+    assert len(rows) == out.num_rows == jaccard.FANOUT * len(paths)
+
+
+def test_thousands_of_near_copies(spark):
+    # Each copy has a last word of its own: 95 of 97 shingles of any two are shared, so each links with all others.
+    # With these words the bucket that most pairs meet in first is one that came twice when two positions were equal.
+    words = " ".join(f"w32x{i}" for i in range(99))
+    df = spark.createDataFrame([(i, f"{words} e{i}") for i in range(2000)], "doc_id bigint, text string")
+    got = similar_documents(df).collect()
+    assert {r.n_links for r in got} == {1999} and len(got) == 2000 and {r.class_id for r in got} == {0}
+
+
 def test_documents(spark, documents):
     rows = [(r.doc_id, r.text) for r in documents.collect()]
     assert sorted(map(tuple, similar_documents(documents).collect()), key=repr) == brute(rows)
