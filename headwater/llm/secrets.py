@@ -22,17 +22,26 @@ WINDOW = 20
 # Candidate strings, the classes tried on them in this order, and the bits per character at which a
 # window of the class looks random. A window of 20 has at most log2(20) = 4.32 bits.
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
-CLASSES = ((r"^[0-9]+$", 9.0), (r"^[0-9A-Fa-f]+$", 3.1), (r"^[0-9A-Za-z]+$", 3.7), (r"", 3.9))
-# What is not a secret however random it looks: words and names in letters only (joined or not), identifiers
-# in the form of a UUID, dates, paths with an extension or several parts, placeholders. Loops are over single
+CLASSES = ((r"^[0-9A-Fa-f]+$", 3.1), (r"^[0-9A-Za-z]+$", 3.7), (r"", 3.9))
+# What is not a secret however random it looks, judged on whole candidates without the separators at their ends:
+# words and names in letters only (joined or not), identifiers in the form of a UUID, paths of several parts. Loops are over single
 # characters or possessive, so that Java neither recurses nor steps back, however long the candidate is.
 ALLOWED = (
     r"^[A-Za-z][A-Za-z/_=+-]*+$",
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
-    r"[0-9]{4}-[0-9]{2}-[0-9]{2}",
+    r"^[-_=+/]*$",
     r"^/?[a-z0-9_-]++(?:/[a-z0-9_-]++){2,}+/?$",
-    r"(?i)example|placeholder|changeme|your[-_]|xxxx|0000",
-    r"^[-_=+/]+|[-_=+/]{4}",
+)
+SEPARATORS = "-_=+/"
+# Dates, placeholders and rows of separators, each with its length: their characters count as one repeated
+# character, so they are not random themselves and clear nothing beside them.
+COVERED = (
+    (r"[0-9]{4}-[0-9]{2}-[0-9]{2}", 10),
+    (r"(?i)placeholder", 11),
+    (r"(?i)changeme", 8),
+    (r"(?i)example", 7),
+    (r"(?i)your[-_]", 5),
+    (r"(?i)xxxx|0000|[-_=+/]{4}", 4),
 )
 # Sums are kept as whole millionths, so a step back undoes a step forward exactly.
 SCALE = 1_000_000
@@ -94,11 +103,18 @@ def least_sum(candidate: str) -> str:
 
 
 def looks_random(candidate: str) -> str:
-    """SQL: some window of the candidate has the entropy of its class, and no allow-list entry fits."""
+    """SQL: some window of the candidate has the entropy of its class, and no allow-list entry fits.
+
+    Separators at its ends do not count, unless fewer characters than a window are left without them.
+    """
     top = WINDOW * math.log2(WINDOW)
-    limits = " ".join(f"WHEN {candidate} RLIKE {_literal(p)} THEN {round(SCALE * (top - WINDOW * bits))}" for p, bits in CLASSES)
-    allowed = " OR ".join(f"{candidate} RLIKE {_literal(p)}" for p in ALLOWED)
-    return f"if({allowed}, false, {least_sum(candidate)} <= CASE {limits} END)"
+    limits = " ".join(f"WHEN y.core RLIKE {_literal(p)} THEN {round(SCALE * (top - WINDOW * bits))}" for p, bits in CLASSES)
+    allowed = " OR ".join(f"y.core RLIKE {_literal(p)}" for p in ALLOWED)
+    judged = f"if(length(y.core) >= {WINDOW}, y.core, {candidate})"
+    for pattern, size in COVERED:
+        judged = f"regexp_replace({judged}, {_literal(pattern)}, '{' ' * size}')"
+    core = f"trim(BOTH '{SEPARATORS}' FROM {candidate})"
+    return f"transform(array(named_struct('core', {core})), y -> if({allowed}, false, {least_sum(judged)} <= CASE {limits} END))[0]"
 
 
 def with_spans(df: DataFrame, text: str = "text") -> DataFrame:

@@ -81,3 +81,20 @@ def test_allow_list_without_loops_gives_the_same_verdicts():
     for _ in range(20_000):
         hit = "".join(rng.choices("aZ1-_/=+", (9, 2, 1, 2, 1, 6, 1, 1), k=rng.randrange(1, 12)))
         assert [bool(re.search(p, hit)) for p in looped] == [bool(re.search(secrets.ALLOWED[i], hit)) for i in (0, 3)], hit
+
+
+BASE64 = "wJalrXUtnFEMI7K7MDENGbPxRfiCY2eXAMq"
+SHOWN = [
+    *(c + BASE64 for c in "-_=+/"), *(BASE64 + c for c in "-_=+/"), *(c + BASE64[:19] for c in "-_=+/"), "=" + "9F86D081884C7D659A2FEAA0C55AD015",
+    BASE64 + "0000" + BASE64[::-1], BASE64 + "xxxx", "example-" + BASE64, BASE64 + "-2024-01-15", "your_" + BASE64, BASE64 + "----" + "end", BASE64[:18] + "0000" + BASE64[18:], "83105927461870359264",
+]
+CLEARED = [
+    "-" * 30, "--" + "word-" * 6, "/usr/share/lib_2/python3-dist/site", "-" + "123e4567-e89b-12d3-a456-426614174000", "2024-01-15-2024-02-16-2025-03-17", "example-example-placeholder-1", "your-changeme-xxxx-0000-XXXX",
+    "=" * 12 + "Heading" + "=" * 12,
+]
+
+
+def test_incidental_characters_clear_nothing(spark):
+    df = spark.createDataFrame([(i, f"KEY {t} x") for i, t in enumerate(SHOWN + CLEARED)], "doc_id bigint, text string")
+    got = {r.doc_id: r.spans for r in secrets.find_secrets(df).collect()}
+    assert got == {i: f"entropy:4:{4 + len(t)}" if t in SHOWN else "" for i, t in enumerate(SHOWN + CLEARED)}
