@@ -3,7 +3,8 @@
 A naive Bayes classifier, fitted on labelled documents and tempered on a part of them held out, gives
 each document its membership in every domain. Then non-negative rates are fitted by projected
 gradient descent on least squares: the expected total of each domain (rate * tokens * membership)
-against its target, in units of the target, and a small pull of each rate to 1. A rate follows from
+against its target, in units of the target, and a small pull of each rate to 1. A document whose most
+likely domain is to be kept has a rate of at least 1 in every step. A rate follows from
 the document's membership and the residuals of the rounds, a few numbers each, so rounds move
 nothing but sums.
 """
@@ -63,16 +64,18 @@ class Domains:
 
 @dataclass
 class Rates:
-    """What the rounds have found: the step, and each round's slope per domain."""
+    """What the rounds have found: the step, and each round's slope per domain; and which domains are kept whole."""
 
     step: float
     slopes: list[np.ndarray] = field(default_factory=list)
+    kept: np.ndarray | None = None
 
     def _walk(self, membership: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rate = ahead = np.ones(len(membership))
+        least = self.kept[membership.argmax(axis=1)].astype(float) if self.kept is not None and self.slopes else 0.0
         t = 1.0
         for slope in self.slopes:
-            new = np.maximum(0.0, ahead - self.step * (membership @ slope + PULL * (ahead - 1)))
+            new = np.maximum(least, ahead - self.step * (membership @ slope + PULL * (ahead - 1)))
             t_new = (1 + (1 + 4 * t * t) ** 0.5) / 2
             ahead, rate, t = new + (t - 1) / t_new * (new - rate), new, t_new
         return rate, ahead
@@ -169,14 +172,16 @@ def _sums(found: DataFrame, shared_rates, k: int) -> tuple[np.ndarray, np.ndarra
     return sum((np.frombuffer(p.total) for p in parts), np.zeros(k)), sum((np.frombuffer(p.gram).reshape(k, k) for p in parts), np.zeros((k, k))), sum(p.tokens for p in parts)
 
 
-def fit_rates(found: DataFrame, shares_to: dict[str, float], names: list[str]) -> Rates:
+def fit_rates(found: DataFrame, shares_to: dict[str, float], names: list[str], kept: list[bool] | None = None) -> Rates:
     """Fit rates of ``found(n_tokens, membership)`` so that each domain's expected total becomes ``shares_to`` times what it is.
 
+    Documents whose most likely domain is ``kept`` get no rate below 1; the others make up for it.
+
     A round is one pass over the stored memberships; one row of sums per task comes to the driver.
     """
     k = len(names)
     spark = found.sparkSession
-    rates = Rates(0.0)
+    rates = Rates(0.0, kept=None if kept is None else np.array(kept, bool))
     total, gram, tokens = _sums(found, spark.sparkContext.broadcast(rates), k)
     if not k or not tokens:
         return rates
@@ -201,6 +206,10 @@ def domain_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").alias("key"), "lang").join(one, "key").select("key", F.concat_ws(":", F.coalesce("lang", F.lit("?")), F.col("quality").cast("string")).alias("domain"))
 
 
+def is_low(domain: str) -> bool:
+    return domain.rsplit(":", 1)[1] == "0"
+
+
 def quality_targets(names: list[str], totals: np.ndarray) -> dict[str, float]:
     """Low quality keeps half of its tokens in each language; the good text of the language makes up for it."""
     size = dict(zip(names, totals.tolist(), strict=True))
@@ -220,7 +229,8 @@ def learn_mix(docs: DataFrame, labels: DataFrame, row: Column) -> tuple[Domains,
     found = scratch.keep(memberships(docs, model, row), "memberships")
     k = len(model.names)
     totals, _, _ = _sums(found, docs.sparkSession.sparkContext.broadcast(Rates(0.0)), k)
-    return model, fit_rates(found, quality_targets(model.names, totals), model.names), found
+    good = [not is_low(n) for n in model.names]
+    return model, fit_rates(found, quality_targets(model.names, totals), model.names, good), found
 
 
 def with_rates(found: DataFrame, rates: Rates, k: int) -> DataFrame:

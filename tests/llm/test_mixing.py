@@ -30,6 +30,36 @@ def test_rates_like_brute_force(spark, monkeypatch):
     assert want.min() >= 0
 
 
+def test_kept_domains_like_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CLOSE", 1e-6)
+    monkeypatch.setattr(mixing, "ROUNDS", 200)
+    rng = np.random.default_rng(7)
+    membership = rng.dirichlet([0.3, 0.15], 200)
+    tokens = rng.integers(1, 900, 200)
+    found = spark.createDataFrame([(int(t), m.tolist()) for t, m in zip(tokens, membership)], "n_tokens bigint, membership array<double>").repartition(5)
+    rates = fit_rates(found, {"a": 1.1, "b": 0.5}, list("ab"), [True, False])
+    least = (membership[:, 0] >= membership[:, 1]).astype(float)
+    weight, target = tokens / tokens.sum(), (tokens / tokens.sum()) @ membership * np.array([1.1, 0.5])
+    want = np.ones(200)
+    for _ in range(20_000):
+        want = np.maximum(least, want - 0.05 * (membership @ (((weight * want) @ membership - target) / target) + PULL * (want - 1)))
+    got = rates.of(membership)
+    assert (got >= least).all() and np.abs(got - want).max() < 0.01 * want.max()
+
+
+def test_good_documents_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    truth = {r.doc_id: r.quality for r in labels.collect()}
+    got = mix_documents(docs, labels.where("doc_id % 3 != 0")).collect()
+    judged_good = [r for r in got if not r.domain.endswith(":0")]
+    held = [r for r in got if truth.get(r.doc_id) == 1 and r.doc_id % 3 == 0]
+    low = [r for r in got if truth.get(r.doc_id) == 0]
+    assert len(held) > 1000 and all(r.copies >= 1 for r in held)
+    assert 0.4 < sum(r.n_tokens * r.copies for r in low) / sum(r.n_tokens for r in low) < 0.6
+    assert all(r.rate >= 1 and r.copies >= 1 for r in judged_good)
+
+
 def test_no_rounds_no_change():
     assert Rates(0.1).of(np.ones((3, 2))).tolist() == [1, 1, 1]
 
