@@ -101,17 +101,27 @@ def minimise(evaluate: Callable[[np.ndarray], tuple[float, np.ndarray]], start:
 
 
 class Model:
-    """Weights by word and ordered thresholds; without thresholds every document has grade 0."""
+    """Weights by word and ordered thresholds; without thresholds every document has grade 0.
 
-    def __init__(self, weights: dict[str, float], thresholds: np.ndarray):
-        self.weights, self.thresholds = weights, thresholds
+    ``decides`` is the model of the lowest threshold alone, where there are more: what separates the
+    higher grades must not cost it anything.
+    """
+
+    def __init__(self, weights: dict[str, float], thresholds: np.ndarray, decides: Model | None = None):
+        self.weights, self.thresholds, self.decides = weights, thresholds, decides
+
+    def above(self, found: list[set[str]]) -> np.ndarray:
+        """Per set of words and threshold the probability to be above it."""
+        weights = self.weights
+        scores = np.array([sum(weights[w] for w in ws if w in weights) for ws in found])
+        return _sigmoid(scores[:, None] - self.thresholds[None, :]) if found else np.zeros((0, len(self.thresholds)))
 
     def judge(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Expected severity, and P(grade > 0)."""
-        weights = self.weights
-        scores = np.array([sum(weights[w] for w in words(t) if w in weights) for t in texts])
-        above = _sigmoid(scores[:, None] - self.thresholds[None, :]) if len(texts) else np.zeros((0, len(self.thresholds)))
-        return above.sum(axis=1), above[:, 0] if len(self.thresholds) else np.zeros(len(texts))
+        found = [words(t) for t in texts]
+        above = self.above(found)
+        decided = self.decides.above(found) if self.decides else above
+        return above.sum(axis=1), decided[:, 0] if len(self.thresholds) else np.zeros(len(texts))
 
 
 def fit(docs: DataFrame, grades: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
@@ -162,31 +172,36 @@ def fit(docs: DataFrame, grades: DataFrame, key: str = "doc_id", text: str = "te
     rows = scratch.keep(map_batches(split_docs, number, "level int, features array<int>"), "features")
     scratch.drop("words")
 
-    def evaluate(parameters: np.ndarray) -> tuple[float, np.ndarray]:
-        scaled = np.concatenate([parameters[:n_words] * rarity, parameters[n_words:]])
-        shared = spark.sparkContext.broadcast(scaled)
-
-        def part(batches):
-            value, gradient = 0.0, np.zeros(len(parameters))
-            for b in batches:
-                levels_here = b.column(0).to_numpy().astype(np.int64)
-                v, g = loss_and_gradient(shared.value, n_words, [np.asarray(f, np.int64) for f in b.column(1).to_pylist()], levels_here, share[levels_here])
-                value, gradient = value + v, gradient + g
-            yield pa.record_batch([pa.array([value]), pa.array([gradient.tobytes()], pa.binary())], ["value", "gradient"])
-
-        # One row per task of the bounded sample.
-        parts = rows.mapInArrow(part, "value double, gradient binary").collect()
-        shared.destroy()
-        coefficients = parameters[:n_words]
-        gradient = sum(np.frombuffer(p.gradient) for p in parts)
-        gradient[:n_words] = gradient[:n_words] * rarity + PENALTY * coefficients
-        return sum(p.value for p in parts) + PENALTY / 2 * float(coefficients @ coefficients), gradient
-
-    below = np.cumsum([share[i] * sampled[i] for i in range(len(levels))])[:-1]
-    cuts = np.log(below / (1 - below))
-    start = np.concatenate([np.zeros(n_words), cuts[:1], np.log(np.maximum(np.diff(cuts), 1e-3))])
-    best = minimise(evaluate, start)
-    return Model({w: float(c) for w, c in zip(vocabulary, best[:n_words] * rarity, strict=True) if c}, thresholds_of(best[n_words:]))
+    def fitted(top: int, decides: Model | None = None) -> Model:
+        """The model of the levels up to ``top``, to which all higher ones are added."""
+
+        def evaluate(parameters: np.ndarray) -> tuple[float, np.ndarray]:
+            scaled = np.concatenate([parameters[:n_words] * rarity, parameters[n_words:]])
+            shared = spark.sparkContext.broadcast(scaled)
+
+            def part(batches):
+                value, gradient = 0.0, np.zeros(len(parameters))
+                for b in batches:
+                    levels_here = b.column(0).to_numpy().astype(np.int64)
+                    v, g = loss_and_gradient(shared.value, n_words, [np.asarray(f, np.int64) for f in b.column(1).to_pylist()], np.minimum(levels_here, top), share[levels_here])
+                    value, gradient = value + v, gradient + g
+                yield pa.record_batch([pa.array([value]), pa.array([gradient.tobytes()], pa.binary())], ["value", "gradient"])
+
+            # One row per task of the bounded sample.
+            parts = rows.mapInArrow(part, "value double, gradient binary").collect()
+            shared.destroy()
+            coefficients = parameters[:n_words]
+            gradient = sum(np.frombuffer(p.gradient) for p in parts)
+            gradient[:n_words] = gradient[:n_words] * rarity + PENALTY * coefficients
+            return sum(p.value for p in parts) + PENALTY / 2 * float(coefficients @ coefficients), gradient
+
+        below = np.cumsum([share[i] * sampled[i] for i in range(len(levels))])[:top]
+        cuts = np.log(below / (1 - below))
+        start = np.concatenate([np.zeros(n_words), cuts[:1], np.log(np.maximum(np.diff(cuts), 1e-3))])
+        best = minimise(evaluate, start)
+        return Model({w: float(c) for w, c in zip(vocabulary, best[:n_words] * rarity, strict=True) if c}, thresholds_of(best[n_words:]), decides)
+
+    return fitted(len(levels) - 1, fitted(1) if len(levels) > 2 else None)
 
 
 def severity_grades(labels: DataFrame, key: str = "doc_id") -> DataFrame:

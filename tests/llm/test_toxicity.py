@@ -70,3 +70,14 @@ def test_unseen_documents(spark):
     # Measured: 15 of 1202 and 79 of 147. The rarer languages have too few toxic examples here, and the third
     # grade costs some; see the README.
     assert sum(r.toxic for r in clean) <= 0.02 * len(clean) and sum(r.toxic for r in bad) >= 0.5 * len(bad)
+
+
+def test_third_grade_costs_no_decisions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    got = [r for r in grade_toxicity(docs, labels.where("doc_id % 3 != 0")).collect() if r.doc_id in truth and r.doc_id % 3 == 0]
+    clean = [r for r in got if truth[r.doc_id] == 0]
+    bad = [r for r in got if truth[r.doc_id] == 1]
+    # Measured: 1 of 1202 and 96 of 147.
+    assert sum(r.toxic for r in clean) <= 0.02 * len(clean) and sum(r.toxic for r in bad) >= 0.6 * len(bad)
