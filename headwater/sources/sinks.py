@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from uuid import uuid4
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headwater.operators.graph import graph_export_edges, graph_export_nodes
@@ -40,10 +43,55 @@ def with_numeric_ids(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame,
     )
 
 
+def replace_folder(spark: SparkSession, out: str, write: Callable[[str], None]) -> None:
+    """Run ``write`` on a folder beside ``out`` and put that in the place of ``out`` once it is whole.
+
+    A write that fails or is killed leaves ``out`` as it was. What was there before steps aside under a
+    name of its own until the new folder stands; a run that was killed between the two renames is
+    undone by the next one, which first puts the old folder back.
+    """
+    path = lambda name: spark._jvm.org.apache.hadoop.fs.Path(name)
+    target = path(out.rstrip("/"))
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    aside = path(f"{out.rstrip('/')}.replaced")
+    if fs.exists(aside):
+        if fs.exists(target):
+            fs.delete(aside, True)
+        else:
+            _move(fs, aside, target)
+    fresh = f"{out.rstrip('/')}.writing-{uuid4().hex}"
+    try:
+        write(fresh)
+        had = fs.exists(target)
+        if had:
+            _move(fs, target, aside)
+        elif target.getParent() is not None:
+            fs.mkdirs(target.getParent())
+        try:
+            _move(fs, path(fresh), target)
+        except Exception:
+            if had:
+                _move(fs, aside, target)
+            raise
+        if had:
+            fs.delete(aside, True)
+    finally:
+        fs.delete(path(fresh), True)
+
+
+def _move(fs, old, new) -> None:
+    if not fs.rename(old, new):
+        raise OSError(f"{old} cannot be renamed to {new}")
+
+
 def write_graph_tables(vertices: DataFrame, edges: DataFrame, out: str) -> None:
-    """Nodes and edges as JSON lines, one folder each, replacing what was there."""
-    node_json(vertices).select(F.col("json").alias("value")).write.mode("overwrite").text(f"{out}/nodes")
-    edge_json(edges).select(F.col("json").alias("value")).write.mode("overwrite").text(f"{out}/edges")
+    """Nodes and edges as JSON lines, one folder each below ``out``; both replace what was there at one time."""
+
+    def write(folder: str) -> None:
+        node_json(vertices).select(F.col("json").alias("value")).write.text(f"{folder}/nodes")
+        edge_json(edges).select(F.col("json").alias("value")).write.text(f"{folder}/edges")
+
+    replace_folder(vertices.sparkSession, out, write)
 
 
 def write_graph_js(vertices: DataFrame, edges: DataFrame, out: str) -> None:
@@ -64,4 +112,4 @@ def write_graph_js(vertices: DataFrame, edges: DataFrame, out: str) -> None:
         .unionByName(edges.select(F.lit(3).alias("section"), "place", F.concat(comma("place"), edge).alias("value")))
         .unionByName(frame)
     )
-    body.sort("section", "place").select("value").write.mode("overwrite").text(out)
+    replace_folder(vertices.sparkSession, out, body.sort("section", "place").select("value").write.text)

@@ -1,6 +1,9 @@
 import json
 
+import pytest
+
 from headwater import lineage_from_files, run_folder
+from headwater.operators.numbering import global_row_number
 from headwater.operators.prepare import prepare_scripts
 from headwater.operators.staging import Stages
 from headwater.sources import scripts, sinks
@@ -87,6 +90,42 @@ def test_tables_out(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "g/edges")).columns == ["from", "to"]
 
 
+def test_a_failed_write_keeps_the_old_output(spark, tmp_path):
+    out = str(tmp_path / "deep/graph")
+    good = lambda text: lambda folder: spark.createDataFrame([(text,)], "value string").write.text(folder)
+    read = lambda: [r.value for r in spark.read.text(out).collect()]
+
+    def breaks(folder):
+        good("half")(folder)
+        raise ValueError("stopped")
+
+    with pytest.raises(ValueError):
+        sinks.replace_folder(spark, out, breaks)
+    assert not (tmp_path / "deep/graph").exists()
+    sinks.replace_folder(spark, out, good("one"))
+    with pytest.raises(ValueError):
+        sinks.replace_folder(spark, out, breaks)
+    assert read() == ["one"]
+    # Killed between the two renames: the old folder stands aside, and the next run puts it back first.
+    (tmp_path / "deep/graph").rename(tmp_path / "deep/graph.replaced")
+    with pytest.raises(ValueError):
+        sinks.replace_folder(spark, out, breaks)
+    assert read() == ["one"]
+    sinks.replace_folder(spark, out, good("two"))
+    assert read() == ["two"] and sorted(p.name for p in (tmp_path / "deep").iterdir()) == ["graph"]
+
+
+def test_numbers_whatever_the_columns_are_called(spark):
+    names = ["place", "range_no", "in_range", "offset", "row", "n", "k.v"]
+    rows = [tuple(range(i, i + len(names))) for i in range(50)]
+    df = spark.createDataFrame(rows, ", ".join(f"`{n}` long" for n in names))
+    for name in ("row_number", *names[1:6]):
+        out = global_row_number(df, ["place"], name)
+        assert sorted(out.columns) == sorted({*names, name})
+        assert [r[name] for r in out.orderBy("place").collect()] == list(range(1, 51))
+    assert [r.place for r in global_row_number(df, ["n"], "place").orderBy("n").collect()] == list(range(1, 51))
+
+
 def test_stages_replace_and_append(spark, tmp_path):
     stages = Stages(spark, str(tmp_path / "s"))
     stages.create("t", spark.range(3).toDF("a"))
