@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headwater.llm import brown, jaccard, language, mixing, neighbours, pieces, quality, secrets, toxicity
+from headwater.llm import brown, jaccard, language, licenses, mixing, neighbours, pieces, quality, secrets, toxicity
 from headwater.llm.common import table
 from headwater.llm.token_counts import count_tokens
 
@@ -85,3 +85,11 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_source_mixing"] = op6_source_mixing
+
+
+def op13_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op13_license_scans"] = op13_license_scans
+ORACLES["op13_license_scans"] = licenses.ORACLE
