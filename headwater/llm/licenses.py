@@ -166,7 +166,7 @@ def _quoted(text: str) -> str:
 
 
 def _words_sql(text: str) -> str:
-    return f"list_filter(string_split_regex(translate(coalesce({text}, ''), '{UPPER}', '{LOWER}'), '{BETWEEN}'), w -> w <> '')"
+    return f"regexp_extract_all(translate(coalesce({text}, ''), '{UPPER}', '{LOWER}'), '[^{BETWEEN[1:]}')"
 
 
 _RUN_SQL = ", ' ', ".join(["w", *(f"lead(w, {k}) OVER p" for k in range(1, RUN))])
