@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headwater.llm import brown, jaccard, language, licenses, mixing, neighbours, pieces, quality, secrets, toxicity
+from headwater.llm import alignment, brown, jaccard, language, licenses, mixing, neighbours, pieces, quality, secrets, toxicity
 from headwater.llm.common import table
 from headwater.llm.token_counts import count_tokens
 
@@ -93,3 +93,10 @@ def op13_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op13_license_scans"] = op13_license_scans
 ORACLES["op13_license_scans"] = licenses.ORACLE
+
+
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES["op11_token_alignment"] = op11_token_alignment
