@@ -44,7 +44,7 @@ MARK = "▁"  # stands for a blank in sentencepiece
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 # Where the pattern always cuts, whatever stands around.
 CUT_BYTES = re.compile(r"(?<=\S) |(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
-CUT_PIECES = re.compile(r"(?<=[^ ]) ")
+CUT_PIECES = re.compile(r"(?<=[^ ]) (?=[\s\S])")  # the library gives a lone blank no piece
 
 
 def _byte_letters() -> dict[str, int]:
