@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from headwater.llm import alignment, brown, jaccard, language, licenses, mixing, neighbours, pieces, quality, secrets, toxicity
 from headwater.llm.common import table
+from headwater.llm.hard_negatives import mine_hard_negatives
 from headwater.llm.token_counts import count_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +101,11 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op11_token_alignment"] = op11_token_alignment
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+QUERIES["op12_hard_negatives"] = op12_hard_negatives
