@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -13,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from headwater.session import ensure_checkpoint_dir
 
@@ -100,3 +102,52 @@ def byte_slices(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.R
         stop = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
         yield batch.slice(start, stop - start)
         start = stop
+
+
+# Arrow batches are cut by bytes too, so that a batch of long texts takes no more room than one of short ones.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Cut the session's Arrow batches by rows and bytes, where they are not cut smaller already."""
+    for name, most in _LIMITS.items():
+        now = spark.conf.get(name, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
+
+
+# What operators keep in a worker between tasks, by module.
+_KEPT = {"headwater.llm.jaccard": "_word_hashes", "headwater.llm.pieces": "_compiled"}
+
+
+def forget_others(own: str = "") -> None:
+    """Empty what other operators have kept in this worker, which Spark uses for one stage after the other."""
+    for module, name in _KEPT.items():
+        if module != own and module in sys.modules:
+            getattr(sys.modules[module], name).clear()
+    pa.default_memory_pool().release_unused()
+
+
+def with_columns_of(docs: DataFrame, text: str, fn: Callable[[list[str]], list[pa.Array]], added: str) -> DataFrame:
+    """``row`` (a struct of all columns of ``docs``) and the columns of ``added`` that ``fn`` gives for the texts.
+
+    Each text goes over once, as a field of its row; columns may have any names.
+    """
+    row = docs.select(F.struct("*").alias("row"))
+    place = docs.columns.index(text)
+    names = ["row", *(c.split()[0] for c in added.split(", "))]
+    ship_package(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
+        for batch in batches:
+            for part in (batch.slice(i, ROWS_AT_ONCE) for i in range(0, batch.num_rows, ROWS_AT_ONCE)):
+                yield pa.record_batch([part.column(0), *fn(texts_of(part.column(0).field(place)))], names)
+
+    return row.mapInArrow(run, StructType([*row.schema.fields, *StructType.fromDDL(added).fields]))
+
+
+def unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns that ``row`` holds."""
+    return rows.select(*(F.col("row").getField(c).alias(c) for c in columns))

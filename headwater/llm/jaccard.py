@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from headwater.llm.common import Scratch, map_batches, ship_package, texts_of
+from headwater.llm.common import Scratch, map_batches, ship_package, texts_of, unpacked
 
 WORDS = 5
 SIMILAR = 0.8
@@ -395,10 +395,12 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text")
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with their columns, one of each class: that of the least ``doc_id``.
 
-    Rows with a null id stay. Of rows that share id and class one stays.
+    Rows with a null id stay. Of rows that share id and class one stays. Null and empty texts are classes of their own. Rows travel as
+    one struct, so columns may have any names; an empty table gives none.
     """
-    heads = similar_documents(docs).where("doc_id = class_id").groupBy(F.col("doc_id").alias("_head")).agg(F.count(F.lit(1)).alias("_rows"))
-    kept = docs.join(heads, F.col("doc_id") == F.col("_head")).select("_rows", *(docs[c] for c in docs.columns))
+    heads = similar_documents(docs).where("doc_id = class_id").groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("rows"))
+    given = docs.select(F.col("doc_id").alias("id"), F.struct("*").alias("row"))
+    kept = given.join(heads, "id")
     # Only ids that stand in several rows need their rows compared; all others pass without another shuffle.
-    once = kept.where(F.col("_rows") == 1).unionByName(kept.where(F.col("_rows") > 1).dropDuplicates(["doc_id"]))
-    return once.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    once = kept.where("rows = 1").select("row").unionByName(kept.where("rows > 1").dropDuplicates(["id"]).select("row"))
+    return unpacked(once.unionByName(given.where("id IS NULL").select("row")), docs.columns)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from headwater.llm.common import Scratch, map_batches, texts_of
+from headwater.llm.common import Scratch, map_batches, texts_of, unpacked, with_columns_of
 
 # About this many labelled documents of each domain are learned from, chosen by hash; one in five of
 # them only sets the temperature. This bounds the words and counts on the driver.
@@ -263,10 +263,21 @@ def mix_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return rated.select(F.col("row").alias("doc_id"), domain.alias("domain"), "n_tokens", "membership", "rate", copies_of(F.col("rate"), F.col("row")).alias("copies"))
 
 
-def mixed(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with each row as often as its copies say; memberships are found anew, so no text is stored or joined."""
+def mixed(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with each row as often as its copies say; memberships are found anew, so no text is stored or joined.
+
+    Null and empty texts have the membership that the labels' shares give. Rows are judged one by one: repeated
+    rows and rows with null keys are each repeated or left out like others. An empty table gives none; without labelled documents each row
+    stays once. Where memberships tie, the first domain decides which rows are kept whole.
+    """
     model, rates, _ = learn_mix(docs, labels, F.lit(0))
-    rated = with_rates(memberships(docs, model, F.struct("*")), rates, len(model.names))
+    shared = docs.sparkSession.sparkContext.broadcast((model, rates))
+
+    def rate_of(texts: list[str]) -> list[pa.Array]:
+        classifier, fitted = shared.value
+        return [pa.array(fitted.of(classifier.membership(classifier.evidence(texts))), pa.float64())]
+
+    rated = with_columns_of(docs, text, rate_of, "rate double")
     copies = copies_of(F.col("rate"), F.col("row.doc_id"))
     repeated = rated.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), copies))).where(F.col("copy") < copies)
-    return repeated.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+    return unpacked(repeated, docs.columns)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from headwater.llm.common import Scratch, map_batches, texts_of
+from headwater.llm.common import Scratch, map_batches, texts_of, unpacked, with_columns_of
 
 # The model is fitted on about this many labelled documents of each grade, chosen by hash; the lowest
 # grade weighs as much as all others together, however rare they are. Everything kept on the driver is bounded by this sample.
@@ -232,7 +232,13 @@ def grade_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return judge(docs, fit(docs, severity_grades(labels)), F.col("doc_id")).withColumnRenamed("key", "doc_id")
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with their columns, that are not rejected."""
-    judged = judge(docs, fit(docs, severity_grades(labels)), F.struct("*"))
-    return judged.where(~F.col("toxic")).select(*(F.col("key").getField(c).alias(c) for c in docs.columns))
+def without_toxic(docs: DataFrame, labels: DataFrame, text: str = "text", reject_from: float = REJECT_FROM) -> DataFrame:
+    """The rows of ``docs``, with their columns, that are not rejected.
+
+    A row is judged by its text alone: null and empty texts get what the thresholds alone say, repeated rows share one
+    verdict and null keys are as good as others. A probability of exactly ``reject_from`` rejects. An empty table gives none;
+    without two grades among the labels all rows stay.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, severity_grades(labels)))
+    judged = with_columns_of(docs, text, lambda texts: [pa.array(shared.value.judge(texts)[1], pa.float64())], "p_toxic double")
+    return unpacked(judged.where(F.col("p_toxic") < reject_from), docs.columns)
