@@ -24,6 +24,8 @@ EXPRESSION_WORDS = ("case", "when", "then", "else", "end", "as", "distinct", "al
 CONSTANT_WORDS = ("null", "true", "false")
 TYPED_LITERAL_WORDS = ("date", "timestamp")
 
+INTERVAL_UNITS = tuple(f"{unit}{s}" for unit in ("year", "quarter", "month", "week", "day", "hour", "minute", "second", "millisecond", "microsecond") for s in ("", "s"))
+
 RESERVED = CLAUSE_WORDS + CLAUSE_WORDS_BY + JOIN_WORDS + OPERATOR_WORDS + EXPRESSION_WORDS
 # Words that may open an argument list although they are reserved elsewhere.
 CALLABLE_RESERVED = ("left", "right")
@@ -50,7 +52,7 @@ CASE WHEN length(raw) > 1 AND substring(raw, 1, 1) IN ('\\'', '"') THEN 'string'
      ELSE 'symbol' END"""
 # Words in lower case without back-quotes; everything else as written.
 TEXT_SQL = "CASE WHEN kind = 'word' THEN lower(replace(raw, '`', '')) ELSE raw END"
-# A literal or alias without its quotes; the star of count(*) counts as the literal 1.
+# A literal or alias without its quotes; the star of count(*) counts as the literal 1. An interval literal is named in full.
 UNQUOTED_SQL = r"""CASE WHEN tok = '*' THEN '1' WHEN tok RLIKE '^[\'"]' THEN substring(tok, 2, length(tok) - 2) ELSE tok END"""
 # Parts of a dotted name.
 LAST_PART_SQL = r"element_at(split(tok, '\\.'), -1)"

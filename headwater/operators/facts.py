@@ -18,6 +18,7 @@ _LIKE = _CREATE + r"\s+like\s+" + _NAME
 
 
 
+_UNITS = "|".join(T.INTERVAL_UNITS)
 # Kinds of statement, each with the pattern of its head; the first that fits counts.
 KINDS = {
     "drop": r"^\s*drop\s+(table|view)\b",
@@ -38,6 +39,9 @@ REJECTED = {
     "grouping sets": r"\b(grouping\s+sets|with\s+(cube|rollup))\b|\b(cube|rollup)\s*\(",
     "limit": r"\blimit\s+\d",
     "common table expression": r"\bwith\s+\w+\s+as\s*\(",
+    "filter clause": r"\)\s*filter\s*\(\s*where\b",
+    # Only a number or string with at most one unit is read; strings stand empty here.
+    "interval": rf"\binterval\s*(\(|[-+])|\binterval\s+(\d+|'')\s*({_UNITS})\s*(to\b|\d|'')",
 }
 
 
@@ -121,7 +125,10 @@ def select_tokens(statements: DataFrame) -> DataFrame:
 
 
 def source_relations(statements: DataFrame) -> DataFrame:
-    """``relations(stmt_id, block_id, branch, ord, db, tbl, alias, derived_block)``."""
+    """``relations(stmt_id, block_id, branch, ord, db, tbl, alias, group_alias, derived_block)``.
+
+    ``group_alias`` is the name of the outermost named bracket around the relation; it is what the relation answers to.
+    """
     found = select_tokens(statements).where("relation is not null")
     return found.select("stmt_id", "block_id", "relation.*")
 
@@ -132,8 +139,8 @@ def scope_names(statements: DataFrame) -> DataFrame:
         "stmt_id",
         "block_id",
         "branch",
-        "coalesce(alias, tbl) AS scope_name",
-        "CASE WHEN derived_block IS NOT NULL THEN 'derived' WHEN alias IS NOT NULL THEN 'alias' ELSE 'table' END AS scope_kind",
+        "coalesce(group_alias, alias, tbl) AS scope_name",
+        "CASE WHEN derived_block IS NOT NULL THEN 'derived' WHEN alias IS NOT NULL OR group_alias IS NOT NULL THEN 'alias' ELSE 'table' END AS scope_kind",
         "concat_ws('.', db, tbl) AS behind",
     )
 

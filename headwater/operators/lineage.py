@@ -38,9 +38,16 @@ _DESCRIBED = f"""transform(relations, r -> named_struct(
                   WHEN r.db IS NULL THEN branch_scope END,
     'db', r.db,
     'tbl', CASE WHEN r.derived_block IS NOT NULL THEN coalesce(r.alias, '{UNNAMED_DERIVED}') ELSE r.tbl END,
-    'alias', CASE WHEN r.derived_block IS NULL THEN r.alias END,
-    'name', coalesce(r.alias, r.tbl, '{UNNAMED_DERIVED}'),
-    'full', CASE WHEN r.alias IS NULL THEN concat_ws('.', r.db, r.tbl) END))"""
+    'alias', coalesce(r.group_alias, CASE WHEN r.derived_block IS NULL THEN r.alias END),
+    'name', coalesce(r.group_alias, r.alias, r.tbl, '{UNNAMED_DERIVED}'),
+    'full', CASE WHEN coalesce(r.group_alias, r.alias) IS NULL THEN concat_ws('.', r.db, r.tbl) END))"""
+# The parts of a dotted name that name its relation and its column. What names no relation is the field of a struct: of a
+# column of the relation that a shorter start names, else of the column that the first part names.
+_TOLD = r"""CASE WHEN role = 'ref' AND qualifier IS NOT NULL AND NOT exists(in_scope, r -> r.name = qualifier OR r.full <=> qualifier) THEN
+    CASE WHEN size(parts) > 2 AND exists(in_scope, r -> r.full <=> concat(parts[0], '.', parts[1])) THEN named_struct('of', concat(parts[0], '.', parts[1]), 'col', parts[2])
+         WHEN size(parts) > 2 AND exists(in_scope, r -> r.name = parts[0]) THEN named_struct('of', parts[0], 'col', parts[1])
+         ELSE named_struct('of', CAST(NULL AS string), 'col', parts[0]) END
+    ELSE named_struct('of', qualifier, 'col', last_part) END"""
 
 
 def _owned_rows(statements: DataFrame, live: str) -> DataFrame:
@@ -62,8 +69,12 @@ def _owned_rows(statements: DataFrame, live: str) -> DataFrame:
             "concat('#', stmt_id) AS stmt_scope",
             "concat('#', stmt_id, '/', block_id, '/', branch) AS branch_scope",
             f"CASE WHEN role IN ('ref', 'star') THEN {T.QUALIFIER_SQL} END AS qualifier",
+            r"CASE WHEN role = 'ref' THEN split(tok, '\\.') END AS parts",
+            f"CASE WHEN role IN ('ref', 'star') THEN {T.LAST_PART_SQL} END AS last_part",
         )
         .selectExpr("*", f"CASE WHEN is_name THEN {_DESCRIBED} END AS in_scope")
+        .selectExpr("* EXCEPT (qualifier, parts, last_part)", f"{_TOLD} AS told")
+        .selectExpr("* EXCEPT (told)", "told.of AS qualifier", "told.col AS col_name")
         .selectExpr(
             "*",
             """CASE WHEN qualifier IS NULL THEN in_scope
@@ -100,7 +111,7 @@ def token_links(statements: DataFrame, with_else: bool = False) -> DataFrame:
     value = f"""
         CASE WHEN seen IS NOT NULL THEN seen
              WHEN base IS NOT NULL THEN base
-             WHEN role = 'ref' THEN {packed("branch_scope", "NULL", "NULL", T.LAST_PART_SQL)}
+             WHEN role = 'ref' THEN {packed("branch_scope", "NULL", "NULL", "col_name")}
              WHEN role = 'call' THEN {packed("concat(stmt_scope, '@', pos)", "NULL", "NULL", "concat(tok, '()')")}
              WHEN role = 'literal' THEN {packed(item_scope, "NULL", "NULL", f"lower({T.UNQUOTED_SQL})")} END"""
     table = packed("CASE WHEN relation.db IS NULL THEN branch_scope END", "relation.db", "relation.tbl", "NULL")
@@ -111,8 +122,8 @@ def token_links(statements: DataFrame, with_else: bool = False) -> DataFrame:
             f"{onward} AS onward",
             f"CASE WHEN n_branches > 1 THEN {joint} END AS joint",
             f"{packed(item_scope, 'NULL', 'NULL', 'out_name')} AS output",
-            f"CASE WHEN is_name AND owner IS NOT NULL THEN {packed('owner.scope', 'owner.db', 'owner.tbl', T.LAST_PART_SQL)} END AS base",
-            f"CASE WHEN is_name AND owner.alias IS NOT NULL THEN {packed('branch_scope', 'NULL', 'owner.alias', T.LAST_PART_SQL)} END AS seen",
+            f"CASE WHEN is_name AND owner IS NOT NULL THEN {packed('owner.scope', 'owner.db', 'owner.tbl', 'col_name')} END AS base",
+            f"CASE WHEN is_name AND owner.alias IS NOT NULL THEN {packed('branch_scope', 'NULL', 'owner.alias', 'col_name')} END AS seen",
             f"CASE WHEN relation.tbl IS NOT NULL THEN {table} END AS table",
             "ends_item AND NOT is_plain AND role IS NOT NULL AS ends_output",
         )

@@ -25,17 +25,29 @@ def full_key_merge(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 def full_chain_on_first(tables: list[DataFrame], key: str) -> DataFrame:
     """Full outer joins of all tables on the first one's key alone.
 
-    Rows that only later tables have stay apart, each under a null key.
+    Rows that only later tables have stay apart, each under a null key. Rows with a null key match nothing;
+    they are dealt by a hash of their values, or they would all meet in one task of the next join.
     """
     first, *rest = tables
 
+    def dealt(rows: DataFrame, by: str) -> DataFrame:
+        return rows.withColumn("_deal", F.when(F.col(by).isNull(), F.xxhash64(*(F.col(f"`{c}`") for c in rows.columns))).otherwise(F.lit(0)))
+
     def attach(joined: DataFrame, nxt: DataFrame) -> DataFrame:
-        other = nxt.withColumnRenamed(key, "_key")
-        return joined.join(other, F.col(key) == F.col("_key"), "full").drop("_key")
+        left, right = dealt(joined, key), dealt(nxt.withColumnRenamed(key, "_key"), "_key").withColumnRenamed("_deal", "_dealt")
+        return left.join(right, (F.col(key) == F.col("_key")) & (F.col("_deal") == F.col("_dealt")), "full").drop("_key", "_deal", "_dealt")
 
     return reduce(attach, rest, first)
 
 
+def product(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Every row of the one with every row of the other, for relations listed without a condition.
+
+    The smaller side is broadcast if Spark's own estimate of its size allows it; else both sides are cut into parts that meet pairwise.
+    """
+    return left.crossJoin(right)
+
+
 def latest_rows(rows: DataFrame, key: str, at: str) -> DataFrame:
     """Rows whose ``at`` is the largest of their key.
 

@@ -37,12 +37,12 @@ STATEMENT = f"""CASE o_orderkey % 5
   WHEN 0 THEN concat('DROP TABLE IF EXISTS mart.t', {KEY})
   WHEN 1 THEN concat('CREATE TABLE mart.t', {KEY}, ' AS SELECT a.k AS id, MAX(b.v) AS m FROM raw.s', {CUST}, ' a INNER JOIN mart.t', {HALF}, ' b ON (a.k = b.id) WHERE b.w > 3 GROUP BY a.k')
   WHEN 2 THEN concat('CREATE TABLE mart.t', {KEY}, ' AS SELECT id, CASE WHEN m IS NULL THEN n ELSE p END AS q FROM raw.s', {CUST})
-  WHEN 3 THEN concat('INSERT INTO mart.t', {KEY}, ' SELECT b.id, concat(''001_'', b.id) AS k2 FROM raw.s', {CUST}, ' b')
-  ELSE concat('SELECT U.A, u.b FROM raw.s', {CUST}, ' U, nofacts') END"""
+  WHEN 3 THEN concat('INSERT INTO mart.t', {KEY}, ' SELECT b.id, replace(b.id, ''ord-'') AS k2 FROM raw.s', {CUST}, ' b')
+  ELSE concat('SELECT W.Cost, w.qty FROM raw.s', {CUST}, ' W, nofacts') END"""
 
 NESTED = f"""CASE WHEN o_orderkey % 2 = 0
-  THEN concat('CREATE TABLE a.f', {KEY}, ' AS SELECT id FROM (SELECT id FROM b.s', {CUST}, ' UNION SELECT key FROM c.z) u')
-  ELSE concat('CREATE TABLE a.f', {KEY}, ' AS SELECT concat(x.id, x.b) AS k FROM (SELECT DISTINCT n.id, n.b FROM b.s', {CUST}, ' n WHERE n.c IN (1,2) ORDER BY n.d) x') END"""
+  THEN concat('CREATE TABLE a.f', {KEY}, ' AS SELECT part FROM (SELECT part FROM b.s', {CUST}, ' UNION SELECT piece FROM c.z) u')
+  ELSE concat('CREATE TABLE a.f', {KEY}, ' AS SELECT greatest(x.lot, x.bin) AS k FROM (SELECT DISTINCT n.lot, n.bin FROM b.s', {CUST}, ' n WHERE n.bay IN (1,2) ORDER BY n.aisle) x') END"""
 
 EXPRESSIONS = f"""CASE o_orderkey % 6
   WHEN 0 THEN concat('SELECT a.x IN (1, 2, ', {KEY}, ') AS hit, r.y FROM raw.s', {CUST}, ' a, raw.r')
@@ -52,6 +52,12 @@ EXPRESSIONS = f"""CASE o_orderkey % 6
   WHEN 4 THEN concat('SELECT CASE a.w WHEN ''O'' THEN a.x WHEN ''N'' THEN a.y ELSE a.z END AS c, a.x + 1 FROM raw.s', {CUST}, ' a')
   ELSE concat('MERGE INTO mart.t', {KEY}, ' USING raw.s', {CUST}) END"""
 
+BRACKETED = f"""CASE o_orderkey % 4
+  WHEN 0 THEN concat('INSERT INTO mart.t', {KEY}, ' SELECT g.net FROM (raw.s', {CUST}, ' JOIN raw.r ON s', {CUST}, '.k = r.k) g')
+  WHEN 1 THEN concat('SELECT p.net, r.fee FROM (raw.s', {CUST}, ' p LEFT JOIN raw.r ON p.k = r.k)')
+  WHEN 2 THEN concat('SELECT p.net, q.fee, r.tax FROM raw.s', {CUST}, ' p JOIN (raw.q JOIN raw.r ON q.k = r.k) ON p.k = q.k')
+  ELSE concat('SELECT d.net, h.fee FROM raw.d, ((raw.s', {CUST}, ' JOIN (SELECT fee FROM raw.q) x) JOIN raw.r) h') END"""
+
 SCOPES = f"""CASE WHEN o_orderkey % 2 = 0
   THEN concat('SELECT x.c', {_s('o_orderkey % 3')}, ' FROM raw.s', {CUST}, ' x')
   ELSE concat('SELECT c', {_s('o_orderkey % 3')}, ', d FROM raw.s', {CUST}, ', raw.s', {_s('o_custkey + 1')}) END"""
@@ -130,6 +136,7 @@ statements, STATEMENTS_SQL = _of_orders(STATEMENT)
 nested, NESTED_SQL = _of_orders(NESTED)
 expressions, EXPRESSIONS_SQL = _of_orders(EXPRESSIONS)
 scopes, SCOPES_SQL = _of_orders(SCOPES)
+bracketed, BRACKETED_SQL = _of_orders(BRACKETED)
 ddl, DDL_SQL = _of_customers(DDL)
 star_statements, STAR_STATEMENTS_SQL = _of_customers(STARS)
 

@@ -60,7 +60,7 @@ _SEEN = {
     1: [(_column_of(_S, "k"),), (_column_of(_H, "v"),), (_column_of(_T, "id"),), (_column_of(_T, "m"),)],
     2: [(_column_of(_S, c),) for c in ("id", "m", "n")] + [(_column_of(_T, c),) for c in ("id", "q")],
     3: [(_column_of(_S, "id"),), (_column_of(_T, "id"),), (_column_of(_T, "k2"),)],
-    4: [(_column_of(_S, "a"),), (_column_of(_S, "b"),)],
+    4: [(_column_of(_S, "cost"),), (_column_of(_S, "qty"),)],
 }
 
 
@@ -78,7 +78,7 @@ def catalog_columns(spark, folder):
 _QUALIFIED = {
     1: [(_column_of(_S, "k"), "'a.k'"), (_column_of(_H, "v"), "'b.v'")],
     3: [(_column_of(_S, "id"), "'b.id'")],
-    4: [(_column_of(_S, "a"), "'u.a'"), (_column_of(_S, "b"), "'u.b'")],
+    4: [(_column_of(_S, "cost"), "'w.cost'"), (_column_of(_S, "qty"), "'w.qty'")],
 }
 
 
@@ -147,8 +147,8 @@ def copy_schema_like(spark, folder):
 _SCOPED = {
     1: [("'table'", "'a'"), ("'table'", "'b'"), ("'column'", "'a.k'"), ("'column'", "'b.v'"), ("'column'", "'max()'"), ("'column'", "'m'"), ("'column'", "'id'")],
     2: [("'column'", "'q'")],
-    3: [("'table'", "'b'"), ("'column'", "'b.id'"), ("'column'", "'concat()'"), ("'column'", "'001_'"), ("'column'", "'k2'")],
-    4: [("'table'", "'u'"), ("'table'", "'nofacts'"), ("'column'", "'u.a'"), ("'column'", "'u.b'")],
+    3: [("'table'", "'b'"), ("'column'", "'b.id'"), ("'column'", "'replace()'"), ("'column'", "'ord-'"), ("'column'", "'k2'")],
+    4: [("'table'", "'w'"), ("'table'", "'nofacts'"), ("'column'", "'w.cost'"), ("'column'", "'w.qty'")],
 }
 
 
@@ -190,18 +190,54 @@ def contains_edges(spark, folder):
     f"""SELECT {_T} AS name FROM orders WHERE o_orderkey % 5 IN (1, 2, 3)
         UNION ALL SELECT 'nofacts' FROM orders WHERE o_orderkey % 5 = 4
         UNION ALL SELECT {_S} FROM orders WHERE o_orderkey % 5 > 0
-        UNION ALL SELECT {_H} FROM orders WHERE o_orderkey % 5 = 1""",
+        UNION ALL SELECT {_H} FROM orders WHERE o_orderkey % 5 = 1
+        UNION ALL SELECT DISTINCT name FROM ({_rows(_SEEN, ('name',))})
+        UNION ALL SELECT DISTINCT split_part(name, '.', 1) FROM ({_rows(_SEEN, ('name',))})""",
 )
 def full_names(spark, folder):
+    """Each mention of a table, and every column and database of the catalog once."""
     statements = fx.statements(spark, folder)
     named = source_relations(statements).select("db", "tbl").unionByName(statement_targets(statements).select("db", "tbl"))
-    return named.select(full_name(F.col("db"), F.col("tbl")).alias("name"))
+    columns = materialize(_columns(statements).where("scope is null"))
+    mentions = named.select(full_name(F.col("db"), F.col("tbl")).alias("name"))
+    of_columns = columns.select(full_name(F.col("db"), F.col("tbl"), F.col("col")).alias("name"))
+    return mentions.unionByName(of_columns).unionByName(columns.select(F.col("db").alias("name")).distinct())
+
+
+def _bracketed(*rows: tuple[int, str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT o_orderkey AS stmt_id, {tbl} AS tbl, {name} AS answers_to FROM orders WHERE o_orderkey % 4 = {form}" for form, tbl, name in rows)
+
+
+@query(
+    "bracketed_relations",
+    _bracketed(
+        (0, _S, "'g'"), (0, "'raw.r'", "'g'"), (1, _S, "'p'"), (1, "'raw.r'", "'r'"), (2, _S, "'p'"), (2, "'raw.q'", "'q'"), (2, "'raw.r'", "'r'"),
+        (3, "'raw.d'", "'d'"), (3, _S, "'h'"), (3, "''", "'h'"), (3, "'raw.q'", "'q'"), (3, "'raw.r'", "'h'"),
+    ),
+)
+def bracketed_relations(spark, folder):
+    """Relations inside brackets of FROM clauses, and the name each answers to: that of the outermost named bracket, else its own."""
+    found = source_relations(fx.bracketed(spark, folder))
+    return found.select("stmt_id", full_name(F.col("db"), F.col("tbl")).alias("tbl"), F.coalesce("group_alias", "alias", "tbl").alias("answers_to"))
+
+
+@query(
+    "bracketed_owners",
+    _rows(
+        {0: [(_column_of(_S, "net"), "'g.net'")], 1: [(_column_of(_S, "net"), "'p.net'")], 2: [(_column_of(_S, "net"), "'p.net'")], 3: [(_column_of(_S, "fee"), "'h.fee'")]},
+        ("base", "seen"), 4,
+    ),
+)
+def bracketed_owners(spark, folder):
+    """Which base column stands behind a name that goes through brackets: the first relation of a named one."""
+    found = with_full_names(_links(fx.bracketed(spark, folder)).where("rule = 'alias' AND dst IS NOT NULL"))
+    return found.select("stmt_id", F.col("src").alias("base"), F.col("dst").alias("seen")).distinct()
 
 
 _VALUE = {
     1: [("'a.k'", "'id'"), ("'b.v'", "'max()'"), ("'max()'", "'m'")],
     2: [(_column_of(_S, "id"), _column_of(_T, "id")), (_column_of(_S, "m"), "'q'"), (_column_of(_S, "n"), "'q'")],
-    3: [("'b.id'", _column_of(_T, "id")), ("'b.id'", "'concat()'"), ("'001_'", "'concat()'"), ("'concat()'", "'k2'")],
+    3: [("'b.id'", _column_of(_T, "id")), ("'b.id'", "'replace()'"), ("'ord-'", "'replace()'"), ("'replace()'", "'k2'")],
 }
 _ALIAS = {form: [(base, seen) for base, seen in rows] for form, rows in _QUALIFIED.items()}
 _INTO_TARGET = {
@@ -242,8 +278,8 @@ def lineage_aggregate(spark, folder):
 @query(
     "lineage_derived_table",
     _rows(
-        {0: [("'id'", "'u.id'"), ("'u.id'", "concat('a.f', o_orderkey, '.id')")],
-         1: [("'n.id'", "'x.id'"), ("'n.b'", "'x.b'"), ("'x.id'", "'concat()'"), ("'x.b'", "'concat()'")]},
+        {0: [("'part'", "'u.part'"), ("'u.part'", "concat('a.f', o_orderkey, '.part')")],
+         1: [("'n.lot'", "'x.lot'"), ("'n.bin'", "'x.bin'"), ("'x.lot'", "'greatest()'"), ("'x.bin'", "'greatest()'")]},
         ("src", "dst"), 2,
     ),
 )
@@ -254,7 +290,7 @@ def lineage_derived_table(spark, folder):
 
 @query(
     "lineage_union",
-    _rows({0: [("concat('b.s', o_custkey, '.id')", "'id'"), ("'c.z.key'", "'id'"), ("'id'", "'u.id'")]}, ("src", "dst"), 2),
+    _rows({0: [("concat('b.s', o_custkey, '.part')", "'part'"), ("'c.z.piece'", "'part'"), ("'part'", "'u.part'")]}, ("src", "dst"), 2),
 )
 def lineage_union(spark, folder):
     links = _links(fx.nested(spark, folder)).where("src.scope LIKE '%/u/%' OR dst.scope LIKE '%/u/%'")
@@ -263,7 +299,7 @@ def lineage_union(spark, folder):
 
 @query(
     "lineage_passthrough",
-    _rows({0: [("'id'", "'u.id'")], 1: [("'n.id'", "'x.id'"), ("'n.b'", "'x.b'")]}, ("src", "dst"), 2),
+    _rows({0: [("'part'", "'u.part'")], 1: [("'n.lot'", "'x.lot'"), ("'n.bin'", "'x.bin'")]}, ("src", "dst"), 2),
 )
 def lineage_passthrough(spark, folder):
     links = _links(fx.nested(spark, folder)).where("dst.scope LIKE '%/d%'")

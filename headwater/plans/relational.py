@@ -128,6 +128,12 @@ def cross_join(spark, folder):
     return customer.join(nation).where(F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
 
 
+@query("cross_product", "SELECT r_name, n_name FROM region, nation")
+def cross_product(spark, folder):
+    """Relations listed with a comma and no condition: a product."""
+    return rel.product(table(spark, folder, "region").select("r_name"), table(spark, folder, "nation").select("n_name"))
+
+
 @query(
     "group_sum_avg",
     f"""SELECT l_returnflag, l_linestatus, {_sum_sql('l_extendedprice')} AS sum_price, {_sum_sql('l_quantity')} AS sum_qty,

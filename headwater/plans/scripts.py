@@ -156,7 +156,7 @@ def statement_targets(spark, folder):
 
 
 _RELATIONS_SQL = """rel AS (
-  SELECT o_orderkey AS stmt_id, 'raw' AS db, concat('s', o_custkey) AS tbl, CASE o_orderkey % 5 WHEN 1 THEN 'a' WHEN 3 THEN 'b' WHEN 4 THEN 'u' END AS alias
+  SELECT o_orderkey AS stmt_id, 'raw' AS db, concat('s', o_custkey) AS tbl, CASE o_orderkey % 5 WHEN 1 THEN 'a' WHEN 3 THEN 'b' WHEN 4 THEN 'w' END AS alias
   FROM orders WHERE o_orderkey % 5 > 0
   UNION ALL SELECT o_orderkey, 'mart', concat('t', CAST(floor(o_orderkey / 2) AS BIGINT)), 'b' FROM orders WHERE o_orderkey % 5 = 1
   UNION ALL SELECT o_orderkey, NULL, 'nofacts', NULL FROM orders WHERE o_orderkey % 5 = 4)"""
@@ -181,7 +181,7 @@ def scope_aliases(spark, folder):
 
 _ITEMS_SQL = """items AS (
   SELECT o_orderkey AS stmt_id, i AS item_no,
-    CASE o_orderkey % 5 WHEN 1 THEN ['id', 'm'] WHEN 2 THEN ['id', 'q'] WHEN 3 THEN ['id', 'k2'] ELSE ['a', 'b'] END[i + 1] AS out_name
+    CASE o_orderkey % 5 WHEN 1 THEN ['id', 'm'] WHEN 2 THEN ['id', 'q'] WHEN 3 THEN ['id', 'k2'] ELSE ['cost', 'qty'] END[i + 1] AS out_name
   FROM orders, (VALUES (0), (1)) t(i) WHERE o_orderkey % 5 > 0)"""
 
 
@@ -219,7 +219,7 @@ def _refs(*found: tuple[int, str | None, str]) -> list[tuple]:
     "column_references",
     _by_form(
         {1: _refs((0, "a", "k"), (1, "b", "v")), 2: _refs((0, None, "id"), (1, None, "m"), (1, None, "n")),
-         3: _refs((0, "b", "id"), (1, "b", "id")), 4: _refs((0, "u", "a"), (1, "u", "b"))},
+         3: _refs((0, "b", "id"), (1, "b", "id")), 4: _refs((0, "w", "cost"), (1, "w", "qty"))},
         5, "item_no, qualifier, name",
     ),
 )
@@ -227,7 +227,7 @@ def column_references(spark, folder):
     return facts.item_references(fx.statements(spark, folder)).where("role = 'ref'").select("stmt_id", "item_no", "qualifier", "name")
 
 
-@query("function_references", _by_form({1: [(1, "'max()'")], 3: [(1, "'concat()'")]}, 5, "item_no, name"))
+@query("function_references", _by_form({1: [(1, "'max()'")], 3: [(1, "'replace()'")]}, 5, "item_no, name"))
 def function_references(spark, folder):
     return facts.item_references(fx.statements(spark, folder)).where("role = 'call'").select("stmt_id", "item_no", "name")
 
@@ -255,7 +255,7 @@ def case_roles(spark, folder):
     "value_only_filter",
     _by_form(
         {1: [(_q("a"), _q("k")), (_q("b"), _q("v"))], 2: [(_q(None), _q(n)) for n in ("id", "m", "n")],
-         3: [(_q("b"), _q("id"))] * 2, 4: [(_q("u"), _q("a")), (_q("u"), _q("b"))]},
+         3: [(_q("b"), _q("id"))] * 2, 4: [(_q("w"), _q("cost")), (_q("w"), _q("qty"))]},
         5, "qualifier, name",
     ),
 )
