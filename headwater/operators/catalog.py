@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from headwater.functions.text import full_name
 from headwater.operators.blocks import tokenize_statements, with_neighbours, with_openers
-from headwater.operators.facts import like_statements, schema_statements
-from headwater.operators.lineage import MARK, PARTS
+from headwater.operators.facts import like_statements, schema_statements, select_items, statement_targets
+from headwater.operators.lineage import MARK, PARTS, PLACE
 from headwater.operators.skew import lookup_join
 from headwater.session import materialize, shuffle_width
 
@@ -30,7 +30,7 @@ def vertex_kind(v: str) -> Column:
 
 
 def declared_columns(statements: DataFrame) -> DataFrame:
-    """``columns(stmt_id, seq, db, tbl, col)`` written out in CREATE TABLE statements.
+    """``columns(stmt_id, seq, db, tbl, col, pos)`` written out in CREATE TABLE statements, ``pos`` giving their order.
 
     A column name is the first word of an entry in the bracket that follows the table
     name, or in the one that follows PARTITIONED BY.
@@ -43,7 +43,51 @@ def declared_columns(statements: DataFrame) -> DataFrame:
     tokens = tokens.withColumn("angle", F.expr(angle))
     listed = "open.prev = concat_ws('.', db, tbl) OR (open.prev = 'by' AND open.prev2 = 'partitioned')"
     named = tokens.where(f"level = 1 AND angle = 0 AND kind = 'word' AND prev IN ('(', ',') AND ({listed})")
-    return named.selectExpr("stmt_id", "seq", "db", "tbl", "tok AS col")
+    return named.selectExpr("stmt_id", "seq", "db", "tbl", "tok AS col", "pos")
+
+
+def table_schemas(statements: DataFrame) -> DataFrame:
+    """``(db, tbl, seq, place, col)``: the columns of tables in their order, from each statement that lays them out.
+
+    CREATE TABLE with columns, CREATE TABLE … AS with a list that has no star, and LIKE, which takes the layout that its
+    source has by then. Copies of copies are looked up in rounds until none changes; each has a later ``seq``, so that ends.
+    """
+    statements = statements.select("stmt_id", "seq", "sql")
+    in_order = Window.partitionBy("stmt_id").orderBy("pos")
+    declared = declared_columns(statements).withColumn("place", F.row_number().over(in_order) - 1)
+    made = statement_targets(statements).where("kind = 'ctas'").select("stmt_id", "db", "tbl")
+    items = select_items(statements).where("block_id = -1 AND branch = 0")
+    named = items.groupBy("stmt_id").agg(F.collect_list(F.struct(F.col("item_no").alias("place"), F.col("out_name").alias("col"))).alias("items"), F.expr("bool_or(is_star)").alias("star"))
+    selected = named.where("NOT star").join(made, "stmt_id").join(statements.select("stmt_id", "seq"), "stmt_id").select("db", "tbl", "seq", F.expr("inline(items)"))
+    written = declared.select("db", "tbl", "seq", "place", "col").unionByName(selected).where("db IS NOT NULL")
+    layout = F.array_sort(F.collect_list(F.struct("place", "col"))).alias("layout")
+    written = materialize(written.groupBy("db", "tbl", "seq").agg(layout))
+    likes = materialize(like_edges(statements).where("db IS NOT NULL AND source_db IS NOT NULL").select("db", "tbl", "seq", "source_db", "source_tbl"))
+    if likes.isEmpty():
+        return written.selectExpr("db", "tbl", "seq", "inline(layout)")
+    known, last = written, None
+    while True:
+        source = known.select(F.col("db").alias("source_db"), F.col("tbl").alias("source_tbl"), F.col("seq").alias("since"), "layout")
+        then = likes.join(source, ["source_db", "source_tbl"]).where("since < seq")
+        copies = then.groupBy("db", "tbl", "seq").agg(F.max_by("layout", "since").alias("layout"))
+        known = materialize(written.unionByName(copies))
+        now = known.agg(F.count("*").alias("n"), F.sum(F.xxhash64("db", "tbl", "seq", "layout").cast("decimal(38,0)")).alias("sum")).first()
+        if now == last:
+            return known.selectExpr("db", "tbl", "seq", "inline(layout)")
+        last = now
+
+
+def place_columns(links: DataFrame, schemas: DataFrame) -> DataFrame:
+    """Links read ``by_place`` with real columns: the one at the item's place in the layout in force, else that of the item's name."""
+    marked = links.withColumn("told", F.when(F.startswith("dst.col", F.lit(PLACE)), F.split("dst.col", PLACE)))
+    asked = materialize(marked.where("told IS NOT NULL").select(F.col("dst.db").alias("db"), F.col("dst.tbl").alias("tbl"), F.col("seq").alias("at"), F.col("told")[1].cast("int").alias("place")).where("db IS NOT NULL").distinct())
+    # The layout in force is the last one before the statement.
+    laid = asked.select("db", "tbl", "at").distinct().join(schemas.select("db", "tbl", "seq").distinct(), ["db", "tbl"]).where("seq < at").groupBy("db", "tbl", "at").agg(F.max("seq").alias("seq"))
+    placed = asked.join(laid, ["db", "tbl", "at"]).join(schemas, ["db", "tbl", "seq", "place"]).select(F.struct("db", "tbl").alias("of"), F.col("at").alias("seq"), "place", F.col("col").alias("placed"))
+    named = marked.withColumns({"of": F.struct("dst.db", "dst.tbl"), "place": F.col("told")[1].cast("int")}).join(placed, ["of", "seq", "place"], "left")
+    col = F.coalesce("placed", F.col("told")[2], "dst.col").alias("col")
+    dst = F.when(F.col("dst").isNotNull(), F.struct("dst.scope", "dst.db", "dst.tbl", col))
+    return named.withColumn("dst", dst).select(*links.columns)
 
 
 def like_edges(statements: DataFrame) -> DataFrame:
@@ -53,11 +97,12 @@ def like_edges(statements: DataFrame) -> DataFrame:
     )
 
 
-def copy_schema_like(columns: DataFrame, likes: DataFrame) -> DataFrame:
+def copy_schema_like(columns: DataFrame, likes: DataFrame, since: DataFrame | None = None) -> DataFrame:
     """Add the columns that CREATE … LIKE copies: those the source has by then, unlinked.
 
     A copy may be copied again later, so this goes on until a round adds nothing; each
-    step along a chain has a later ``seq``, so it ends.
+    step along a chain has a later ``seq``, so it ends. ``since``: the columns to start from, where the copies of
+    all others are among ``columns`` already.
     """
     step = likes.select(
         F.col("source_db").alias("s_db"), F.col("source_tbl").alias("s_tbl"), "db", "tbl", F.col("seq").alias("like_seq")
@@ -65,7 +110,7 @@ def copy_schema_like(columns: DataFrame, likes: DataFrame) -> DataFrame:
     step = materialize(step.where("s_db is not null and db is not null"))
     if step.isEmpty():
         return columns
-    fresh = columns.where("scope is null and col <> '*'").select("db", "tbl", "col", "first_seq")
+    fresh = (columns if since is None else since).where("scope is null and col <> '*'").select("db", "tbl", "col", "first_seq")
     added = None
     while True:
         copied = (
@@ -118,6 +163,26 @@ def settle_loose(links: DataFrame, columns: DataFrame) -> DataFrame:
     return outcome.withColumn("owner", F.when(F.col("n_owners") == 1, F.col("owner")))
 
 
+def column_key() -> Column:
+    """One string per column of ``columns(scope, db, tbl, col)``."""
+    return F.concat_ws(MARK, table_key(F.col("scope"), F.col("db"), F.col("tbl")), "col")
+
+
+def columns_since(columns: DataFrame, before: DataFrame) -> DataFrame:
+    """Columns that ``before`` does not have, or has from a later statement on."""
+    old = before.select(column_key().alias("key"), F.col("first_seq").alias("old_seq"))
+    found = columns.withColumn("key", column_key()).join(old, "key", "left")
+    return found.where("old_seq IS NULL OR old_seq > first_seq").drop("key", "old_seq")
+
+
+def asked_again(links: DataFrame, changed: DataFrame) -> DataFrame:
+    """The open links of which a candidate has got its column, by then, among ``changed`` columns."""
+    open_ = links.where("candidates IS NOT NULL")
+    each = open_.select("src", "seq", F.explode("candidates").alias("t")).withColumn("key", F.concat_ws(MARK, table_key(F.col("t.scope"), F.col("t.db"), F.col("t.tbl")), "src.col"))
+    met = each.join(changed.select(column_key().alias("key"), "first_seq"), "key").where("first_seq <= seq")
+    return open_.join(met.select("src").distinct(), "src", "left_semi")
+
+
 def apply_settled(links: DataFrame, settled: DataFrame) -> DataFrame:
     """Links with the settled owners in place of the loose names."""
     sure = links.where("candidates is null").drop("candidates")

@@ -117,10 +117,14 @@ def statement_targets(statements: DataFrame) -> DataFrame:
     return named.select("stmt_id", "kind", "db", "tbl", *_name_parts(F.col("source"), "source_"))
 
 
-def select_tokens(statements: DataFrame) -> DataFrame:
-    """Tokens of readable statements with relations and select-list roles marked."""
+def select_tokens(statements: DataFrame, by_place: bool = False) -> DataFrame:
+    """Tokens of readable statements with relations and select-list roles marked.
+
+    ``by_place`` adds a column of that name: whether the statement fills a table.
+    """
     order = ["seq"] if "seq" in statements.columns else []
-    query = readable(statements).select("stmt_id", *order, "target_db", "target_tbl", "sql")
+    fills = [_fits(F.col("sql"), _INSERT).alias("by_place")] if by_place else []
+    query = readable(statements).select("stmt_id", *order, "target_db", "target_tbl", *fills, "sql")
     return with_roles(nest_blocks(query))
 
 
@@ -156,6 +160,7 @@ def with_items(tokens: DataFrame) -> DataFrame:
             "*",
             f"collect_list(relation) OVER ({BY_BLOCK} {WHOLE}) AS block_relations",
             f"max(branch) OVER ({BY_BLOCK} {WHOLE}) + 1 AS n_branches",
+            f"min(CASE WHEN role = 'star' THEN item_no END) OVER ({BY_BLOCK} {WHOLE}) AS first_star",
         )
         .selectExpr("* EXCEPT (block_relations)", in_scope)
         .selectExpr(
@@ -178,8 +183,8 @@ def with_calls(items: DataFrame) -> DataFrame:
     return items.selectExpr("*", f"last({opener}, true) OVER ({by_depth}) AS call")
 
 
-def item_tokens(statements: DataFrame) -> DataFrame:
-    return with_calls(with_items(select_tokens(statements)))
+def item_tokens(statements: DataFrame, by_place: bool = False) -> DataFrame:
+    return with_calls(with_items(select_tokens(statements, by_place)))
 
 
 def select_items(statements: DataFrame) -> DataFrame:

@@ -73,12 +73,13 @@ def distinct_edges(edges: DataFrame) -> DataFrame:
     return edges.dropDuplicates(["src", "dst"])
 
 
-def reach(edges: DataFrame, seeds: DataFrame, direction: str = "down", at_least: int = HOT_ROWS) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame, direction: str = "down", at_least: int = HOT_ROWS, known: DataFrame | None = None) -> DataFrame:
     """All nodes that can be reached from the seeds, the seeds included, as ``(node, …, hops)``.
 
     ``seeds`` has ``node`` and any further columns, which travel along unchanged. A node is
     entered once per value of them, so cycles end. Edges are laid out once by their near
-    end, hubs spread over several tasks; later rounds only move the frontier.
+    end, hubs spread over several tasks; later rounds only move the frontier. ``known``: rows of an earlier
+    result; they are part of this one and are not entered again, and nothing is walked from them.
     """
     load = [c for c in seeds.columns if c != "node"]
     keys = ["node", *load]
@@ -99,6 +100,8 @@ def reach(edges: DataFrame, seeds: DataFrame, direction: str = "down", at_least:
     # visited rows are stored in, so a round shuffles the newly met rows and nothing else.
     entered = seeds.select(*keys).distinct()
     seen: list[DataFrame] = []
+    if known is not None:
+        seen.append(materialize_layout(known.select(*keys, "hops").repartition(width, *keys), width)[0])
     for hops in count():
         if seen:
             known = reduce(DataFrame.union, [s.select(*keys) for s in seen])

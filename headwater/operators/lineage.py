@@ -50,7 +50,7 @@ _TOLD = r"""CASE WHEN role = 'ref' AND qualifier IS NOT NULL AND NOT exists(in_s
     ELSE named_struct('of', qualifier, 'col', last_part) END"""
 
 
-def _owned_rows(statements: DataFrame, live: str) -> DataFrame:
+def _owned_rows(statements: DataFrame, live: str, by_place: bool) -> DataFrame:
     """Live tokens, each with the relation that owns it: one row per relation for a star.
 
     ``owner`` is null where the token is no reference or its owner is not sure;
@@ -61,7 +61,7 @@ def _owned_rows(statements: DataFrame, live: str) -> DataFrame:
              WHEN qualifier IS NOT NULL THEN slice(owners, 1, 1) END"""
     open_ = "role = 'ref' AND qualifier IS NULL AND size(owners) > 1"
     return (
-        item_tokens(statements)
+        item_tokens(statements, by_place)
         .where(f"{live} AND (role IN ('ref', 'star', 'call', 'literal') OR ends_item OR relation IS NOT NULL)")
         .selectExpr(
             "*",
@@ -89,18 +89,24 @@ def _owned_rows(statements: DataFrame, live: str) -> DataFrame:
     )
 
 
-def token_links(statements: DataFrame, with_else: bool = False) -> DataFrame:
+# Between the marks stands the number of the item that fills a column, behind them the name it has.
+PLACE = "\u0002"
+
+
+def token_links(statements: DataFrame, with_else: bool = False, by_place: bool = False) -> DataFrame:
     """``links(stmt_id, seq, rule, src, dst, candidates)`` of every readable statement.
 
-    A link without ``dst`` only says that its ``src`` is mentioned.
+    A link without ``dst`` only says that its ``src`` is mentioned. ``by_place``: a column that INSERT fills is named by the
+    item's number and name, for ``catalog.place_columns`` to turn into the column at that place; items behind a star keep their names.
     """
     # Where a select item's value goes next: onto the union, the derived table or the target.
     flow_name = "CASE WHEN n_branches > 1 THEN first_name ELSE out_name END"
+    target_name = f"CASE WHEN by_place AND coalesce(item_no < first_star, true) THEN concat('{PLACE}', item_no, '{PLACE}', {flow_name}) ELSE {flow_name} END" if by_place else flow_name
     onward = f"""
         CASE WHEN block_id >= 0
              THEN {packed("concat(stmt_scope, '/d', block_id)", "NULL", f"coalesce(block_alias, '{UNNAMED_DERIVED}')", flow_name)}
              WHEN target_tbl IS NOT NULL
-             THEN {packed("CASE WHEN target_db IS NULL THEN stmt_scope END", "target_db", "target_tbl", flow_name)} END"""
+             THEN {packed("CASE WHEN target_db IS NULL THEN stmt_scope END", "target_db", "target_tbl", target_name)} END"""
     joint = packed("concat(stmt_scope, '/', block_id, '/u/', item_no)", "NULL", "NULL", "first_name")
     item_scope = "concat(branch_scope, '/', item_no)"
     # What the token itself feeds: the call around it, else the item's output, else straight on.
@@ -116,7 +122,7 @@ def token_links(statements: DataFrame, with_else: bool = False) -> DataFrame:
              WHEN role = 'literal' THEN {packed(item_scope, "NULL", "NULL", f"lower({T.UNQUOTED_SQL})")} END"""
     table = packed("CASE WHEN relation.db IS NULL THEN branch_scope END", "relation.db", "relation.tbl", "NULL")
     ends = (
-        _owned_rows(statements, "skip = else_depth" if with_else else "skip = 0")
+        _owned_rows(statements, "skip = else_depth" if with_else else "skip = 0", by_place)
         .selectExpr(
             "*",
             f"{onward} AS onward",

@@ -27,6 +27,22 @@ def expand_stars(star_edges: DataFrame, columns: DataFrame) -> DataFrame:
     return walked.select(F.col("node").alias("tbl"), "col", (F.col("hops") > 0).alias("inherited"))
 
 
+def expand_more(star_edges: DataFrame, columns: DataFrame, more_edges: DataFrame, owned: DataFrame) -> DataFrame:
+    """What ``expand_stars`` gives after columns and edges were added to those behind ``owned``, its earlier result.
+
+    ``star_edges`` are all edges; ``columns`` and ``more_edges`` are the added ones. Only columns that a table did not own
+    before walk on.
+    """
+    given = columns.where("col <> '*'").select("tbl", "col").distinct()
+    crossed = more_edges.select(F.col("src_tbl").alias("tbl"), "dst_tbl").join(owned.select("tbl", "col"), "tbl").select(F.col("dst_tbl").alias("node"), "col")
+    seeds = given.select(F.col("tbl").alias("node"), "col").union(crossed)
+    edges = star_edges.select(F.col("src_tbl").alias("src"), F.col("dst_tbl").alias("dst"))
+    known = owned.select(F.col("tbl").alias("node"), "col", F.lit(0).alias("hops"))
+    walked = reach(edges, seeds, "down", known=known)
+    flags = owned.unionByName(walked.select(F.col("node").alias("tbl"), "col", F.lit(True).alias("inherited"))).unionByName(given.withColumn("inherited", F.lit(False)))
+    return flags.groupBy("tbl", "col").agg(F.expr("bool_and(inherited)").alias("inherited"))
+
+
 def star_column_edges(star_edges: DataFrame, owned: DataFrame) -> DataFrame:
     """Column edges that take the place of the star edges."""
     source = owned.select(F.col("tbl").alias("src_tbl"), "col")

@@ -67,6 +67,11 @@ DDL = f"""CASE c_custkey % 3
   WHEN 1 THEN concat('CREATE TABLE db.d', {_s('c_custkey')}, ' LIKE db.d', {_s('c_custkey - 1')})
   ELSE concat('INSERT INTO db.d', {_s('c_custkey - 1')}, ' SELECT s.code, s.price FROM db.d', {_s('c_custkey - 2')}, ' s') END"""
 
+PLACES = f"""CASE c_custkey % 3
+  WHEN 0 THEN concat('CREATE TABLE db.g', {_s('c_custkey')}, ' (CODE STRING, PRICE DECIMAL(12,3))')
+  WHEN 1 THEN concat('CREATE TABLE db.g', {_s('c_custkey')}, ' LIKE db.g', {_s('c_custkey - 1')})
+  ELSE concat('INSERT INTO db.g', {_s('c_custkey - 1')}, ' SELECT s.amount, max(s.label) AS top, s.extra FROM raw.s', {_s('c_nationkey')}, ' s') END"""
+
 STARS = f"""CASE WHEN c_custkey = 0 THEN 'SELECT z.c0 FROM lake.t0 z'
   ELSE concat('CREATE TABLE lake.t', {_s('c_custkey')}, ' AS SELECT * FROM lake.t', {_s('CAST(floor(c_custkey / 2) AS BIGINT)')}) END"""
 
@@ -138,6 +143,7 @@ expressions, EXPRESSIONS_SQL = _of_orders(EXPRESSIONS)
 scopes, SCOPES_SQL = _of_orders(SCOPES)
 bracketed, BRACKETED_SQL = _of_orders(BRACKETED)
 ddl, DDL_SQL = _of_customers(DDL)
+placed, PLACED_SQL = _of_customers(PLACES)
 star_statements, STAR_STATEMENTS_SQL = _of_customers(STARS)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from headwater.api import statement_rejects, unresolved_stars
+from headwater.api import lineage_result, read_lineage, statement_rejects, unresolved_stars
 from headwater.functions.text import full_name
 from headwater.operators import catalog, prepare, stars
 from headwater.operators.facts import select_tokens, source_relations, statement_targets
@@ -94,21 +94,28 @@ def resolve_single_scope(spark, folder):
     return found.select("stmt_id", F.col("src").alias("name")).distinct()
 
 
-@query(
-    "resolve_by_known_columns",
-    """WITH known AS (SELECT o_custkey AS s, o_orderkey % 3 AS c, min(o_orderkey) AS first_seq FROM orders
+_SETTLED = """WITH known AS (SELECT o_custkey AS s, o_orderkey % 3 AS c, min(o_orderkey) AS first_seq FROM orders
                       WHERE o_orderkey % 2 = 0 GROUP BY ALL),
       asked AS (SELECT o_orderkey AS k, o_orderkey % 3 AS c, o_custkey + d AS s FROM orders, (VALUES (0), (1)) t(d) WHERE o_orderkey % 2 = 1),
       found AS (SELECT k, asked.c, count(known.s) AS n_owners, max(asked.s) FILTER (known.s IS NOT NULL) AS s
                 FROM asked LEFT JOIN known ON known.s = asked.s AND known.c = asked.c AND known.first_seq <= asked.k GROUP BY k, asked.c)
       SELECT k AS stmt_id, concat('c', c) AS name, n_owners, CASE WHEN n_owners = 1 THEN concat('raw.s', s) END AS owner FROM found
-      UNION ALL SELECT o_orderkey, 'd', 0, NULL FROM orders WHERE o_orderkey % 2 = 1""",
+      UNION ALL SELECT o_orderkey, 'd', 0, NULL FROM orders WHERE o_orderkey % 2 = 1"""
+
+
+@query(
+    "resolve_by_known_columns",
+    _SETTLED,
 )
 def resolve_by_known_columns(spark, folder):
     statements = fx.scopes(spark, folder).select("stmt_id", "seq", "sql")
     links = materialize(_links(statements).distinct())
     settled = catalog.settle_loose(links, catalog.known_columns(links, catalog.declared_columns(statements)))
-    return settled.select(
+    return _settled(settled)
+
+
+def _settled(loose: DataFrame) -> DataFrame:
+    return loose.select(
         F.regexp_extract("src.scope", r"^#(\d+)", 1).cast("bigint").alias("stmt_id"),
         F.col("src.col").alias("name"),
         "n_owners",
@@ -116,6 +123,14 @@ def resolve_by_known_columns(spark, folder):
     )
 
 
+@query("merge_batches", _SETTLED)
+def merge_batches(spark, folder):
+    """A corpus read in two batches, the askers first: the columns that the second one brings settle their names again."""
+    statements = fx.scopes(spark, folder).select("stmt_id", "seq", "sql")
+    first = read_lineage(statements.where("stmt_id % 4 IN (1, 2)"))
+    return _settled(read_lineage(statements.where("stmt_id % 4 NOT IN (1, 2)"), earlier=first).loose)
+
+
 _DECLARED = _rows(
     {0: [("concat('d', c_custkey)", "'code'"), ("concat('d', c_custkey)", "'price'"), ("concat('d', c_custkey)", "concat('seg', c_nationkey)")]},
     ("tbl", "col"), 3, "c_custkey", "customer",
@@ -321,6 +336,20 @@ def lineage_insert(spark, folder):
     return _flows(links).select("stmt_id", "src", "dst")
 
 
+@query(
+    "lineage_insert_by_position",
+    _rows(
+        {2: [("'s.amount'", "concat('db.g', c_custkey - 1, '.code')"), ("'top'", "concat('db.g', c_custkey - 1, '.price')"), ("'s.extra'", "concat('db.g', c_custkey - 1, '.extra')")]},
+        ("src", "dst"), 3, "c_custkey", "customer",
+    ),
+)
+def lineage_insert_by_position(spark, folder):
+    """INSERT fills the columns at the items' places where the layout is known (copied by LIKE here); an item too many goes by its name."""
+    statements = fx.placed(spark, folder).select("stmt_id", "seq", "sql")
+    links = catalog.place_columns(token_links(statements, by_place=True), catalog.table_schemas(statements))
+    return _flows(links.where("dst.db = 'db'")).select("stmt_id", "src", "dst")
+
+
 @query(
     "find_stars",
     """SELECT DISTINCT concat('lake.t', k) AS tbl FROM (
@@ -402,3 +431,15 @@ def merge_scripts(spark, folder):
     return found.select(full_name(F.col("db"), F.col("tbl"), F.col("col")).alias("name"))
 
 
+@query(
+    "merge_star_batches",
+    f"""WITH RECURSIVE {fx.TREE_SQL}, owned AS (SELECT CAST(0 AS BIGINT) AS node UNION SELECT src FROM tree JOIN owned ON dst = node)
+        SELECT concat('lake.t', node, '.c0') AS dst FROM owned WHERE node > 0""",
+)
+def merge_star_batches(spark, folder):
+    """Tables that take all columns of another, read in two batches; the one column there is comes with the second."""
+    statements = fx.star_statements(spark, folder)
+    first = read_lineage(statements.where("stmt_id % 3 > 0"))
+    result = lineage_result(read_lineage(statements.where("stmt_id % 3 = 0"), earlier=first))
+    tables = result.vertices.where("kind = 'column' AND db = 'lake' AND name = 'c0'").select(F.col("id").alias("dst"), "full_name")
+    return result.edges.where("relation = 'used for'").join(tables, "dst").select(F.col("full_name").alias("dst")).distinct()

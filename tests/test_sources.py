@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 
@@ -31,6 +32,32 @@ def test_scan_keeps_line_numbers(spark, tmp_path):
     assert [r.line for r in lines.where("file = 'two.sql'").orderBy("line_no").collect()] == ["select c, d from raw.s;", ""]
 
 
+def test_byte_ranges_give_the_lines_of_whole_files(spark, tmp_path):
+    rng = random.Random(6)
+    root = tmp_path / "s"
+    for n in range(12):
+        body = "".join(rng.choice(["select a", "", "é" * rng.randrange(40), "x;y -- z", "\t "]) + rng.choice(["\n", "\n", "\r\n", "\r"]) for _ in range(rng.choice([0, 1, 3, 400])))
+        write(root, f"d{n % 3}/{n}.sql", body + rng.choice(["", "tail"]))
+    write(root, "empty.sql", "")
+    write(root, "long.sql", "w" * 5000 + "\n" + "v" * 3000)
+    whole = spark.read.option("recursiveFileLookup", True).text(str(root), wholetext=True)
+    want = scripts.split_script_text(whole.select(scripts._below(scripts.F.col("_metadata.file_path"), str(root)).alias("file"), scripts.F.col("value").alias("body")))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    small = {"spark.sql.files.maxPartitionBytes": "700", "spark.sql.files.openCostInBytes": "64"}
+    for conf, bound in (({}, scripts.BROADCAST_RANGES), (small, scripts.BROADCAST_RANGES), (small, 0)):
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        try:
+            scripts.BROADCAST_RANGES, kept = bound, scripts.BROADCAST_RANGES
+            lines = scripts.scan_script_lines(spark, str(root), str(root))
+            assert lines.columns == ["file", "line_no", "line"] and rows(lines) == rows(want)
+            assert not conf or lines.where("file = 'long.sql'").count() == 2 and spark.read.text(str(root / "d0")).rdd.getNumPartitions() > 4
+        finally:
+            scripts.BROADCAST_RANGES = kept
+            for k in conf:
+                spark.conf.unset(k)
+
+
 def test_manifest_and_summary(spark, tmp_path):
     folder = script_folder(tmp_path)
     lines = scripts.scan_script_lines(spark, str(folder / "sql"), str(folder / "sql"))
