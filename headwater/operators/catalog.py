@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from headwater.functions.text import full_name
 from headwater.operators.blocks import tokenize_statements, with_neighbours, with_openers
+from headwater.operators.doubling import spread_down
 from headwater.operators.facts import like_statements, schema_statements, select_items, statement_targets
 from headwater.operators.lineage import MARK, PARTS, PLACE
 from headwater.operators.skew import lookup_join
@@ -100,33 +101,23 @@ def like_edges(statements: DataFrame) -> DataFrame:
 def copy_schema_like(columns: DataFrame, likes: DataFrame, since: DataFrame | None = None) -> DataFrame:
     """Add the columns that CREATE … LIKE copies: those the source has by then, unlinked.
 
-    A copy may be copied again later, so this goes on until a round adds nothing; each
-    step along a chain has a later ``seq``, so it ends. ``since``: the columns to start from, where the copies of
+    A copy may be copied again later. Each statement follows those that made its source before it, and columns
+    are carried along these steps by shortcuts of doubled length, so a chain of copies takes as many rounds as the logarithm of its
+    length; each step has a later ``seq``, so none goes in a circle. ``since``: the columns to start from, where the copies of
     all others are among ``columns`` already.
     """
-    step = likes.select(
+    step = likes.where("source_db is not null and db is not null").select(
         F.col("source_db").alias("s_db"), F.col("source_tbl").alias("s_tbl"), "db", "tbl", F.col("seq").alias("like_seq")
     )
-    step = materialize(step.where("s_db is not null and db is not null"))
+    step = materialize(step.distinct().withColumn("node", F.monotonically_increasing_id()))
     if step.isEmpty():
         return columns
-    fresh = (columns if since is None else since).where("scope is null and col <> '*'").select("db", "tbl", "col", "first_seq")
-    added = None
-    while True:
-        copied = (
-            fresh.select(F.col("db").alias("s_db"), F.col("tbl").alias("s_tbl"), "col", "first_seq")
-            .join(step, ["s_db", "s_tbl"])
-            .where("first_seq < like_seq")
-            .groupBy("db", "tbl", "col")
-            .agg(F.min("like_seq").alias("first_seq"))
-        )
-        fresh = materialize(copied)
-        if fresh.isEmpty():
-            break
-        added = fresh if added is None else added.union(fresh)
-    if added is None:
-        return columns
-    copies = added.select(F.lit(None).cast("string").alias("scope"), "db", "tbl", "col", "first_seq")
+    fresh = (columns if since is None else since).where("scope is null and col <> '*'").select(F.col("db").alias("s_db"), F.col("tbl").alias("s_tbl"), "col", "first_seq")
+    direct = fresh.join(step, ["s_db", "s_tbl"]).where("first_seq < like_seq").select("node", F.col("col").alias("load"))
+    before = step.select(F.col("db").alias("s_db"), F.col("tbl").alias("s_tbl"), F.col("like_seq").alias("made"), F.col("node").alias("before"))
+    steps = step.join(before, ["s_db", "s_tbl"]).where("made < like_seq").select("node", "before")
+    made = spread_down(direct, steps).join(step, "node")
+    copies = made.select(F.lit(None).cast("string").alias("scope"), "db", "tbl", F.col("load").alias("col"), F.col("like_seq").alias("first_seq"))
     return columns.unionByName(copies).groupBy("scope", "db", "tbl", "col").agg(F.min("first_seq").alias("first_seq"))
 
 
