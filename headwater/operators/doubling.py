@@ -9,22 +9,22 @@ from headwater.session import materialize
 
 
 def chain_ends(pointers: DataFrame) -> DataFrame:
-    """``(node, end)`` of ``pointers(node, to)``, at most one per node: the last node on the way, null if the way never ends.
+    """``(node, end, steps)`` of ``pointers(node, to)``, at most one per node: the last node on the way and how far it is.
 
-    Every round lets each node point where its target points, so ways double in length; after as many rounds as the
-    logarithm of the number of nodes, what still has a target with a pointer goes round a cycle. A round moves one row
-    per node.
+    ``end`` is null if the way never ends. Every round lets each node point where its target points, so ways double in
+    length; after as many rounds as the logarithm of the number of nodes, what still has a target with a pointer goes
+    round a cycle. A round moves one row per node.
     """
-    at = materialize(pointers.select("node", "to"))
+    at = materialize(pointers.select("node", "to", F.lit(1).cast("bigint").alias("steps")))
     for _ in range(max(1, at.count()).bit_length() + 1):
-        beyond = at.select(F.col("node").alias("to"), F.col("to").alias("next"))
+        beyond = at.select(F.col("node").alias("to"), F.col("to").alias("next"), F.col("steps").alias("more"))
         far = materialize(at.join(beyond, "to", "left"))
         moving = not far.where("next IS NOT NULL").isEmpty()
-        at = far.select("node", F.coalesce("next", "to").alias("to"))
+        at = far.select("node", F.coalesce("next", "to").alias("to"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"))
         if not moving:
-            return at.select("node", F.col("to").alias("end"))
+            return at.select("node", F.col("to").alias("end"), "steps")
     starts = at.select(F.col("node").alias("to"), F.lit(True).alias("goes_on")).distinct()
-    return at.join(starts, "to", "left").select("node", F.when(F.col("goes_on").isNull(), F.col("to")).alias("end"))
+    return at.join(starts, "to", "left").select("node", F.when(F.col("goes_on").isNull(), F.col("to")).alias("end"), "steps")
 
 
 def spread_down(found: DataFrame, steps: DataFrame) -> DataFrame:

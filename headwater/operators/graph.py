@@ -8,6 +8,7 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from headwater.operators.doubling import chain_ends
 from headwater.operators.skew import HOT_ROWS, hot_of, replicate, spread
 from headwater.session import materialize, materialize_layout, parts_for
 
@@ -15,6 +16,8 @@ from headwater.session import materialize, materialize_layout, parts_for
 FRONTIER_BROADCAST_ROWS = 200_000
 # Stored pieces of the visited set are merged after this many rounds.
 MERGE_EVERY = 16
+# Rounds after which chains are looked for: shallow graphs never get there.
+CHAINS_AFTER = 20
 
 
 def triplets(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -73,6 +76,25 @@ def distinct_edges(edges: DataFrame) -> DataFrame:
     return edges.dropDuplicates(["src", "dst"])
 
 
+def unary_chains(turned: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(node, head, place)`` of the nodes that one edge enters and one leaves, and ``(head, length, beyond)`` of their chains.
+
+    A chain begins at its head (place 0) and the edge behind its last node leads ``beyond`` it. Rings of such nodes have no head
+    and are left out.
+    """
+    edges = turned.where("near <> far").distinct()
+    out = edges.groupBy(F.col("near").alias("node")).agg(F.count(F.lit(1)).alias("n_out"), F.min("far").alias("far"))
+    into = edges.groupBy(F.col("far").alias("node")).agg(F.count(F.lit(1)).alias("n_in"), F.min("near").alias("near"))
+    looped = turned.where("near = far").select(F.col("near").alias("node"))
+    inner = materialize(out.where("n_out = 1").join(into.where("n_in = 1"), "node").join(looped, "node", "left_anti").select("node", "near", "far"))
+    within = inner.join(inner.select(F.col("node").alias("near")), "near", "left_semi")
+    ends = chain_ends(within.select("node", F.col("near").alias("to")))
+    heads = inner.join(within.select("node"), "node", "left_anti").select("node", F.col("node").alias("head"), F.lit(0).cast("bigint").alias("place"))
+    members = materialize(heads.unionByName(ends.where("end IS NOT NULL").select("node", F.col("end").alias("head"), F.col("steps").alias("place"))))
+    last = members.join(inner.select("node", "far"), "node").groupBy("head").agg((F.max("place") + 1).alias("length"), F.max_by("far", "place").alias("beyond"))
+    return members, materialize(last)
+
+
 def reach(edges: DataFrame, seeds: DataFrame, direction: str = "down", at_least: int = HOT_ROWS, known: DataFrame | None = None) -> DataFrame:
     """All nodes that can be reached from the seeds, the seeds included, as ``(node, …, hops)``.
 
@@ -80,6 +102,10 @@ def reach(edges: DataFrame, seeds: DataFrame, direction: str = "down", at_least:
     entered once per value of them, so cycles end. Edges are laid out once by their near
     end, hubs spread over several tasks; later rounds only move the frontier. ``known``: rows of an earlier
     result; they are part of this one and are not entered again, and nothing is walked from them.
+
+    After ``CHAINS_AFTER`` rounds chains of nodes without branches are found once, by doubling, and from then on a chain is
+    walked in one round: its nodes can only be reached through each other, so their hops are known, and what lies beyond
+    it is entered in the round of its own hops.
     """
     load = [c for c in seeds.columns if c != "node"]
     keys = ["node", *load]
@@ -102,23 +128,46 @@ def reach(edges: DataFrame, seeds: DataFrame, direction: str = "down", at_least:
     seen: list[DataFrame] = []
     if known is not None:
         seen.append(materialize_layout(known.select(*keys, "hops").repartition(width, *keys), width)[0])
-    for hops in count():
-        if seen:
-            known = reduce(DataFrame.union, [s.select(*keys) for s in seen])
-            entered = entered.join(known.hint("merge"), keys, "left_anti")
-        frontier, size = materialize_layout(entered.withColumn("hops", F.lit(hops)), width)
+    chains, later, hops = None, None, 0
+
+    def unseen(rows: DataFrame) -> DataFrame:
+        return rows.join(reduce(DataFrame.union, [s.select(*keys) for s in seen]).hint("merge"), keys, "left_anti") if seen else rows
+
+    for turn in count():
+        frontier, size = materialize_layout(unseen(entered).withColumn("hops", F.lit(hops)), width)
         seen.append(frontier)
-        if size == 0:
+        if not size and later is None:
             return reduce(DataFrame.union, seen)
         if len(seen) > MERGE_EVERY:
             seen = [materialize_layout(reduce(DataFrame.union, seen), width)[0]]
+        if turn == CHAINS_AFTER:
+            chains = unary_chains(turned)
         nodes = frontier.select(*keys)
+        if chains is not None and size:
+            members, ends = chains
+            at = materialize(nodes.join(members, "node"))
+            nodes = nodes.join(members.select("node"), "node", "left_anti")
+            starts = at.select(F.col("place").alias("from"), "head", *load)
+            walked = starts.join(members, "head").where("place > from").withColumn("hops", (F.col("place") - F.col("from") + hops).cast("int"))
+            jumped, _ = materialize_layout(unseen(walked.groupBy(*keys).agg(F.min("hops").alias("hops"))), width)
+            beyond = starts.join(ends, "head").select(F.col("beyond").alias("node"), *load, (F.col("length") - F.col("from") + hops).cast("int").alias("hops"))
+            later = materialize((beyond if later is None else beyond.unionByName(later)).groupBy(*keys).agg(F.min("hops").alias("hops")))
+            seen.append(jumped)
         if size <= FRONTIER_BROADCAST_ROWS:
             met = laid_out.join(F.broadcast(nodes.withColumnRenamed("node", "near")), "near")
         else:
             start = replicate(nodes, hot_nodes, "node") if n_hot else nodes.withColumn("salt", F.lit(0))
             met = laid_out.join(start.withColumnRenamed("node", "near"), ["near", "salt"])
         entered = met.select(F.col("far").alias("node"), *load).distinct()
+        hops += 1
+        if later is not None:
+            entered = materialize_layout(unseen(entered), width)[0]
+            if entered.isEmpty():
+                hops = max(hops, later.agg(F.coalesce(F.min("hops"), F.lit(0))).first()[0])
+            due = later.where(F.col("hops") <= hops).select(*keys)
+            entered = entered.union(due).distinct()
+            later = materialize(later.where(F.col("hops") > hops))
+            later = None if later.isEmpty() else later
 
 
 def downstream_closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
