@@ -3,6 +3,8 @@
 A sketch is a table of (bucket, count): values up to 64 are kept as they are, larger ones by their
 leading six bits, so a bucket is at most 1/32 wide of its value. Sketches merge by adding counts,
 in any order, with the same result; those of the sources of a language make that of the language.
+They hold what the documents show that pass the base rule, values of 0 left out: most documents
+repeat nothing, and how much is usual where there is some is what differs between sources.
 """
 
 from __future__ import annotations
@@ -17,14 +19,13 @@ from headwater.llm.common import Scratch, map_batches, texts_of
 BLANKS = b" \t\n\v\f\r"
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
-# Per metric: the least spread that counts (values that all agree must not make every other value
-# an outlier; repeats get no stricter limit than the base rule has) and whether low values fail as
-# well. Metrics are scaled integers.
-METRICS = {"word_length": (40, True), "symbols": (200, False), "dup_lines": (600, False), "repeats": (400, False)}
+# Per metric, a scaled integer: whether low values fail as well, and the least spread that counts, so
+# that values that all agree do not make every other one an outlier: a fixed one, or half the median.
+METRICS = {"word_length": (True, 40), "symbols": (False, None), "dup_lines": (False, None), "repeats": (False, None)}
 # How many spreads from the median a value may lie.
 REACH = 5
-# A group with fewer documents takes the sketch of its language, then that of all documents.
-LEAST_DOCS = 100
+# A metric with fewer values in a group takes the sketch of the language, then that of all documents.
+LEAST_VALUES = 30
 
 
 def repeat_words(ids: np.ndarray, distinct: int) -> int:
@@ -91,18 +92,35 @@ def with_metrics(counts: DataFrame) -> DataFrame:
     )
 
 
+BASE_FAILED = "n_words < 10 OR 100 * n_repeat_words > 20 * n_words"
+
+
 def sketches(measured: DataFrame) -> DataFrame:
     """``(lang, source, metric, bucket, n)``: partial sums per task, then one row per bucket."""
     values = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), bucket(F.col(m)).alias("bucket")) for m in METRICS))).alias("v")
-    return measured.select("lang", "source", values).groupBy("lang", "source", "v.metric", "v.bucket").agg(F.count(F.lit(1)).alias("n"))
+    found = measured.where(~F.expr(BASE_FAILED)).select("lang", "source", values).where("v.bucket > 0")
+    return found.groupBy("lang", "source", "v.metric", "v.bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
 def merge(sketch: DataFrame, by: list[str]) -> DataFrame:
     return sketch.groupBy(*by, "metric", "bucket").agg(F.sum("n").alias("n"))
 
 
+def _bounds(metric: str) -> dict[str, str]:
+    """The least and the greatest value that passes, from the quantiles; the same in Spark and in the SQL twin."""
+    both, least = METRICS[metric]
+    at = lambda p: f"{metric}_{p}"
+    floor = str(least) if least else f"CAST(floor({at(50)} / 2) AS BIGINT)"
+    low = f"{at(50)} - {REACH} * greatest({at(90)} - {at(50)}, {floor})" if both else "0"
+    # The lower half shows the spread of good text even where much of the upper half is bad.
+    return {f"{metric}_low": low, f"{metric}_high": f"{at(50)} + {REACH} * greatest({at(50)} - {at(10)}, {floor})"}
+
+
+BOUNDS = {name: text for m in METRICS for name, text in _bounds(m).items()}
+
+
 def fences(sketch: DataFrame, by: list[str], suffix: str) -> DataFrame:
-    """Per group: its documents, and for each metric the least and the greatest value that passes.
+    """Per group and metric: how many values its sketch holds, the least and the greatest value that passes.
 
     A window holds the buckets of one metric of one group: below 2,000 rows, whatever the input.
     """
@@ -114,25 +132,24 @@ def fences(sketch: DataFrame, by: list[str], suffix: str) -> DataFrame:
         return F.min(F.when((F.col("metric") == metric) & (100 * F.col("up_to") >= percent * F.col("of")), F.col("bucket")))
 
     quantiles = [quantile(p, m).alias(f"{m}_{p}") for m in METRICS for p in (10, 50, 90)]
-    found = ranked.groupBy(*by).agg(F.max("of").alias(f"docs{suffix}"), *quantiles)
-    bounds = []
-    for m, (least, both) in METRICS.items():
-        low = F.col(f"{m}_50") - REACH * F.greatest(F.col(f"{m}_90") - F.col(f"{m}_50"), F.lit(least)) if both else F.lit(0)
-        # The lower half shows the spread of good text even where much of the upper half is bad.
-        high = F.col(f"{m}_50") + REACH * F.greatest(F.col(f"{m}_50") - F.col(f"{m}_10"), F.lit(least))
-        bounds += [low.cast("bigint").alias(f"{m}_low"), high.cast("bigint").alias(f"{m}_high")]
-    return found.select(*by, f"docs{suffix}", F.struct(*bounds).alias(f"fence{suffix}"))
+    sizes = [F.coalesce(F.max(F.when(F.col("metric") == m, F.col("of"))), F.lit(0)).alias(f"{m}_n") for m in METRICS]
+    found = ranked.groupBy(*by).agg(*sizes, *quantiles)
+    return found.select(*by, F.struct(*(f"{m}_n" for m in METRICS), *(F.expr(text).cast("bigint").alias(name) for name, text in BOUNDS.items())).alias(f"fence{suffix}"))
 
 
 def group_fences(sketch: DataFrame) -> DataFrame:
-    """``(lang, source, fence)``: of the group if it is large enough, else of its language, else of all."""
+    """``(lang, source, fence)``: per metric of the group if it has enough values, else of its language, else of all."""
     by_lang = merge(sketch, ["lang"])
     groups = fences(sketch, ["lang", "source"], "")
     langs = fences(by_lang, ["lang"], "_lang").withColumnRenamed("lang", "l")
     whole = fences(merge(by_lang, []).withColumn("one", F.lit(1)), ["one"], "_all")
     joined = groups.withColumn("one", F.lit(1)).join(langs, F.col("lang").eqNullSafe(F.col("l"))).join(whole, "one")
-    fence = F.when(F.col("docs") >= LEAST_DOCS, F.col("fence")).when(F.col("docs_lang") >= LEAST_DOCS, F.col("fence_lang")).otherwise(F.col("fence_all"))
-    return joined.select(F.col("lang").alias("f_lang"), F.col("source").alias("f_source"), fence.alias("fence"))
+
+    def chosen(metric: str, end: str) -> Column:
+        of = lambda suffix, name: F.col(f"fence{suffix}.{metric}_{name}")
+        return F.when(of("", "n") >= LEAST_VALUES, of("", end)).when(of("_lang", "n") >= LEAST_VALUES, of("_lang", end)).otherwise(of("_all", end)).alias(f"{metric}_{end}")
+
+    return joined.select(F.col("lang").alias("f_lang"), F.col("source").alias("f_source"), F.struct(*(chosen(m, e) for m in METRICS for e in ("low", "high"))).alias("fence"))
 
 
 def judge_quality(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
@@ -146,29 +163,27 @@ def judge_quality(docs: DataFrame, key: str = "doc_id", text: str = "text", lang
     measured = scratch.keep(with_metrics(document_counts(docs, key, text, lang, source)), "counts")
     limits = group_fences(scratch.keep(sketches(measured), "sketches"))
     judged = measured.join(limits, F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source")), "left")
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    inside = [F.col(m).between(F.col(f"fence.{m}_low"), F.col(f"fence.{m}_high")) for m in METRICS]
+    failed = F.expr(BASE_FAILED)
+    # A metric that is 0 in every document has no fence.
+    inside = [F.coalesce(F.col(m).between(F.col(f"fence.{m}_low"), F.col(f"fence.{m}_high")), F.lit(True)) for m in METRICS]
     passes = inside[0] & inside[1] & inside[2] & inside[3]
     return judged.select(F.col("key").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & passes).alias("kept"))
 
 
 def _fence_sql(by: str, suffix: str) -> str:
-    cols = []
-    for m, (least, both) in METRICS.items():
-        cols.append(f"{m}_50 - {REACH} * greatest({m}_90 - {m}_50, {least}) AS {m}_low" if both else f"0 AS {m}_low")
-        cols.append(f"{m}_50 + {REACH} * greatest({m}_50 - {m}_10, {least}) AS {m}_high")
-    quantiles = ", ".join(f"min(bucket) FILTER (metric = '{m}' AND 100 * up_to >= {p} * docs) AS {m}_{p}" for m in METRICS for p in (10, 50, 90))
+    quantiles = ", ".join(f"min(bucket) FILTER (metric = '{m}' AND 100 * up_to >= {p} * of) AS {m}_{p}" for m in METRICS for p in (10, 50, 90))
+    sizes = ", ".join(f"coalesce(max(of) FILTER (metric = '{m}'), 0) AS {m}_n" for m in METRICS)
     return f"""
     fence{suffix} AS (
-      SELECT *, {", ".join(cols)} FROM (
-        SELECT {by}, max(docs) AS docs, {quantiles}
-        FROM (SELECT *, sum(n) OVER (PARTITION BY {by}, metric ORDER BY bucket) AS up_to, sum(n) OVER (PARTITION BY {by}, metric) AS docs
+      SELECT *, {", ".join(f"{text} AS {name}" for name, text in BOUNDS.items())} FROM (
+        SELECT {by}, {sizes}, {quantiles}
+        FROM (SELECT *, sum(n) OVER (PARTITION BY {by}, metric ORDER BY bucket) AS up_to, sum(n) OVER (PARTITION BY {by}, metric) AS of
               FROM (SELECT {by}, metric, bucket, sum(n) AS n FROM sketch GROUP BY ALL))
         GROUP BY {by}))"""
 
 
 _CHOSEN = ", ".join(
-    f"CASE WHEN g.docs >= {LEAST_DOCS} THEN g.{m}_{e} WHEN l.docs >= {LEAST_DOCS} THEN l.{m}_{e} ELSE a.{m}_{e} END AS {m}_{e}" for m in METRICS for e in ("low", "high")
+    f"CASE WHEN g.{m}_n >= {LEAST_VALUES} THEN g.{m}_{e} WHEN l.{m}_n >= {LEAST_VALUES} THEN l.{m}_{e} ELSE a.{m}_{e} END AS {m}_{e}" for m in METRICS for e in ("low", "high")
 )
 ORACLE = rf"""
 WITH given AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, lang, source FROM documents),
@@ -185,14 +200,15 @@ counts AS (SELECT rid, doc_id, lang, source, coalesce(n_words, 0) AS n_words, co
            FROM given LEFT JOIN words USING (rid) LEFT JOIN lines USING (rid)),
 measured AS (SELECT *, CASE WHEN n_words > 0 THEN (100 * word_chars) // n_words ELSE 0 END AS word_length, CASE WHEN n_words > 0 THEN (10000 * n_symbols) // n_words ELSE 0 END AS symbols,
              CASE WHEN n_lines > 0 THEN (10000 * n_dup_lines) // n_lines ELSE 0 END AS dup_lines, CASE WHEN n_words > 0 THEN (10000 * n_repeat_words) // n_words ELSE 0 END AS repeats FROM counts),
-long AS (SELECT lang, source, metric, CAST(v AS BIGINT) AS v FROM (UNPIVOT measured ON word_length, symbols, dup_lines, repeats INTO NAME metric VALUE v)),
-sketch AS (SELECT lang, source, metric, (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0) AS bucket, count(*) AS n, 1 AS one FROM long GROUP BY ALL),
+passing AS (SELECT * FROM measured WHERE NOT ({BASE_FAILED})),
+long AS (SELECT lang, source, metric, CAST(v AS BIGINT) AS v FROM (UNPIVOT passing ON word_length, symbols, dup_lines, repeats INTO NAME metric VALUE v)),
+sketch AS (SELECT lang, source, metric, (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0) AS bucket, count(*) AS n, 1 AS one FROM long WHERE v > 0 GROUP BY ALL),
 {_fence_sql("lang, source", "_group")},
 {_fence_sql("lang", "_lang")},
 {_fence_sql("one", "_all")},
 fence AS (SELECT g.lang, g.source, {_CHOSEN} FROM fence_group g JOIN fence_lang l ON g.lang IS NOT DISTINCT FROM l.lang CROSS JOIN fence_all a),
-judged AS (SELECT m.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS failed, {" AND ".join(f"{m} BETWEEN {m}_low AND {m}_high" for m in METRICS)} AS inside
-           FROM measured m JOIN fence f ON m.lang IS NOT DISTINCT FROM f.lang AND m.source IS NOT DISTINCT FROM f.source)
+judged AS (SELECT m.*, {BASE_FAILED} AS failed, {" AND ".join(f"coalesce({m} BETWEEN {m}_low AND {m}_high, TRUE)" for m in METRICS)} AS inside
+           FROM measured m LEFT JOIN fence f ON m.lang IS NOT DISTINCT FROM f.lang AND m.source IS NOT DISTINCT FROM f.source)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
        CAST(n_repeat_words AS BIGINT) AS n_repeat_words, failed AS base_failed, NOT failed AND inside AS kept
 FROM judged

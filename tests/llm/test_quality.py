@@ -34,6 +34,28 @@ def test_odd_rows(spark):
     assert quality.judge_quality(df.limit(0)).count() == 0
 
 
+def test_fences_differ_between_groups_and_decide(spark):
+    """On sf0.1: the fences of every metric follow the group, and symbols, repeats and word lengths drop rows that the base rule passes."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    measured = quality.with_metrics(quality.document_counts(docs, "doc_id", "text", "lang", "source")).cache()
+    limits = quality.group_fences(quality.sketches(measured)).cache()
+    n = limits.agg(*(quality.F.count_distinct(f"fence.{m}_high").alias(m) for m in quality.METRICS)).first()
+    assert all(n[m] > 1 for m in quality.METRICS), n
+    passing = measured.where(f"NOT ({quality.BASE_FAILED})").join(limits, quality.F.col("lang").eqNullSafe(quality.F.col("f_lang")) & quality.F.col("source").eqNullSafe(quality.F.col("f_source")))
+    dropped = passing.agg(*(quality.F.count(quality.F.when(quality.F.expr(f"NOT {m} BETWEEN fence.{m}_low AND fence.{m}_high"), 1)).alias(m) for m in quality.METRICS)).first()
+    assert dropped.symbols and dropped.repeats and dropped.word_length, dropped
+    print(n, dropped)
+
+
+def test_values_that_agree(spark):
+    """A group whose values are all alike, as copies make them, lets others pass up to a multiple of it."""
+    rows = [(i, " ".join(["# one two three four five six seven eight nine"] + [f"w{i}x{j}" for j in range(40)]), "en", "s") for i in range(40)]
+    rows += [(100, rows[0][1] + " # #", "en", "s"), (101, rows[0][1] + " #" * 4 + " a" * 3 + " #" * 30, "en", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r.kept for r in quality.judge_quality(df).collect()}
+    assert all(got[i] for i in range(40)) and got[100] and not got[101]
+
+
 def test_sketch_buckets(spark):
     got = spark.range(0, 5000).select("id", quality.bucket(quality.F.col("id")).alias("b")).collect()
     assert all(r.b <= r.id <= r.b * 33 / 32 or r.b == r.id for r in got)
