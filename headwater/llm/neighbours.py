@@ -1,12 +1,14 @@
 """Nearest neighbours by a hash-prefix forest.
 
-Every tree gives a vector a long string of bits, the signs of random projections about the mean.
-Rows whose strings share a prefix stand together in the tree's sorted order. A query starts at a
-prefix long enough for a small part of all rows, in all trees at once, and goes up one bit at a
-time in all of them, until a vector at the angle of its worst neighbour so far would have been
-met in some tree with the target probability. At the root every row is compared, so nothing is
-cut off. Queries meet the rows of a prefix in blocks, and a block gives each of its queries no
-more than what can be among its nearest.
+Every tree gives a vector a long string of bits, the signs of random projections about the mean,
+and keeps its strings as one sorted array, numbered by place. A query descends in every tree to its
+place, where its longest-prefix matches are the rows on both sides, and reads a window of them. The
+trees then go up together from the shortest prefix that all windows hold whole, which every query has
+for itself: one bit at a time a query reads the rows that a tree newly reaches, those that
+differ from it in just that bit, until a vector at the angle of its worst neighbour so far would have
+been met in some tree with the target probability. At the root every row has been read, so nothing
+is cut off. The arrays hold no vectors. Queries meet rows in blocks, and a block gives each of its
+queries no more than what can be among its nearest.
 """
 
 from __future__ import annotations
@@ -21,10 +23,11 @@ from pyspark.sql import functions as F
 
 from headwater.llm.common import Scratch, map_batches
 from headwater.llm.jaccard import groups_of
+from headwater.operators.numbering import global_row_number
 
 TREES = 16
 BITS = 30
-FIRST_BUCKET = 2048  # rows under the first prefix, if strings were spread evenly
+WINDOW = 64  # places of a sorted array that are read together; a query reads its own and the ones on both sides
 TARGET_MISS = 0.05  # at most so likely is a neighbour met in no tree
 BLOCK = 4096  # rows of one prefix that meet its queries at one time
 QUERY_BLOCK = 1024
@@ -116,8 +119,20 @@ def _nearest(centres: dict[int, np.ndarray], most: int):
     return block
 
 
-def _prefix(tree_string: Column, depth: int) -> Column:
-    return F.shiftright(tree_string, BITS - depth)
+def _shared_bits(a: Column, b: Column) -> Column:
+    """How long a prefix two strings share."""
+    return F.when(a == b, BITS).otherwise(BITS - F.length(F.bin(a.bitwiseXOR(b))))
+
+
+def _outside(read: DataFrame, forest: DataFrame) -> DataFrame:
+    """``(point, start)``: the length from which on every tree's window holds all rows of the query's prefix, by the rows next to the windows.
+
+    It is ``BITS + 1`` where even the rows of the query's whole string go on beyond a window.
+    """
+    edges = read.select("point", "dim", "tree", "string", F.explode(F.array((F.col("block") - 1) * WINDOW - 1, (F.col("block") + 2) * WINDOW)).alias("place"))
+    beside = forest.select("dim", "tree", "place", F.col("string").alias("other"))
+    shared = edges.join(beside, ["dim", "tree", "place"], "left").withColumn("whole", F.coalesce(_shared_bits(F.col("string"), F.col("other")) + 1, F.lit(0)))
+    return shared.groupBy("point").agg(F.max("whole").alias("start"))
 
 
 def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -144,16 +159,37 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10, key: s
     own = scratch.keep(packed.select(F.col("point").alias("query_id"), "raw").join(points.select("point", "raw"), "raw").select("query_id", "point"), "own")
     centres = means(points)
     strings = map_batches(points.select("point", "dim", "raw"), _hasher(centres), "point bigint, strings array<bigint>")
-    forest = scratch.keep(points.join(strings, "point").select("point", "ids", "dim", "raw", F.posexplode("strings").alias("tree", "string")), "forest")
-    total = points.count()
-    depth = max(0, min(BITS, int(math.log2(max(total, 1) / FIRST_BUCKET)) if total > FIRST_BUCKET else 0))
-    waiting = scratch.keep(own.select("point").distinct(), f"waiting{depth}")
-    found = None
-    while True:
-        here = forest if depth else forest.where("tree = 0")
-        here = here.withColumn("prefix", _prefix(F.col("string"), depth))
+    grown = points.select("point", "dim").join(strings, "point").select("dim", "point", F.posexplode("strings").alias("tree", "string"))
+    forest = global_row_number(grown, ["dim", "tree", "string", "point"], "place").withColumn("block", F.floor(F.col("place") / WINDOW).cast("bigint"))
+    forest = scratch.keep(forest, "forest")
+    bodies = points.select("point", "ids", "raw")
+    schema = "asker bigint, point bigint, distance double, angle double, ids array<bigint>"
+
+    read = scratch.keep(forest.join(own.select("point").distinct(), "point", "left_semi"), "read")
+    asking = read.withColumn("block", F.explode(F.array(*(F.col("block") + i for i in (-1, 0, 1))))).withColumn("query", F.lit(True))
+    window = asking.unionByName(forest.withColumn("query", F.lit(False)).join(asking.select("dim", "tree", "block").distinct(), ["dim", "tree", "block"], "left_semi"))
+    found = scratch.keep(groups_of(window.join(bodies, "point"), ["dim", "tree", "block"], _nearest(centres, most), schema), "near")
+    starts = scratch.keep(_outside(read, forest), "starts")
+
+    def unsettled(level: Column) -> DataFrame:
+        """Queries that have not read all rows and may miss a neighbour at the prefix length they have reached."""
+        single = found.groupBy("asker", "point").agg(F.min("distance").alias("distance"), F.min("angle").alias("angle"), F.first("ids").alias("ids"))
+        ranked = single.withColumn("nth", F.row_number().over(Window.partitionBy("asker").orderBy("distance", F.col("ids")[0]))).where(F.col("nth") <= most)
+        state = ranked.groupBy(F.col("asker").alias("point")).agg(F.sum(F.size("ids")).alias("n"), F.max("angle").alias("worst")).join(starts, "point")
+        miss = F.pow(1 - F.pow(1 - F.col("worst") / math.pi, level), F.lit(TREES))
+        return state.where((level > 0) & ((level > BITS) | (F.col("n") < most) | (miss > TARGET_MISS))).select("point", "start")
+
+    waiting = scratch.keep(unsettled(F.col("start")), "waiting")
+    depth = BITS + 1
+    while (highest := waiting.agg(F.max("start")).first()[0]) is not None:
+        depth = min(depth, highest) - 1
+        # Rows that share ``depth`` bits with the query and differ in the next one; beyond the last bit, equal strings.
+        bits = min(depth + 1, BITS)
+        prefix = F.shiftright("string", BITS - bits)
+        here = (forest if depth else forest.where("tree = 0")).withColumn("prefix", prefix)
         place = ["dim", "tree", "prefix"]
-        queries = here.join(waiting, "point", "left_semi")
+        queries = (read if depth else read.where("tree = 0")).join(waiting.where(F.col("start") > depth), "point", "left_semi")
+        queries = queries.withColumn("prefix", prefix.bitwiseXOR(F.lit(1 if depth < BITS else 0)))
         crowd = queries.groupBy(*place).agg(F.count(F.lit(1)).alias("n_queries"))
         sizes = here.join(crowd.select(*place), place, "left_semi").groupBy(*place).agg(F.count(F.lit(1)).alias("n_rows"))
         parts = crowd.join(sizes, place).select(*place, F.ceil(F.col("n_rows") / BLOCK).cast("int").alias("row_parts"), F.ceil(F.col("n_queries") / QUERY_BLOCK).cast("int").alias("query_parts"))
@@ -161,24 +197,12 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10, key: s
         def dealt(side: DataFrame, query: bool) -> DataFrame:
             """Each row goes to one part of its own side, and meets every part of the other."""
             mine, others = ("query_part", "row_part") if query else ("row_part", "query_part")
-            joined = side.join(parts, place)  # noqa: B023
+            joined = side.join(parts, place).join(bodies, "point")  # noqa: B023
             return joined.select(*place, "point", "ids", "raw", F.lit(query).alias("query"), F.pmod(F.xxhash64("point"), F.col(f"{mine}s")).cast("int").alias(mine), F.explode(F.sequence(F.lit(0), F.col(f"{others}s") - 1)).alias(others))  # noqa: B023
 
         met = dealt(here, False).unionByName(dealt(queries, True))
-        near = groups_of(met, [*place, "row_part", "query_part"], _nearest(centres, most), "asker bigint, point bigint, distance double, angle double, ids array<bigint>")
-        near = scratch.keep(near, f"near{depth}")
-        found = near if found is None else found.unionByName(near)
-        if not depth:
-            break
-        single = found.groupBy("asker", "point").agg(F.min("distance").alias("distance"), F.min("angle").alias("angle"), F.first("ids").alias("ids"))
-        ranked = single.withColumn("nth", F.row_number().over(Window.partitionBy("asker").orderBy("distance", F.col("ids")[0]))).where(F.col("nth") <= most)
-        state = ranked.groupBy("asker").agg(F.sum(F.size("ids")).alias("n"), F.max("angle").alias("worst"))
-        miss = F.pow(1 - F.pow(1 - F.col("worst") / math.pi, F.lit(depth)), F.lit(TREES))
-        done = state.where((F.col("n") >= most) & (miss <= TARGET_MISS)).select(F.col("asker").alias("point"))
-        depth -= 1
-        waiting = scratch.keep(waiting.join(done, "point", "left_anti"), f"waiting{depth}")
-        if not waiting.limit(1).count():
-            break
+        found = found.unionByName(scratch.keep(groups_of(met, [*place, "row_part", "query_part"], _nearest(centres, most), schema), f"near{depth}"))
+        waiting = scratch.keep(unsettled(F.least("start", F.lit(depth))).join(waiting.select("point"), "point", "left_semi"), f"waiting{depth}")
     pairs = found.select("asker", F.explode("ids").alias("id"), "distance").groupBy("asker", "id").agg(F.min("distance").alias("distance"))
     kept = pairs.withColumn("nth", F.row_number().over(Window.partitionBy("asker").orderBy("distance", "id"))).where(F.col("nth") <= most)
     answers = own.join(kept.withColumnRenamed("asker", "point"), "point").where("id <> query_id").groupBy("query_id", "id").agg(F.min("distance").alias("score"))

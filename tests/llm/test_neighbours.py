@@ -38,7 +38,7 @@ def test_odd_rows(spark):
 
 
 def test_recall_below_the_root(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "FIRST_BUCKET", 16)
+    monkeypatch.setattr(neighbours, "WINDOW", 4)
     rows = [(r.vec_id, list(r.embedding) if r.embedding is not None else None) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
     got = [tuple(r) for r in nearest_neighbours(df, F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect()]
@@ -46,3 +46,12 @@ def test_recall_below_the_root(spark, monkeypatch):
     assert len(got) == len(want)
     found = {g[:1] + g[2:3] for g in got}
     assert sum((w[0], w[2]) in found for w in want) >= 0.9 * len(want)
+
+
+def test_windows_full_of_equal_strings(spark, monkeypatch):
+    # Points on one ray about the mean have one string in every tree, so no window holds its prefix whole.
+    monkeypatch.setattr(neighbours, "WINDOW", 2)
+    rows = [(i, [1.0 + i, 2.0 + 2 * i]) for i in range(30)] + [(100 + i, [-1.0 - i, -2.0 - 2 * i]) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = [tuple(r) for r in nearest_neighbours(df, F.col("vec_id") % 10 == 0).orderBy("query_id", "rank").collect()]
+    same(got, brute(rows, lambda i: i % 10 == 0))
