@@ -27,7 +27,7 @@ from headwater.operators.numbering import global_row_number
 
 TREES = 16
 BITS = 30
-WINDOW = 64  # places of a sorted array that are read together; a query reads its own and the ones on both sides
+WINDOW = 1024  # places of a sorted array that are read together; a query reads its own and the ones on both sides
 TARGET_MISS = 0.05  # at most so likely is a neighbour met in no tree
 BLOCK = 4096  # rows of one prefix that meet its queries at one time
 QUERY_BLOCK = 1024
@@ -181,7 +181,7 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10, key: s
 
     waiting = scratch.keep(unsettled(F.col("start")), "waiting")
     depth = BITS + 1
-    while (highest := waiting.agg(F.max("start")).first()[0]) is not None:
+    while depth and (highest := waiting.agg(F.max("start")).first()[0]) is not None:
         depth = min(depth, highest) - 1
         # Rows that share ``depth`` bits with the query and differ in the next one; beyond the last bit, equal strings.
         bits = min(depth + 1, BITS)
@@ -193,6 +193,9 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10, key: s
         crowd = queries.groupBy(*place).agg(F.count(F.lit(1)).alias("n_queries"))
         sizes = here.join(crowd.select(*place), place, "left_semi").groupBy(*place).agg(F.count(F.lit(1)).alias("n_rows"))
         parts = crowd.join(sizes, place).select(*place, F.ceil(F.col("n_rows") / BLOCK).cast("int").alias("row_parts"), F.ceil(F.col("n_queries") / QUERY_BLOCK).cast("int").alias("query_parts"))
+        parts = scratch.keep(parts, f"parts{depth}")
+        if depth and parts.isEmpty():
+            continue  # no tree has a row to add at this length
 
         def dealt(side: DataFrame, query: bool) -> DataFrame:
             """Each row goes to one part of its own side, and meets every part of the other."""
