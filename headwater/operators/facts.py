@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,10 +47,30 @@ REJECTED = {
     # Only a number or string with at most one unit is read; strings stand empty here.
     "interval": rf"\binterval\s*(\(|[-+])|\binterval\s+(\d+|'')\s*({_UNITS})\s*(to\b|\d|'')",
 }
+# Words of which a statement must hold one to fit the pattern: looking for a word is far cheaper than a search at every place.
+REJECTED_WORDS = {
+    "lateral view": ("lateral",),
+    "set operation": ("intersect", "except", "minus"),
+    "grouping sets": ("grouping", "cube", "rollup"),
+    "limit": ("limit",),
+    "common table expression": ("with",),
+    "filter clause": ("filter",),
+    "interval": ("interval",),
+}
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value worked out once per row however often it is used, in a filter too."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def _without_strings(sql: Column) -> Column:
-    return F.regexp_replace(sql, r"'[^']*'|\"[^\"]*\"", "''")
+    return F.when(sql.contains("'") | sql.contains('"'), F.regexp_replace(sql, r"'[^']*'|\"[^\"]*\"", "''")).otherwise(sql)
+
+
+def _on_bare(use: Callable[[Column], Column]) -> Column:
+    """``use`` of the statement's text without its strings."""
+    return _once(F.col("sql"), lambda sql: _once(_without_strings(sql), use))
 
 
 def _fits(text: Column, *patterns: str) -> Column:
@@ -57,16 +81,26 @@ def _first_fit(text: Column, patterns: dict[str, str]) -> Column:
     return F.coalesce(*(F.when(_fits(text, p), F.lit(name)) for name, p in patterns.items()))
 
 
+def _rejection(bare: Column) -> Column:
+    """Name of the first construct without a rule, or null."""
+
+    def named(low: Column) -> Column:
+        holds = lambda name: reduce(or_, (low.contains(w) for w in REJECTED_WORDS[name]))
+        return F.coalesce(*(F.when(holds(name) & _fits(bare, p), F.lit(name)) for name, p in REJECTED.items()))
+
+    return _once(F.lower(bare), named)
+
+
 def classify_statements(statements: DataFrame) -> DataFrame:
     """Add ``kind``; a kind outside the supported ones becomes ``unsupported``."""
-    kind = F.coalesce(_first_fit(_without_strings(F.col("sql")), KINDS), F.lit("unsupported"))
+    kind = F.coalesce(_on_bare(lambda bare: _first_fit(bare, KINDS)), F.lit("unsupported"))
     return statements.withColumn("kind", kind)
 
 
 def reject_reasons(classified: DataFrame) -> DataFrame:
     """Add ``reject``: why a statement gives no lineage, or null."""
     reads = F.col("kind").isin(*READ_KINDS)
-    reason = F.when(F.col("kind") == "unsupported", "statement").when(reads, _first_fit(_without_strings(F.col("sql")), REJECTED))
+    reason = F.when(F.col("kind") == "unsupported", "statement").when(reads, _on_bare(_rejection))
     return classified.withColumn("reject", reason)
 
 
@@ -92,15 +126,13 @@ def _with_target(statements: DataFrame) -> DataFrame:
 
 def readable(statements: DataFrame) -> DataFrame:
     """Statements that have a query to read, with their target."""
-    bare = _without_strings(F.col("sql"))
-    reads = _fits(bare, *(KINDS[k] for k in READ_KINDS)) & ~_fits(bare, *REJECTED.values())
+    reads = _on_bare(lambda bare: _fits(bare, *(KINDS[k] for k in READ_KINDS)) & _rejection(bare).isNull())
     return _with_target(statements.where(reads))
 
 
 def schema_statements(statements: DataFrame) -> DataFrame:
     """CREATE TABLE statements that write their columns out, with their target."""
-    bare = _without_strings(F.col("sql"))
-    return _with_target(statements.where(_fits(bare, _CREATE) & ~_fits(bare, r"\bselect\b", _LIKE)))
+    return _with_target(statements.where(_on_bare(lambda bare: _fits(bare, _CREATE) & ~_fits(bare, r"\bselect\b", _LIKE))))
 
 
 def like_statements(statements: DataFrame) -> DataFrame:
