@@ -427,7 +427,9 @@ def unresolved_star_report(spark, folder):
         UNION ALL SELECT concat({_T}, c) FROM orders, (VALUES ('.id'), ('.m'), ('.tag')) t(c) WHERE {_FILE})""",
 )
 def merge_scripts(spark, folder):
-    found = _columns(_numbered(spark, folder)).where("scope is null")
+    # Stored, since links and declared columns both read it.
+    statements = materialize(_numbered(spark, folder).select("stmt_id", "seq", "sql"))
+    found = _columns(statements).where("scope is null")
     return found.select(full_name(F.col("db"), F.col("tbl"), F.col("col")).alias("name"))
 
 
