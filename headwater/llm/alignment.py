@@ -36,7 +36,7 @@ from headwater.llm.common import Scratch, byte_slices, ship_package, texts_of
 from headwater.session import shuffle_width
 
 RANGE = 1 << 16  # characters of a range; a longer text is cut
-PACK = 1 << 21  # bytes of texts that are aligned together
+PACK = 1 << 20  # bytes of texts that are aligned together
 FAN = 8  # neighbouring fragments that one step of the tree composes
 WIDE = 1 << 12  # links of a group beyond which its distinct ids are paired instead of its tokens
 MARK = "▁"  # stands for a blank in sentencepiece
@@ -315,16 +315,16 @@ def _packed(pair: Pair, names: list[bytes], rec: int, keys: pa.Array, of: Groups
     sums = np.concatenate([[0], np.cumsum(size_a * size_b)])
     last = np.cumsum(of.n_groups)
     digests = [hashlib.sha256(t).hexdigest() if t else "" for t in written_groups(of, names)]
-    one = lambda values: pa.array([values.tolist()])
+    one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values.astype(np.int64)))
     many = [of.n_a, of.n_b, of.n_groups, sums[last] - sums[last - of.n_groups]]
     return [
         pa.array([rec], pa.int64()),
         pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), keys),
-        *(pa.array([m.tolist()], pa.list_(pa.int64())) for m in many),
+        *map(one, many),
         pa.array([digests], pa.list_(pa.string())),
-        pa.array([distinct.tolist()], pa.list_(pa.int64())),
-        pa.array([np.bincount(places, minlength=len(distinct)).tolist()], pa.list_(pa.int64())),
-        pa.array([np.cumsum(np.bincount(docs, minlength=n)).tolist()], pa.list_(pa.int64())),
+        one(distinct),
+        one(np.bincount(places, minlength=len(distinct))),
+        one(np.cumsum(np.bincount(docs, minlength=n))),
         pa.array([places.astype(np.int32).tobytes()], pa.binary()),
         pa.array([times.astype(np.int64).tobytes()], pa.binary()),
     ]
