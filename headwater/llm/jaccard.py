@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from headwater.llm.common import Scratch, map_batches, ship_package, texts_of, unpacked
+from headwater.llm.common import Scratch, forget_others, map_batches, ship_package, texts_of, unpacked
 
 WORDS = 5
 SIMILAR = 0.8
@@ -207,6 +207,9 @@ def groups_of(df: DataFrame, keys: list[str], fn: Callable[[tuple, pa.Table], li
             rest = table.slice(edges[-2]).combine_chunks() if len(edges) > 1 else None
         if rest is not None and rest.num_rows:
             yield from work(rest, bounds(rest))
+        # The worker may stay idle for the stages that follow, beside a JVM that needs the room.
+        rest = None
+        forget_others()
 
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 

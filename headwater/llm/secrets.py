@@ -71,7 +71,8 @@ def _literal(pattern: str) -> str:
 
 def with_matches(df: DataFrame, text: str, kind: str, pattern: str) -> DataFrame:
     """Add array ``kind`` of (start, end, hit): leftmost non-overlapping matches, code points, end exclusive."""
-    found = df.withColumns({"_hits": F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), "_gaps": F.split(text, pattern, -1)})
+    # Most texts hold no match of a kind; they are not copied into gaps.
+    found = df.withColumn("_hits", F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).withColumn("_gaps", F.when(F.size("_hits") > 0, F.split(text, pattern, -1)))
     # What lies before hit i: gaps 0..i and hits 0..i-1.
     steps = found.withColumn("_steps", F.expr("transform(_hits, (h, i) -> length(_gaps[i]) + if(i > 0, length(_hits[i - 1]), 0))"))
     starts = steps.withColumn("_starts", F.expr(_running("_steps")))

@@ -117,3 +117,28 @@ def test_documents(spark, documents):
     kept = without_near_duplicates(documents)
     assert kept.columns == documents.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c, _ in brute(rows)})
+
+
+def test_workers_keep_no_words_after_groups(monkeypatch):
+    import pyarrow as pa
+
+    from headwater.llm import jaccard
+
+    class Rows:
+        sparkSession = None
+
+        def repartition(self, *keys):
+            return self
+
+        sortWithinPartitions = repartition
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    monkeypatch.setattr(jaccard, "ship_package", lambda spark: None)
+    run = jaccard.groups_of(Rows(), ["k"], lambda key, part: [(key[0], part.num_rows)], "k bigint, n bigint")
+    jaccard.shingle_sets(["one two three four five six"])
+    assert jaccard._word_hashes
+    batches = [pa.record_batch([pa.array(k, pa.int64())], ["k"]) for k in ([1, 1, 2], [2, 2, 3])]
+    assert [r for b in run(iter(batches)) for r in b.to_pylist()] == [{"k": 1, "n": 2}, {"k": 2, "n": 3}]
+    assert not jaccard._word_hashes
