@@ -4,10 +4,11 @@ Every tree gives a vector a long string of bits, the signs of random projections
 and keeps its strings as one sorted array, numbered by place. A query descends in every tree to its
 place, where its longest-prefix matches are the rows on both sides, and reads a window of them. The
 trees then go up together from the shortest prefix that all windows hold whole, which every query has
-for itself: one bit at a time a query reads the rows that a tree newly reaches, those that
-differ from it in just that bit, until a vector at the angle of its worst neighbour so far would have
-been met in some tree with the target probability. At the root every row has been read, so nothing
-is cut off. The arrays hold no vectors. Queries meet rows in blocks, and a block gives each of its
+for itself: a few bits at a time a query reads the rows that a tree newly reaches, those that
+differ from it in these bits, until a vector at the angle of its worst neighbour so far would have
+been met in some tree with the target probability. Where the trees together would read as many rows as
+there are, the query goes on to the root, which reads each row once, in one tree. There every row has been
+read, so nothing is cut off. The arrays hold no vectors. Queries meet rows in blocks, and a block gives each of its
 queries no more than what can be among its nearest.
 """
 
@@ -27,6 +28,7 @@ from headwater.operators.numbering import global_row_number
 
 TREES = 16
 BITS = 30
+STEP = 2  # bits by which queries go up at a time; each step deals the rows of all trees once
 WINDOW = 1024  # places of a sorted array that are read together; a query reads its own and the ones on both sides
 TARGET_MISS = 0.05  # at most so likely is a neighbour met in no tree
 BLOCK = 4096  # rows of one prefix that meet its queries at one time
@@ -135,6 +137,12 @@ def _outside(read: DataFrame, forest: DataFrame) -> DataFrame:
     return shared.groupBy("point").agg(F.max("whole").alias("start"))
 
 
+def next_length(reached: int) -> int:
+    """The prefix length that follows ``reached``: the next multiple of ``STEP`` below, or the root where all trees together read no fewer rows."""
+    length = (reached - 1) // STEP * STEP
+    return length if TREES < 1 << length else 0
+
+
 def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``(query_id, rank, <key>, score)``: the ``k`` nearest rows found of each row that ``is_query`` marks.
 
@@ -182,14 +190,15 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10, key: s
     waiting = scratch.keep(unsettled(F.col("start")), "waiting")
     depth = BITS + 1
     while depth and (highest := waiting.agg(F.max("start")).first()[0]) is not None:
-        depth = min(depth, highest) - 1
-        # Rows that share ``depth`` bits with the query and differ in the next one; beyond the last bit, equal strings.
-        bits = min(depth + 1, BITS)
+        depth = next_length(min(depth, highest))
+        # Rows that share ``depth`` bits with the query and differ in the next ones; beyond the last bit, equal strings. At the root, all.
+        bits = min(depth + STEP, BITS) if depth else 0
+        others = range(1, 1 << (bits - depth)) if bits > depth else (0,)
         prefix = F.shiftright("string", BITS - bits)
         here = (forest if depth else forest.where("tree = 0")).withColumn("prefix", prefix)
         place = ["dim", "tree", "prefix"]
         queries = (read if depth else read.where("tree = 0")).join(waiting.where(F.col("start") > depth), "point", "left_semi")
-        queries = queries.withColumn("prefix", prefix.bitwiseXOR(F.lit(1 if depth < BITS else 0)))
+        queries = queries.withColumn("prefix", F.explode(F.array(*(prefix.bitwiseXOR(F.lit(x).cast("bigint")) for x in others))))
         crowd = queries.groupBy(*place).agg(F.count(F.lit(1)).alias("n_queries"))
         sizes = here.join(crowd.select(*place), place, "left_semi").groupBy(*place).agg(F.count(F.lit(1)).alias("n_rows"))
         parts = crowd.join(sizes, place).select(*place, F.ceil(F.col("n_rows") / BLOCK).cast("int").alias("row_parts"), F.ceil(F.col("n_queries") / QUERY_BLOCK).cast("int").alias("query_parts"))
@@ -199,9 +208,9 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10, key: s
 
         def dealt(side: DataFrame, query: bool) -> DataFrame:
             """Each row goes to one part of its own side, and meets every part of the other."""
-            mine, others = ("query_part", "row_part") if query else ("row_part", "query_part")
+            mine, other = ("query_part", "row_part") if query else ("row_part", "query_part")
             joined = side.join(parts, place).join(bodies, "point")  # noqa: B023
-            return joined.select(*place, "point", "ids", "raw", F.lit(query).alias("query"), F.pmod(F.xxhash64("point"), F.col(f"{mine}s")).cast("int").alias(mine), F.explode(F.sequence(F.lit(0), F.col(f"{others}s") - 1)).alias(others))  # noqa: B023
+            return joined.select(*place, "point", "ids", "raw", F.lit(query).alias("query"), F.pmod(F.xxhash64("point"), F.col(f"{mine}s")).cast("int").alias(mine), F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1)).alias(other))  # noqa: B023
 
         met = dealt(here, False).unionByName(dealt(queries, True))
         found = found.unionByName(scratch.keep(groups_of(met, [*place, "row_part", "query_part"], _nearest(centres, most), schema), f"near{depth}"))

@@ -55,3 +55,17 @@ def test_windows_full_of_equal_strings(spark, monkeypatch):
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
     got = [tuple(r) for r in nearest_neighbours(df, F.col("vec_id") % 10 == 0).orderBy("query_id", "rank").collect()]
     same(got, brute(rows, lambda i: i % 10 == 0))
+
+
+def test_few_lengths_then_the_root(spark, monkeypatch):
+    # Where all trees together would read as many rows as there are, each row is read once instead, and nothing is missed.
+    monkeypatch.setattr(neighbours, "WINDOW", 4)
+    kept, keep = [], neighbours.Scratch.keep
+    monkeypatch.setattr(neighbours.Scratch, "keep", lambda self, df, name: kept.append(name) or keep(self, df, name))
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=16).tolist()) for i in range(600)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = [tuple(r) for r in nearest_neighbours(df, F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect()]
+    same(got, brute(rows, lambda i: i % 100 == 0))
+    lengths = [int(n[4:]) for n in kept if n.startswith("near") and n != "near"]
+    assert lengths[-1] == 0 and all(d > 4 and d % 2 == 0 for d in lengths[:-1])
