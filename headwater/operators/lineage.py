@@ -26,10 +26,10 @@ def packed(scope: str, db: str, tbl: str, col: str) -> str:
     return f"concat_ws('{MARK}', " + ", ".join(f"coalesce({p}, '')" for p in (scope, db, tbl, col)) + ")"
 
 
-def unpacked(name: str) -> str:
-    """SQL for the struct of a packed vertex, null for null."""
-    fields = ", ".join(f"'{p}', nullif(element_at(split({name}, '{MARK}'), {i + 1}), '')" for i, p in enumerate(PARTS))
-    return f"CASE WHEN {name} IS NOT NULL THEN named_struct({fields}) END"
+def unpacked(parts: str) -> str:
+    """SQL for the struct of a packed vertex, cut into an array of its parts; null for null."""
+    fields = ", ".join(f"'{p}', nullif(element_at({parts}, {i + 1}), '')" for i, p in enumerate(PARTS))
+    return f"CASE WHEN {parts} IS NOT NULL THEN named_struct({fields}) END"
 
 
 # A relation of the scope as lineage sees it: where its columns live and what it answers to.
@@ -161,8 +161,12 @@ def token_links(statements: DataFrame, with_else: bool = False, by_place: bool =
             link("table", "table", "NULL"),
         )
     )
-    return ends.selectExpr("stmt_id", "seq", f"inline(filter(array({links}), l -> l.src IS NOT NULL))").selectExpr(
-        "stmt_id", "seq", "rule", f"{unpacked('src')} AS src", f"{unpacked('dst')} AS dst", "candidates"
+    # Each end is cut once; its parts are read four times.
+    cut = [f"split({end}, '{MARK}') AS {end}_parts" for end in ("src", "dst")]
+    return (
+        ends.selectExpr("stmt_id", "seq", f"inline(filter(array({links}), l -> l.src IS NOT NULL))")
+        .selectExpr("stmt_id", "seq", "rule", *cut, "candidates")
+        .selectExpr("stmt_id", "seq", "rule", f"{unpacked('src_parts')} AS src", f"{unpacked('dst_parts')} AS dst", "candidates")
     )
 
 

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -215,3 +217,9 @@ def test_insert_by_place(spark):
     assert not any("\u0002" in d for _, _, d in got)
     by_name = {(r.stmt_id, r.src, r.dst) for r in with_full_names(token_links(df)).where("dst IS NOT NULL").collect()}
     assert (3, "x.two", "s.c.two") in by_name and {g for g in got if g[0] in (4, 7, 11)} == {g for g in by_name if g[0] in (4, 7, 11)}
+
+
+def test_packed_ends_are_cut_once(spark, capsys):
+    statements = spark.createDataFrame([(1, 1, "insert into m.t select a.x as y from r.s a")], "stmt_id bigint, seq bigint, sql string")
+    token_links(statements).explain()
+    assert len(re.findall(r"split\((?:src|dst)#", capsys.readouterr().out)) == 2
