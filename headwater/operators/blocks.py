@@ -31,8 +31,10 @@ def _flag(cond: str) -> str:
 def tokenize_statements(statements: DataFrame) -> DataFrame:
     """``tokens(stmt_id, pos, tok, kind)`` plus the columns the statements bring along."""
     carried = [c for c in statements.columns if c != "sql"]
+    # Not ``posexplode``: a filter of empty lists comes with it, which cuts every text once more, in the few tasks that read the table.
     return (
-        statements.selectExpr(*carried, f"posexplode({T.TOKENS_SQL}) AS (pos, raw)")
+        statements.selectExpr(*carried, f"posexplode_outer({T.TOKENS_SQL}) AS (pos, raw)")
+        .where("pos IS NOT NULL")
         .selectExpr("*", f"{T.KIND_SQL} AS kind")
         .selectExpr(*carried, "pos", f"{T.TEXT_SQL} AS tok", "kind")
     )

@@ -1,6 +1,6 @@
 import pytest
 
-from headwater.operators import facts
+from headwater.operators import blocks, facts
 
 # One statement for each construct without a rule, in mixed case, and one that only holds its words.
 REJECTED = {
@@ -32,3 +32,14 @@ def test_strings_of_a_statement_are_taken_out_once(spark, capsys):
     facts.readable(rows(spark, "SELECT a FROM t")).select("stmt_id").explain()
     plan = capsys.readouterr().out
     assert plan.count("regexp_replace(") == 1
+
+
+def test_a_text_is_cut_into_tokens_once(spark, capsys):
+    """Not a second time by a filter, which Spark would take down to the tasks that read the table."""
+    blocks.tokenize_statements(rows(spark, "SELECT a FROM t").repartition(3)).explain()
+    assert capsys.readouterr().out.count("regexp_extract_all(") == 1
+
+
+def test_texts_without_tokens_give_none(spark):
+    found = blocks.tokenize_statements(rows(spark, "SELECT a", "", None, "/* a */", "b")).collect()
+    assert sorted((r.stmt_id, r.pos, r.tok) for r in found) == [(0, 0, "select"), (0, 1, "a"), (4, 0, "b")]
