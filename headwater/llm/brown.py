@@ -14,8 +14,8 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
-from itertools import count
+from collections.abc import Callable, Iterator
+from itertools import count, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +34,7 @@ LEAST_COUNT = 8  # words that occur less often are rare
 LISTED_WORDS = 200_000  # at most so many words are broadcast with their counts and classes; the rest is joined
 TOLERANCE = 0.005  # log likelihood a word that a round of exchanges must gain for another one
 SMOOTHING = 5.0  # pseudo-counts of a class's transitions, dealt by how frequent classes are
+TEXTS_AT_ONCE = 500  # their words are held as one row
 KEPT_WORDS = 400_000  # counts that a task holds before it hands them on
 KEPT_PAIRS = 2_000_000
 
@@ -45,11 +46,24 @@ def tokens(text: str) -> list[bytes]:
 
 def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     for batch in batches:
-        for start in range(0, batch.num_rows, ROWS_AT_ONCE):
-            part = batch.slice(start, ROWS_AT_ONCE)
+        for start in range(0, batch.num_rows, TEXTS_AT_ONCE):
+            part = batch.slice(start, TEXTS_AT_ONCE)
             yield part, texts_of(part.column(column))
 
 
+def numbered(texts: list[str], get: Callable, other: int, end: int) -> tuple[list[bytes | None], np.ndarray, list[int]]:
+    """One row of words and one of their numbers for all texts, with an end before and behind each; and where the ends are."""
+    words: list[bytes | None] = [None]
+    ends = [0]
+    for text in texts:
+        words += tokens(text)
+        ends.append(len(words))
+        words.append(None)
+    ids = np.fromiter(map(get, words, repeat(other)), np.int64, len(words))
+    ids[ends] = end
+    return words, ids, ends
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
     """``(word, n)`` over a table of one text column; ends of texts are not counted here."""
     ship_package(texts.sparkSession)
@@ -125,12 +139,7 @@ def pair_counts(texts: DataFrame, shared: _Shared) -> DataFrame:
             return pa.record_batch([pa.array((codes // width).astype(np.int32)), pa.array((codes % width).astype(np.int32)), pa.array(counts)], ["a", "b", "n"])
 
         for _, part in _texts(batches, 0):
-            # One row of numbers for all texts: an end before and behind each.
-            numbers = [end]
-            for text in part:
-                numbers += [get(w, rare) for w in tokens(text)]
-                numbers.append(end)
-            ids = np.array(numbers, np.int64)
+            _, ids, _ = numbered(part, get, rare, end)
             held.append(np.unique(ids[:-1] * width + ids[1:], return_counts=True))
             size += len(held[-1][0])
             if size > KEPT_PAIRS:
@@ -254,15 +263,10 @@ def neighbour_counts(texts: DataFrame, shared: _Shared, kinds: np.ndarray, unlis
             return pa.record_batch([pa.array(words), pa.array((codes % (2 * WIDTH)).astype(np.int32)), pa.array(counts)], ["word", "slot", "n"])
 
         for _, part in _texts(batches, 0):
-            numbers = [end]
-            for text in part:
-                ws = tokens(text)
-                found = [get(w, end + 1) for w in ws]
-                if unlisted and end + 1 in found:
-                    found = [local.setdefault(w, end + 1 + len(local)) if i > end else i for w, i in zip(ws, found, strict=True)]
-                numbers += found
-                numbers.append(end)
-            ids = np.array(numbers, np.int64)
+            words, ids, _ = numbered(part, get, end + 1, end)
+            if unlisted:
+                at = np.flatnonzero(ids > end)
+                ids[at] = [local.setdefault(words[i], end + 1 + len(local)) for i in at.tolist()]
             kind = np.where(ids <= end, kinds[np.minimum(ids, end)], OTHER)
             asked = ids > end if unlisted else (ids < end) & (kind == OTHER)
             first, second = asked[:-1], asked[1:]
@@ -425,29 +429,27 @@ def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text: s
         listed, model = _shared_list(shared), shared_model.value
         get, other, end = listed.number.get, len(listed.counts), len(listed.counts) + 1
         for part, texts in _texts(batches, 3):
-            found: list[tuple] = []
             open_words: list[tuple] = []
             open_pairs: list[tuple] = []
             words_end, pairs_end = [0], [0]
-            for t in texts:
-                ws = tokens(t)
-                ids = np.array([end, *(get(w, other) for w in ws), end], np.int64)
-                kinds, is_other = model.kinds[ids], ids == other
-                # A word beyond the list goes to the joins once, with its neighbours' classes; two such words in a row also as a pair.
-                plain = ~(is_other[:-1] | is_other[1:])
-                moves = model.moves[kinds[:-1][plain], kinds[1:][plain]].sum()
-                at = np.flatnonzero(is_other)
-                if len(at):
-                    around = np.where(is_other, -1, kinds)
-                    open_words += [(*w, n) for w, n in Counter(zip([ws[i - 1] for i in at.tolist()], around[at - 1].tolist(), around[at + 1].tolist(), strict=True)).items()]
-                    both = np.flatnonzero(is_other[:-1] & is_other[1:]).tolist()
-                    open_pairs += [(*p, n) for p, n in Counter((ws[i - 1], ws[i]) for i in both).items()]
+            words, ids, ends = numbered(texts, get, other, end)
+            kinds, is_other = model.kinds[ids], ids == other
+            # A word beyond the list goes to the joins once, with its neighbours' classes; two such words in a row also as a pair.
+            at, both = np.flatnonzero(is_other), np.flatnonzero(is_other[:-1] & is_other[1:])
+            around = np.where(is_other, -1, kinds)
+            open_at = list(zip([words[i] for i in at.tolist()], around[at - 1].tolist(), around[at + 1].tolist(), strict=True))
+            both_at = [(words[i], words[i + 1]) for i in both.tolist()]
+            for single, pair in zip(pairwise(np.searchsorted(at, ends).tolist()), pairwise(np.searchsorted(both, ends).tolist()), strict=True):
+                open_words += [(*w, n) for w, n in Counter(open_at[slice(*single)]).items()]
+                open_pairs += [(*p, n) for p, n in Counter(both_at[slice(*pair)]).items()]
                 words_end.append(len(open_words))
                 pairs_end.append(len(open_pairs))
-                own = ids[1:][~is_other[1:]]
-                known = len(own) - (0 if model.ends else 1)
-                found.append((len(ids) - 1, known, float(model.base[own].sum()), float(moves + model.emission[own].sum())))
-            columns = [pa.array(list(c), t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)]
+            moves = np.where(is_other[:-1] | is_other[1:], 0.0, model.moves[kinds[:-1], kinds[1:]])
+            own = ids[1:]
+            # Every text has its end, so no part is empty.
+            sums = [np.add.reduceat(np.where(is_other[1:], 0, x), ends[:-1]) for x in (np.ones(len(own), np.int64), model.base[own], moves + model.emission[own])]
+            found = (np.diff(ends), sums[0] - (0 if model.ends else 1), *sums[1:])
+            columns = [pa.array(c, t) for c, t in zip(found, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)]
             columns.append(lists(words_end, open_words, {"word": pa.binary(), "before": pa.int32(), "after": pa.int32(), "times": pa.int64()}))
             columns.append(lists(pairs_end, open_pairs, {"a": pa.binary(), "b": pa.binary(), "times": pa.int64()}))
             yield pa.record_batch([part.column(0), part.column(1), part.column(2), *columns], ["row", "key", "held_out", "n_tokens", "known", "base", "score", "words", "pairs"])

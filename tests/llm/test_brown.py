@@ -174,3 +174,10 @@ def test_documents(spark, documents):
     held = [g for g in got if g.held_out]
     assert [g.held_out for g in got] == [not t for t in train]
     assert sum(g.score for g in held) > sum(g.base_score for g in held)
+
+
+def test_texts_are_numbered_as_one_row():
+    words, ids, ends = brown.numbered(["b a\n", "", "A z"], {b"a": 0, b"b": 1}.get, 2, 3)
+    assert words == [None, b"b", b"a", None, None, b"a", b"z", None]
+    assert ids.tolist() == [3, 1, 0, 3, 3, 0, 2, 3]
+    assert ends == [0, 3, 4, 7]
