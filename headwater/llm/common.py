@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import sys
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 from uuid import uuid4
@@ -16,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from headwater.session import ensure_checkpoint_dir
+from headwater.session import ensure_checkpoint_dir, ship_package
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -55,20 +53,6 @@ def fold_is(key: Column, modulus: int, rest: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % modulus == rest, F.lit(False))
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Give the workers this package, which the driver may have from a path that they do not know. Once per context."""
-    sc = spark.sparkContext
-    if getattr(sc, "_headwater_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    name = Path(tempfile.mkdtemp(prefix="headwater-")) / f"{root.name}.zip"
-    with zipfile.ZipFile(name, "w", zipfile.ZIP_DEFLATED) as package:
-        for file in sorted(root.rglob("*.py")):
-            package.write(file, file.relative_to(root.parent))
-    sc.addPyFile(str(name))
-    sc._headwater_shipped = True
-
-
 # Rows of texts that are Python objects at one time in a worker.
 ROWS_AT_ONCE = 1000
 

@@ -11,9 +11,7 @@ from pyspark.sql import functions as F
 
 from headwater.functions import tokens as T
 from headwater.operators.blocks import BY_BLOCK, SO_FAR, WHOLE, nest_blocks, with_roles
-
-# Fixed value: output name of an expression that has no alias.
-UNNAMED = "unresolvedalias"
+from headwater.operators.walk import UNNAMED, walk_relations
 
 _NAME = r"([\p{L}\p{N}_$`.]+)"
 _CREATE = r"^\s*create\s+(?:external\s+|temporary\s+)*table\s+(?:if\s+not\s+exists\s+)?" + _NAME
@@ -149,15 +147,19 @@ def statement_targets(statements: DataFrame) -> DataFrame:
     return named.select("stmt_id", "kind", "db", "tbl", *_name_parts(F.col("source"), "source_"))
 
 
-def select_tokens(statements: DataFrame, by_place: bool = False) -> DataFrame:
-    """Tokens of readable statements with relations and select-list roles marked.
+def readable_queries(statements: DataFrame, by_place: bool = False) -> DataFrame:
+    """What is read of readable statements: key, order where there is one, target and text.
 
     ``by_place`` adds a column of that name: whether the statement fills a table.
     """
     order = ["seq"] if "seq" in statements.columns else []
     fills = [_fits(F.col("sql"), _INSERT).alias("by_place")] if by_place else []
-    query = readable(statements).select("stmt_id", *order, "target_db", "target_tbl", *fills, "sql")
-    return with_roles(nest_blocks(query))
+    return readable(statements).select("stmt_id", *order, "target_db", "target_tbl", *fills, "sql")
+
+
+def select_tokens(statements: DataFrame) -> DataFrame:
+    """Tokens of readable statements with relations and select-list roles marked."""
+    return with_roles(nest_blocks(readable_queries(statements)))
 
 
 def source_relations(statements: DataFrame) -> DataFrame:
@@ -165,8 +167,12 @@ def source_relations(statements: DataFrame) -> DataFrame:
 
     ``group_alias`` is the name of the outermost named bracket around the relation; it is what the relation answers to.
     """
-    found = select_tokens(statements).where("relation is not null")
-    return found.select("stmt_id", "block_id", "relation.*")
+    return walk_relations(readable_queries(statements), ["stmt_id"])
+
+
+def target_relations(statements: DataFrame) -> DataFrame:
+    """The relations with the target of their statement, ``target_db`` and ``target_tbl``, instead of its key."""
+    return walk_relations(readable_queries(statements), ["target_db", "target_tbl"])
 
 
 def scope_names(statements: DataFrame) -> DataFrame:
@@ -215,8 +221,8 @@ def with_calls(items: DataFrame) -> DataFrame:
     return items.selectExpr("*", f"last({opener}, true) OVER ({by_depth}) AS call")
 
 
-def item_tokens(statements: DataFrame, by_place: bool = False) -> DataFrame:
-    return with_calls(with_items(select_tokens(statements, by_place)))
+def item_tokens(statements: DataFrame) -> DataFrame:
+    return with_calls(with_items(select_tokens(statements)))
 
 
 def select_items(statements: DataFrame) -> DataFrame:

@@ -10,20 +10,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from headwater.functions import tokens as T
 from headwater.functions.text import full_name
-from headwater.operators.facts import item_tokens
+from headwater.operators.facts import readable_queries
+from headwater.operators.walk import MARK, PLACE, walk_links
+
+__all__ = ["MARK", "PARTS", "PLACE", "token_links", "with_full_names"]
 
 # A vertex is (scope, db, tbl, col). Scope is null for objects named with a database; all
 # other objects live in the statement, block or item that mentions them.
 PARTS = ("scope", "db", "tbl", "col")
-MARK = "\u0001"
-UNNAMED_DERIVED = "__subquery"
-
-
-def packed(scope: str, db: str, tbl: str, col: str) -> str:
-    """SQL for a vertex as one string; absent parts are empty."""
-    return f"concat_ws('{MARK}', " + ", ".join(f"coalesce({p}, '')" for p in (scope, db, tbl, col)) + ")"
 
 
 def unpacked(parts: str) -> str:
@@ -32,140 +27,17 @@ def unpacked(parts: str) -> str:
     return f"CASE WHEN {parts} IS NOT NULL THEN named_struct({fields}) END"
 
 
-# A relation of the scope as lineage sees it: where its columns live and what it answers to.
-_DESCRIBED = f"""transform(relations, r -> named_struct(
-    'scope', CASE WHEN r.derived_block IS NOT NULL THEN concat(stmt_scope, '/d', r.derived_block)
-                  WHEN r.db IS NULL THEN branch_scope END,
-    'db', r.db,
-    'tbl', CASE WHEN r.derived_block IS NOT NULL THEN coalesce(r.alias, '{UNNAMED_DERIVED}') ELSE r.tbl END,
-    'alias', coalesce(r.group_alias, CASE WHEN r.derived_block IS NULL THEN r.alias END),
-    'name', coalesce(r.group_alias, r.alias, r.tbl, '{UNNAMED_DERIVED}'),
-    'full', CASE WHEN coalesce(r.group_alias, r.alias) IS NULL THEN concat_ws('.', r.db, r.tbl) END))"""
-# The parts of a dotted name that name its relation and its column. What names no relation is the field of a struct: of a
-# column of the relation that a shorter start names, else of the column that the first part names.
-_TOLD = r"""CASE WHEN role = 'ref' AND qualifier IS NOT NULL AND NOT exists(in_scope, r -> r.name = qualifier OR r.full <=> qualifier) THEN
-    CASE WHEN size(parts) > 2 AND exists(in_scope, r -> r.full <=> concat(parts[0], '.', parts[1])) THEN named_struct('of', concat(parts[0], '.', parts[1]), 'col', parts[2])
-         WHEN size(parts) > 2 AND exists(in_scope, r -> r.name = parts[0]) THEN named_struct('of', parts[0], 'col', parts[1])
-         ELSE named_struct('of', CAST(NULL AS string), 'col', parts[0]) END
-    ELSE named_struct('of', qualifier, 'col', last_part) END"""
-
-
-def _owned_rows(statements: DataFrame, live: str, by_place: bool) -> DataFrame:
-    """Live tokens, each with the relation that owns it: one row per relation for a star.
-
-    ``owner`` is null where the token is no reference or its owner is not sure;
-    ``candidates`` then holds the relations it could belong to.
-    """
-    sure = """
-        CASE WHEN role = 'star' OR size(owners) = 1 THEN owners
-             WHEN qualifier IS NOT NULL THEN slice(owners, 1, 1) END"""
-    open_ = "role = 'ref' AND qualifier IS NULL AND size(owners) > 1"
-    return (
-        item_tokens(statements, by_place)
-        .where(f"{live} AND (role IN ('ref', 'star', 'call', 'literal') OR ends_item OR relation IS NOT NULL)")
-        .selectExpr(
-            "*",
-            "role IN ('ref', 'star') AS is_name",
-            "concat('#', stmt_id) AS stmt_scope",
-            "concat('#', stmt_id, '/', block_id, '/', branch) AS branch_scope",
-            f"CASE WHEN role IN ('ref', 'star') THEN {T.QUALIFIER_SQL} END AS qualifier",
-            r"CASE WHEN role = 'ref' THEN split(tok, '\\.') END AS parts",
-            f"CASE WHEN role IN ('ref', 'star') THEN {T.LAST_PART_SQL} END AS last_part",
-        )
-        .selectExpr("*", f"CASE WHEN is_name THEN {_DESCRIBED} END AS in_scope")
-        .selectExpr("* EXCEPT (qualifier, parts, last_part)", f"{_TOLD} AS told")
-        .selectExpr("* EXCEPT (told)", "told.of AS qualifier", "told.col AS col_name")
-        .selectExpr(
-            "*",
-            """CASE WHEN qualifier IS NULL THEN in_scope
-                    ELSE filter(in_scope, r -> r.name = qualifier OR r.full = qualifier) END AS owners""",
-        )
-        .selectExpr(
-            "*",
-            f"CASE WHEN {open_} THEN transform(owners, r -> named_struct('scope', r.scope, 'db', r.db, 'tbl', r.tbl)) END AS candidates",
-            f"explode_outer({sure}) AS owner",
-        )
-        .drop("relations", "in_scope", "owners")
-    )
-
-
-# Between the marks stands the number of the item that fills a column, behind them the name it has.
-PLACE = "\u0002"
-
-
 def token_links(statements: DataFrame, with_else: bool = False, by_place: bool = False) -> DataFrame:
     """``links(stmt_id, seq, rule, src, dst, candidates)`` of every readable statement.
 
     A link without ``dst`` only says that its ``src`` is mentioned. ``by_place``: a column that INSERT fills is named by the
     item's number and name, for ``catalog.place_columns`` to turn into the column at that place; items behind a star keep their names.
     """
-    # Where a select item's value goes next: onto the union, the derived table or the target.
-    flow_name = "CASE WHEN n_branches > 1 THEN first_name ELSE out_name END"
-    target_name = f"CASE WHEN by_place AND coalesce(item_no < first_star, true) THEN concat('{PLACE}', item_no, '{PLACE}', {flow_name}) ELSE {flow_name} END" if by_place else flow_name
-    onward = f"""
-        CASE WHEN block_id >= 0
-             THEN {packed("concat(stmt_scope, '/d', block_id)", "NULL", f"coalesce(block_alias, '{UNNAMED_DERIVED}')", flow_name)}
-             WHEN target_tbl IS NOT NULL
-             THEN {packed("CASE WHEN target_db IS NULL THEN stmt_scope END", "target_db", "target_tbl", target_name)} END"""
-    joint = packed("concat(stmt_scope, '/', block_id, '/u/', item_no)", "NULL", "NULL", "first_name")
-    item_scope = "concat(branch_scope, '/', item_no)"
-    # What the token itself feeds: the call around it, else the item's output, else straight on.
-    feeds = f"""
-        CASE WHEN call IS NOT NULL THEN {packed("concat(stmt_scope, '@', call.pos)", "NULL", "NULL", "concat(call.name, '()')")}
-             WHEN is_plain THEN leaves
-             ELSE output END"""
-    value = f"""
-        CASE WHEN seen IS NOT NULL THEN seen
-             WHEN base IS NOT NULL THEN base
-             WHEN role = 'ref' THEN {packed("branch_scope", "NULL", "NULL", "col_name")}
-             WHEN role = 'call' THEN {packed("concat(stmt_scope, '@', pos)", "NULL", "NULL", "concat(tok, '()')")}
-             WHEN role = 'literal' THEN {packed(item_scope, "NULL", "NULL", f"lower({T.UNQUOTED_SQL})")} END"""
-    table = packed("CASE WHEN relation.db IS NULL THEN branch_scope END", "relation.db", "relation.tbl", "NULL")
-    ends = (
-        _owned_rows(statements, "skip = else_depth" if with_else else "skip = 0", by_place)
-        .selectExpr(
-            "*",
-            f"{onward} AS onward",
-            f"CASE WHEN n_branches > 1 THEN {joint} END AS joint",
-            f"{packed(item_scope, 'NULL', 'NULL', 'out_name')} AS output",
-            f"CASE WHEN is_name AND owner IS NOT NULL THEN {packed('owner.scope', 'owner.db', 'owner.tbl', 'col_name')} END AS base",
-            f"CASE WHEN is_name AND owner.alias IS NOT NULL THEN {packed('branch_scope', 'NULL', 'owner.alias', 'col_name')} END AS seen",
-            f"CASE WHEN relation.tbl IS NOT NULL THEN {table} END AS table",
-            "ends_item AND NOT is_plain AND role IS NOT NULL AS ends_output",
-        )
-        .selectExpr("*", "coalesce(joint, onward) AS leaves")
-        .selectExpr(
-            "stmt_id",
-            "seq",
-            "base",
-            "seen",
-            f"{value} AS value",
-            f"{feeds} AS feeds",
-            "CASE WHEN ends_output THEN output END AS closing",
-            "leaves",
-            "CASE WHEN ends_output OR (is_name AND is_plain) THEN joint END AS joint",
-            "onward",
-            "table",
-            "candidates",
-        )
-    )
-    link = lambda rule, src, dst, candidates="NULL": (
-        f"named_struct('rule', '{rule}', 'src', {src}, 'dst', {dst}, 'candidates', {candidates})"
-    )
-    links = ", ".join(
-        (
-            link("value", "value", "feeds", "candidates"),
-            link("alias", "base", "seen"),
-            link("output", "closing", "leaves"),
-            link("union", "joint", "onward"),
-            link("table", "table", "NULL"),
-        )
-    )
-    # Each end is cut once; its parts are read four times.
-    cut = [f"split({end}, '{MARK}') AS {end}_parts" for end in ("src", "dst")]
+    # Each end is cut once; its parts are read four times. A list of one row keeps filters of the parts behind the cut, where they do not repeat it.
+    parts = ", ".join(f"'{end}_parts', split({end}, '{MARK}')" for end in ("src", "dst"))
     return (
-        ends.selectExpr("stmt_id", "seq", f"inline(filter(array({links}), l -> l.src IS NOT NULL))")
-        .selectExpr("stmt_id", "seq", "rule", *cut, "candidates")
+        walk_links(readable_queries(statements, by_place), with_else)
+        .selectExpr("stmt_id", "seq", "rule", "candidates", f"inline_outer(array(named_struct({parts})))")
         .selectExpr("stmt_id", "seq", "rule", f"{unpacked('src_parts')} AS src", f"{unpacked('dst_parts')} AS dst", "candidates")
     )
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from headwater.api import lineage_result, read_lineage, statement_rejects, unresolved_stars
 from headwater.functions.text import full_name
 from headwater.operators import catalog, prepare, stars
-from headwater.operators.facts import select_tokens, source_relations, statement_targets
+from headwater.operators.facts import source_relations, statement_targets, target_relations
 from headwater.operators.graph import table_lineage as distinct_pairs
 from headwater.operators.lineage import token_links, with_full_names
 from headwater.plans import fixtures as fx
@@ -394,9 +394,9 @@ _FILE = "CASE WHEN o_orderkey % 3 = 0 OR o_custkey > 0 THEN TRUE ELSE FALSE END"
 )
 def table_lineage(spark, folder):
     """Which table feeds which, over the whole listed script corpus."""
-    read = select_tokens(_numbered(spark, folder)).where("relation IS NOT NULL AND relation.derived_block IS NULL AND target_tbl IS NOT NULL")
+    read = target_relations(_numbered(spark, folder)).where("derived_block IS NULL AND target_tbl IS NOT NULL")
     pairs = read.select(
-        full_name(F.col("relation.db"), F.col("relation.tbl")).alias("src_table"), full_name(F.col("target_db"), F.col("target_tbl")).alias("dst_table")
+        full_name(F.col("db"), F.col("tbl")).alias("src_table"), full_name(F.col("target_db"), F.col("target_tbl")).alias("dst_table")
     )
     return distinct_pairs(pairs)
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -88,3 +90,17 @@ def shuffle_width(spark: SparkSession) -> int:
 def parts_for(spark: SparkSession, rows: int) -> int:
     """Parts for a stored layout of this many rows: no more than the session shuffles into."""
     return max(1, min(shuffle_width(spark), -(-rows // ROWS_PER_PART)))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the workers this package, which the driver may have from a path that they do not know. Once per context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_headwater_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    name = Path(tempfile.mkdtemp(prefix="headwater-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(name, "w", zipfile.ZIP_DEFLATED) as package:
+        for file in sorted(root.rglob("*.py")):
+            package.write(file, file.relative_to(root.parent))
+    sc.addPyFile(str(name))
+    sc._headwater_shipped = True
